@@ -2,23 +2,109 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .ngram_join import ngram_jaccard_join
+from . import chat, decontaminate, media, ngram_join, secrets, sentencepieces, suffix_dedup, token_counts, toxicity, url_filter
+
+#: Token budget of op8.
+LIMIT = 2048
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_secret_scans(spark, sf_dir):
+    found = secrets.secret_scan(_table(spark, sf_dir, "documents"))
+    n = lambda kind: F.size(F.filter("strong", lambda p: p["rank"] == secrets.KINDS.index(kind))).cast("long").alias(f"n_{kind}")
+    whole = F.array_sort(F.concat("strong", "extra"))
+    return found.select("doc_id", n("assign"), n("access"), n("hex"), F.sha2(secrets.rendered(F.col("strong")), 256).alias("base_sha256"), secrets.rendered(whole).alias("spans"))
+
+
+def op2_sentencepiece(spark, sf_dir):
+    return sentencepieces.sentencepiece_encode(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op3_ngram_jaccard_join(spark, sf_dir):
-    return ngram_jaccard_join(_table(spark, sf_dir, "documents"))
+    return ngram_join.ngram_jaccard_join(_table(spark, sf_dir, "documents"))
+
+
+def op4_toxicity(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents")
+    return toxicity.toxicity(docs, toxicity.fit(docs, _table(spark, sf_dir, "labels")))
+
+
+def op5_url_filters(spark, sf_dir):
+    return url_filter.url_filter(_table(spark, sf_dir, "pages"))
+
+
+def op6_suffix_dedup(spark, sf_dir):
+    found = suffix_dedup.suffix_dedup(_table(spark, sf_dir, "documents"))
+    kept = F.octet_length("kept").cast("long")
+    return found.select("doc_id", "n_bytes", (F.col("n_bytes") - kept).alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op7_media_columns(spark, sf_dir):
+    return media.digests(media.media_columns(media.store_texts(_table(spark, sf_dir, "documents"))))
+
+
+def op8_token_counts(spark, sf_dir):
+    counts = token_counts.token_counts(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), LIMIT, prefixes=False)
+    return counts.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > LIMIT).alias("over_limit"), "cut_bytes")
+
+
+def op9_decontamination(spark, sf_dir):
+    found = decontaminate.decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
+
+
+def op10_chat_format(spark, sf_dir):
+    return chat.chat_format(_table(spark, sf_dir, "conversations"))
 
 
 def queries() -> dict:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
 
+OP5_SQL = """
+WITH p AS (
+  SELECT page_id, CASE WHEN url LIKE '%://%' THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages
+), q AS (
+  SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(substr(rest, length(regexp_extract(rest, '^[^/?#]*')) + 1), '^[^?#]*') AS path FROM p
+), r AS (
+  SELECT *, CASE WHEN (host = 'example.net' OR host LIKE '%.example.net') AND path LIKE '/en/%' THEN 'example.net/en/'
+                 WHEN (host = 'example.com' OR host LIKE '%.example.com') AND path LIKE '/de/%' THEN 'example.com/de/'
+                 WHEN (host = 'org' OR host LIKE '%.org') AND path LIKE '/fr/%' THEN 'org/fr/'
+                 WHEN (host = 'net' OR host LIKE '%.net') AND path LIKE '/%' THEN 'net/' END AS rule FROM q
+), w AS (SELECT unnest(['casino', 'spam', 'adult', 'porn', 'warez', 'viagra', 'phishing']) AS word)
+, s AS (SELECT page_id, host, path, rule, regexp_matches(host, '(^|[^a-z0-9])(casino|spam|adult|porn|warez|viagra|phishing)($|[^a-z0-9])') AS bad,
+  list_distinct(list_concat(regexp_extract_all(host, '[a-z0-9]+'), regexp_extract_all(path, '[a-z0-9]+'))) AS tokens FROM r)
+, c AS (SELECT t.token, count(*) AS n FROM s, unnest(s.tokens) AS t(token) GROUP BY 1)
+, k AS (
+  SELECT name, min_by(token, lpad(CAST(n AS VARCHAR), 20, '0') || token) AS token
+  FROM (SELECT o.name, o.token, coalesce(c.n, 0) AS n
+        FROM (VALUES ('net/', 'net'), ('example.net/en/', 'example'), ('example.net/en/', 'net'), ('example.net/en/', 'en'),
+                     ('example.com/de/', 'example'), ('example.com/de/', 'com'), ('example.com/de/', 'de'), ('org/fr/', 'org'), ('org/fr/', 'fr')) o(name, token)
+        LEFT JOIN c USING (token)) GROUP BY name
+  UNION ALL SELECT word, word FROM w
+)
+SELECT page_id, host, path, rule,
+       CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow' WHEN bad THEN 'block' ELSE 'allow' END AS verdict,
+       (SELECT count(*) FROM k WHERE list_contains(s.tokens, k.token)) AS rules_tried
+FROM s
+"""
+
+OP10_SQL = """
+SELECT conv_id, CAST(turn AS BIGINT) AS turn, coalesce(role, '') AS role, CAST(turn AS BIGINT) AS order_turn, 0 AS order_step,
+       CAST(0 AS BIGINT) AS n_calls, CAST(0 AS BIGINT) AS n_valid, CAST(NULL AS BOOLEAN) AS linked,
+       CAST(json_object('content', coalesce(text, ''), 'role', coalesce(role, '')) AS VARCHAR) AS json
+FROM conversations
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """Twins of the queries that SQL can express; that of op10 holds for tables without tool calls, like the driver's."""
+    return {"op5_url_filters": OP5_SQL, "op10_chat_format": OP10_SQL}
