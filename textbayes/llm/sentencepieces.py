@@ -24,7 +24,7 @@ MARK = "▁".encode()
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 #: An unknown character scores so much less than the worst piece.
 UNKNOWN_PENALTY = 10.0
-#: Chunks whose ids a worker keeps.
+#: Chunks whose ids a worker keeps in each of two generations.
 KEPT = 200_000
 #: Longer chunks are segmented one by one.
 LONG = 64
@@ -149,6 +149,7 @@ class Segmenter:
         self.breaks = not any(b"\n" in p for p in known)
         self.chunk = re.compile(rb"\n| *[^ \n]+| +" if self.breaks else rb" *[^ ]+| +")
         self.kept: dict[bytes, bytes] = {}
+        self.before: dict[bytes, bytes] = {}
         self.text = [b"" if k in (CONTROL, UNKNOWN) else bytes([int(p[3:-1], 16)]) if k == BYTE else p.replace(MARK, b" ") for p, k in zip(pieces.piece, pieces.kind, strict=True)]
         self.text[pieces.unknown] = " ⁇ ".encode()
 
@@ -242,11 +243,13 @@ class Segmenter:
         return out
 
     def learn(self, chunks: set[bytes]) -> None:
-        """Segments chunks that aren't kept yet."""
+        """Segments chunks that aren't kept yet; when a generation is full, the one before it goes, so that frequent chunks stay."""
+        if len(self.kept) + len(chunks) > KEPT:
+            self.before, self.kept = self.kept, {}
         new = chunks - self.kept.keys()
-        if len(self.kept) + len(new) > KEPT:
-            self.kept.clear()
-            new = chunks
+        known = new & self.before.keys()
+        self.kept.update((c, self.before[c]) for c in known)
+        new -= known
         by_length: dict[int, list[tuple[bytes, bytes]]] = {}
         for c in sorted(new):
             marked = c.replace(b" ", MARK)

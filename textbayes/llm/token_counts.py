@@ -7,6 +7,8 @@ block and are kept in a bounded table. Inside a word a prefix is count[i - 1] +
 
 from __future__ import annotations
 
+import json
+import os
 import re
 
 import numpy as np
@@ -16,8 +18,10 @@ from pyspark.sql import functions as F
 
 from .common import blocks, texts
 
-#: Words whose counts a worker keeps.
-KEPT = 200_000
+#: Words whose counts a worker keeps in each of two generations.
+KEPT = 250_000
+#: Marks that form a token run of their own at a word's end, so what stands before them is counted alone.
+ENDINGS = b".,;:!?"
 #: What bytes.split() splits at; each is white space to the tokenizer.
 _WORD = re.compile(rb"[^\x09-\x0D\x20]+")
 
@@ -26,25 +30,42 @@ class Counter_:
     """tokens() of words for one tokenizer file."""
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks are the parallelism
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        normalizers = json.loads(self.tokenizer.to_str())["normalizer"] or {}
+        self.lower = "Lowercase" in {n["type"] for n in [normalizers, *normalizers.get("normalizers", [])] if n}
         self.kept: dict[bytes, int] = {}
+        self.before: dict[bytes, int] = {}
 
     def _count(self, words: list[bytes]) -> list[int]:
-        return [len(e.ids) for e in self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in words], add_special_tokens=False)]
+        return [len(e) for e in self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in words], add_special_tokens=False)]
+
+    def _parts(self, word: bytes) -> tuple[bytes, bytes]:
+        """A word without its last marks, with A-Z lowered if the tokenizer does so, and the marks; a word with < stays, for special strings."""
+        if not self.lower or b"<" in word:
+            return word, b""
+        core = word.rstrip(ENDINGS)
+        # before the marks must stand a letter or digit, or they'd be part of a longer run of marks
+        return (core.lower(), word[len(core) :]) if core and (core[-1:].isalnum()) else (word.lower(), b"")
 
     def learn(self, words: set[bytes]) -> None:
-        new = words - self.kept.keys()
-        if len(self.kept) + len(new) > KEPT:
-            self.kept.clear()
-            new = words
-        new = sorted(new)
+        """Counts words that aren't kept; when a generation is full, the one before it goes, so that frequent words stay."""
+        if len(self.kept) + len(words) > KEPT:
+            self.before, self.kept = self.kept, {}
+        parts = {w: self._parts(w) for w in words - self.kept.keys()}
+        need = {p for two in parts.values() for p in two if p} - self.kept.keys()
+        known = need & self.before.keys()
+        self.kept.update((p, self.before[p]) for p in known)
+        new = sorted(need - known)
         for i in range(0, len(new), 10_000):
             part = new[i : i + 10_000]
             self.kept.update(zip(part, self._count(part), strict=True))
+        kept = self.kept
+        kept.update({w: kept[core] + (kept[marks] if marks else 0) for w, (core, marks) in parts.items()})
 
     def prefixes(self, many: list[bytes]) -> list[np.ndarray]:
         """For each text the running count after each of its words."""
