@@ -35,8 +35,8 @@ def brute(rows, size=3, percent=90):
     return table
 
 
-def found(spark, rows):
-    out = ngram_jaccard_join(spark.createDataFrame([(*r, "x")[:3] for r in rows], SCHEMA)).collect()
+def found(spark, rows, *threshold):
+    out = ngram_jaccard_join(spark.createDataFrame([(*r, "x")[:3] for r in rows], SCHEMA), *threshold).collect()
     return {r.doc_id: (r.n_shingles, r.component_id) for r in out}
 
 
@@ -62,6 +62,13 @@ def test_against_brute_force(spark):
     assert found(spark, rows) == brute(rows)
 
 
+def test_other_threshold_and_common_shingles(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "COMMON", 3)
+    monkeypatch.setattr(ngram_join, "FLUSH", 2000)
+    rows = corpus(4)
+    assert found(spark, rows, 5, 80) == brute(rows, 5, 80)
+
+
 def test_blocks_dealt_into_parts(spark, monkeypatch):
     monkeypatch.setattr(ngram_join, "BLOCK_SHINGLES", 150)
     rows = corpus(2)

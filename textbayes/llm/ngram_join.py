@@ -1,27 +1,29 @@
 """N-gram Jaccard join: exact links between documents by their sets of word shingles, and the classes these links form.
 
 The overlap counts come from a sparse product of the document by shingle incidence matrix with its transpose, computed in
-blocks. Which rows meet in a block follows from the size-derived bounds alone:
+blocks. Which rows meet in a block follows from size-derived bounds alone. For a set of n shingles and a threshold t, a partner shares at
+least t * n of them, so:
 
-* A pair of sets with sizes a <= b can reach the threshold t only if b <= a / t; sizes are dealt into intervals [l, l / t], so a
-  partner lies in the same interval or the next.
-* Such a pair differs in at most D = (a + b)(1 - t)/(1 + t) shingles. When the shingles are dealt by hash into D + 1 columns
-  ranges, at least one range is the same in both sets. Each document therefore puts a fingerprint of each of its ranges into the
-  index; pairs that share none are below the bound and are never formed. Common passages do no harm: a range must agree whole.
+* Of any fraction of the shingles at most (1 - t) * n may be without a second owner. The shingles with one of three residues are counted
+  first; most documents fail here and are done.
+* With the shingles of the others in one order for all, rarest first, two partners share a shingle among the first
+  n - ceil(t * n) + 1 of each. Shingles with one owner fill most of these places, so common passages hardly ever matter.
 
-Documents that share fingerprints are joined to the least of them (a star, never all pairs); the components of these stars are
+Documents that share such a shingle are joined to the least of its owners (a star, never all pairs); the components of these stars are
 the blocks. Inside a block the product is dense over the shingles that at least two rows have, a bounded number of columns at a
 time. A block beyond `BLOCK_SHINGLES` is dealt into parts that each also hold the block's centre; what these leave outside
 the block's largest class is then compared, as queries, with all its rows, part by part. So every pair that the bounds
 allow is either counted or joins two rows already known to be of one class: no link between classes is lost.
 
+Postings travel packed, many to a row, and each task first combines what it has: of a shingle that several of its documents own only one
+posting goes on, and shingles that a large share of some task's documents own (a table of bounded size) are put last in the order without
+being counted, so a very common shingle doesn't fill one task.
+
 Sets are held as 64-bit hashes of shingles; equal sets are collapsed by a 128-bit fingerprint before anything is compared.
 """
 
 from __future__ import annotations
 
-import functools
-
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -60,59 +62,256 @@ def shingle_set(text: bytes, table: WordHashes, size: int) -> np.ndarray:
     return np.unique(h)
 
 
-@functools.cache
-def interval(n: int, t: int) -> int:
-    """The first size of n's interval."""
-    low = 1
-    while low * 100 // t < n:
-        low = low * 100 // t + 1
-    return low
+def own(h: np.ndarray) -> np.ndarray:
+    """The third of the shingles that is counted first."""
+    return (h >> np.uint64(20)) % np.uint64(3) == 0
+
+
+def packed(bucket: np.ndarray, entries: np.ndarray) -> tuple[list[int], list[bytes]]:
+    """Entries by bucket, one string of bytes for each bucket that has any."""
+    order = np.argsort(bucket, kind="stable")
+    bucket, entries = bucket[order], entries[order]
+    cuts = np.append(np.flatnonzero(np.diff(bucket, prepend=-1)), len(bucket))
+    return bucket[cuts[:-1]].tolist(), [entries[a:b].tobytes() for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
 
 
-@functools.cache
-def spaces(n: int, t: int) -> tuple[tuple[int, int], ...]:
-    """(interval, number of ranges) where a set of n shingles is filed: its own interval and the one below."""
-    own = interval(n, t)
-    out = []
-    for low in (own, interval(own - 1, t)) if own > 1 else (own,):
-        high = low * 100 // t
-        out.append((low, (high + high * 100 // t) * (100 - t) // (100 + t) + 1))
-    return tuple(out)
+def unpacked(batches, column: str, kind: np.dtype) -> np.ndarray:
+    return np.frombuffer(b"".join(x for b in batches for x in b.column(column).to_pylist() if x is not None), kind)
 
 
-def range_prints(h: np.ndarray, t: int) -> np.ndarray:
-    out = []
-    for low, m in spaces(len(h), t):
-        ranges = np.zeros(m, np.uint64)
-        np.add.at(ranges, ((h >> np.uint64(33)) % np.uint64(m)).astype(np.int64), mixed(h ^ np.uint64(low)))
-        out.append(mixed(ranges + mixed(np.arange(m, dtype=np.uint64) + np.uint64(low << 32))))
-    return np.concatenate(out)
+def bucket_of(x: np.ndarray, buckets: int) -> np.ndarray:
+    """The bucket of 64-bit numbers, the same as pmod of the signed numbers in SQL."""
+    return np.ascontiguousarray(x).view(np.int64) % buckets
 
 
-def _sketches(size: int, t: int):
+ENTRY = np.dtype([("token", "<u8"), ("lo", "<u8")])
+POSTING = np.dtype([("lo", "<u8"), ("df", "<u4"), ("token", "<u8")])
+#: Entries that a task holds before it sends them on.
+FLUSH = 1 << 19
+#: A shingle is common if so many, and one in so many, of the documents in a flush own it; so many common shingles are known to all.
+COMMON, SHARE, KNOWN = 256, 20, 100_000
+#: Stands for further owners in an entry.
+OTHERS = np.uint64(0xFFFFFFFFFFFFFFFF)
+
+
+def _entries(tokens: list[np.ndarray], los: list[int]) -> np.ndarray:
+    out = np.zeros(sum(map(len, tokens)), ENTRY)
+    if tokens:
+        out["token"], out["lo"] = np.concatenate(tokens), np.repeat(np.array(los, np.uint64), [len(t) for t in tokens])
+    return out
+
+
+def _by_token(e: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct entries sorted by token and owner, the number of each one's token, and owners by token."""
+    e = e[np.lexsort((e["lo"], e["token"]))]
+    new = np.ones(len(e), bool)
+    new[1:] = (e["token"][1:] != e["token"][:-1]) | (e["lo"][1:] != e["lo"][:-1])
+    e = e[new]
+    first = np.ones(len(e), bool)
+    first[1:] = e["token"][1:] != e["token"][:-1]
+    group = np.cumsum(first) - 1
+    return e, group, np.bincount(group) if len(e) else np.zeros(0, np.int64)
+
+
+def _sketches(size: int):
+    """Texts -> a row for each, and rows of shingles that are common among a task's documents."""
+
+    def row(ids, n, third, hi, lo, common=None):
+        k = len(n)
+        columns = [pa.array(n, pa.int64()), pa.array(third, pa.int64()), pa.array(signed(np.array(hi, np.uint64))), pa.array(signed(np.array(lo, np.uint64)))]
+        return pa.RecordBatch.from_arrays([ids, *columns, pa.nulls(k, pa.list_(pa.int64())) if common is None else pa.array([common], pa.list_(pa.int64()))], ["doc_id", "n_shingles", "n_third", "hi", "lo", "common"])
+
     def run(batches):
-        table, seen = WordHashes(), set()
+        table, seen, held, n_held = WordHashes(), set(), [], 0
+
+        def common():
+            token, owners = np.unique(np.concatenate(held), return_counts=True)
+            got = token[owners >= max(COMMON, len(held) // SHARE)]
+            return row(pa.nulls(1, pa.int64()), [0], [0], [0], [0], signed(got).tolist())
+
         for rows, data, offsets in blocks(batches):
-            n, hi, lo, prints = [], [], [], []
+            n, third, hi, lo = [], [], [], []
             for text in texts(data, offsets):
                 h = shingle_set(text, table, size)
-                with np.errstate(over="ignore"):
-                    hi.append(int(mixed(h).sum(dtype=np.uint64)))
-                    lo.append(int(mixed(h + np.uint64(0x9E3779B97F4A7C15)).sum(dtype=np.uint64)))
                 n.append(len(h))
-                new = len(h) and lo[-1] not in seen  # a copy in the same task has the same ranges: filed once
-                if new and len(seen) < 1_000_000:
+                third.append(int(own(h).sum()))
+                hi.append(int(mixed(h).sum(dtype=np.uint64)))
+                lo.append(int(mixed(h + np.uint64(0x9E3779B97F4A7C15)).sum(dtype=np.uint64)))
+                if lo[-1] not in seen:
+                    held.append(h)
+                    n_held += len(h)
                     seen.add(lo[-1])
-                prints.append(range_prints(h, t) if new else np.zeros(0, np.uint64))
-            flat = signed(np.concatenate(prints)) if prints else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [rows.column("doc_id"), pa.array(n, pa.int64()), pa.array(signed(np.array(hi, np.uint64))), pa.array(signed(np.array(lo, np.uint64))), list_array(flat, np.array([len(p) for p in prints]), pa.int64())],
-                ["doc_id", "n_shingles", "hi", "lo", "prints"],
-            )
+            yield row(rows.column("doc_id"), n, third, hi, lo)
+            if n_held > FLUSH:
+                yield common()
+                seen, held, n_held = set(), [], 0
+        if held:
+            yield common()
+
+    return run
+
+
+def _shingles(size: int):
+    """Batches of texts -> (lo, shingles) of each that isn't a copy of one that the task had shortly before; empty sets are left out."""
+
+    def run(batches):
+        table, seen = WordHashes(), set()
+        for _, data, offsets in blocks(batches):
+            for text in texts(data, offsets):
+                h = shingle_set(text, table, size)
+                lo = int(mixed(h + np.uint64(0x9E3779B97F4A7C15)).sum(dtype=np.uint64))
+                if len(h) and lo not in seen:
+                    if len(seen) > 100_000:
+                        seen.clear()
+                    seen.add(lo)
+                    yield lo, h
+
+    return run
+
+
+def _flushes(found):
+    tokens, los, n = [], [], 0
+    for lo, h in found:
+        tokens.append(h)
+        los.append(lo)
+        n += len(h)
+        if n > FLUSH:
+            yield _entries(tokens, los)
+            tokens, los, n = [], [], 0
+    if n:
+        yield _entries(tokens, los)
+
+
+def _third(size: int, buckets: int):
+    """Texts -> packed entries of a third of their shingles, and credits: how many of these have a second owner in the same flush."""
+
+    def run(batches):
+        for flush in _flushes((lo, h[own(h)]) for lo, h in _shingles(size)(batches)):
+            e, group, owners = _by_token(flush)
+            several = owners[group] > 1
+            lo, n = np.unique(e["lo"][several], return_counts=True)
+            e["lo"][several] = OTHERS
+            e = _by_token(e)[0]
+            where, what = packed(bucket_of(e["token"], buckets), e)
+            k = len(where)
+            at = int(bucket_of(lo[:1], buckets)[0]) if len(lo) else 0
+            yield pa.RecordBatch.from_arrays([pa.array([*where, at], pa.int32()), pa.array([*what, None], pa.binary()), pa.array([None] * k + [signed(lo).tolist()], pa.list_(pa.int64())), pa.array([None] * k + [n.tolist()], pa.list_(pa.int64()))], ["bucket", "entries", "lo", "n"])
 
     return run
 
 
+def _credits(batches):
+    """All entries of some buckets -> how many shingles of each owner have another; a task sends one row for each owner."""
+    batches = list(batches)
+    e, group, owners = _by_token(unpacked(batches, "entries", ENTRY))
+    e = e[(owners[group] > 1) & (e["lo"] != OTHERS)] if len(e) else e
+    los = [e["lo"], *(np.array(x, np.int64).view(np.uint64) for b in batches for x in b.column("lo").to_pylist() if x)]
+    ns = [np.ones(len(e), np.int64), *(np.array(x, np.int64) for b in batches for x in b.column("n").to_pylist() if x)]
+    lo, inverse = np.unique(np.concatenate(los), return_inverse=True)
+    yield pa.RecordBatch.from_arrays([pa.array(signed(lo)), pa.array(np.bincount(inverse, np.concatenate(ns), len(lo)).astype(np.int64))], ["lo", "n"])
+
+
+def _postings(size: int, buckets: int, common):
+    """Texts -> packed entries by token; of common tokens, postings by owner instead."""
+
+    def run(batches):
+        last = common.value
+        for e in _flushes(_shingles(size)(batches)):
+            known = np.isin(e["token"], last)
+            p = np.zeros(int(known.sum()), POSTING)
+            p["lo"], p["token"], p["df"] = e["lo"][known], e["token"][known], 0xFFFFFFFF
+            e = e[~known]
+            (a, x), (b, y) = packed(bucket_of(e["token"], buckets), e), packed(bucket_of(p["lo"], buckets), p)
+            yield pa.RecordBatch.from_arrays([pa.array(a + b, pa.int32()), pa.array(x + [None] * len(b), pa.binary()), pa.array([None] * len(a) + y, pa.binary())], ["bucket", "entries", "postings"])
+
+    return run
+
+
+def _counted(buckets: int):
+    """All entries of some buckets -> postings, with the number of owners, of tokens that have several, by owner."""
+
+    def run(batches):
+        batches = list(batches)
+        e, group, owners = _by_token(unpacked(batches, "entries", ENTRY))
+        df = owners[group] if len(e) else np.zeros(0, np.int64)
+        p = np.zeros(int((df > 1).sum()), POSTING)
+        p["lo"], p["token"], p["df"] = e["lo"][df > 1], e["token"][df > 1], df[df > 1]
+        p = np.concatenate((p, unpacked(batches, "postings", POSTING)))
+        where, what = packed(bucket_of(p["lo"], buckets), p)
+        yield pa.RecordBatch.from_arrays([pa.array(where, pa.int32()), pa.array(what, pa.binary())], ["bucket", "postings"])
+
+    return run
+
+
+def _stars_of(e: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Entries -> (owner, least owner of its token) for all but the least, without repeats, and the entries of the least."""
+    e, group, owners = _by_token(e)
+    at = np.concatenate(([0], np.cumsum(owners)))[:-1]
+    least = e["lo"][at][group] if len(e) else e["lo"]
+    links = np.zeros(int((e["lo"] != least).sum()), ENTRY)
+    links["token"], links["lo"] = least[e["lo"] != least], e["lo"][e["lo"] != least]
+    links = _by_token(links)[0]
+    return links["lo"], links["token"], e[at]
+
+
+def _prefixes(t: int, buckets: int):
+    """All postings of some owners, and their sizes -> packed entries of the first tokens of each; tokens with one owner come first and go nowhere."""
+
+    def run(batches):
+        batches = list(batches)
+        p = unpacked(batches, "postings", POSTING)
+        p = p[np.lexsort((p["token"], p["df"], p["lo"]))]
+        p = p[np.append(True, (p["lo"][1:] != p["lo"][:-1]) | (p["token"][1:] != p["token"][:-1]))] if len(p) else p  # copies of a text send the same
+        sizes = [(lo, n) for b in batches for lo, n in zip(b.column("lo").to_pylist(), b.column("n").to_pylist(), strict=True) if lo is not None]
+        lo = np.array([s[0] for s in sizes], np.int64).view(np.uint64)
+        n = np.array([s[1] for s in sizes], np.int64)
+        order = np.argsort(lo)
+        lo, n = lo[order], n[order]
+        if len(p) and len(lo):
+            a, b = np.searchsorted(p["lo"], lo, "left"), np.searchsorted(p["lo"], lo, "right")
+            need = np.maximum(n - (n * t + 99) // 100 + 1 - (n - (b - a)), 0)
+            who = np.searchsorted(lo, p["lo"])
+            who = np.minimum(who, len(lo) - 1)
+            taken = (lo[who] == p["lo"]) & (np.arange(len(p)) - a[who] < need[who])
+            e = np.zeros(int(taken.sum()), ENTRY)
+            e["token"], e["lo"] = p["token"][taken], p["lo"][taken]
+        else:
+            e = np.zeros(0, ENTRY)
+        u, v, e = _stars_of(e)
+        where, what = packed(bucket_of(e["token"], buckets), e)
+        k, at = len(where), int(bucket_of(u[:1], buckets)[0]) if len(u) else 0
+        yield pa.RecordBatch.from_arrays([pa.array([*where, at], pa.int32()), pa.array([*what, None], pa.binary()), pa.array([None] * k + [signed(u).tolist()], pa.list_(pa.int64())), pa.array([None] * k + [signed(v).tolist()], pa.list_(pa.int64()))], ["bucket", "entries", "u", "v"])
+
+    return run
+
+
+def _stars(batches):
+    batches = list(batches)
+    u, v, _ = _stars_of(unpacked(batches, "entries", ENTRY))
+    lists = [[np.array(x, np.int64) for b in batches for x in b.column(c).to_pylist() if x] for c in ("u", "v")]
+    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([signed(x), *more])) for x, more in zip((u, v), lists, strict=True)], ["u", "v"])
+
+
+def candidates(docs: DataFrame, sketch: DataFrame, whole: DataFrame, size: int, t: int) -> DataFrame:
+    """(u, v): links between fingerprints such that any two sets that can reach the threshold are connected."""
+    spark = docs.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    third = docs.select("text").mapInArrow(_third(size, n), "bucket int, entries binary, lo array<long>, n array<long>").repartition(n, "bucket")
+    credits = third.mapInArrow(_credits, "lo long, n long").groupBy("lo").agg(F.sum("n").alias("shared"))
+    least = F.col("n_third") - F.floor(F.col("n_shingles") * (100 - t) / 100)
+    left = materialize(whole.join(credits, "lo", "left").where(F.coalesce("shared", F.lit(0)) >= least).select("lo", "node", "n_shingles"), "ngram-left")
+    common = sketch.where("common is not null").select(F.explode("common").alias("token")).groupBy("token").count().orderBy(F.desc("count"), "token").limit(KNOWN)
+    known = np.sort(np.array([r["token"] for r in common.toArrow().to_pylist()], np.int64).view(np.uint64))
+    ids = small(left.select(F.col("node").alias("doc_id")).distinct())
+    posted = docs.join(ids, "doc_id", "left_semi").select("text").mapInArrow(_postings(size, n, spark.sparkContext.broadcast(known)), "bucket int, entries binary, postings binary")
+    counted = posted.repartition(n, "bucket").mapInArrow(_counted(n), "bucket int, postings binary")
+    bucket = F.pmod("lo", F.lit(n)).cast("int")
+    sizes = left.select(bucket.alias("bucket"), F.lit(None).cast("binary").alias("postings"), "lo", F.col("n_shingles").alias("n"))
+    both = counted.select("bucket", "postings", F.lit(None).cast("long").alias("lo"), F.lit(None).cast("long").alias("n")).union(sizes)
+    first = both.repartition(n, "bucket").mapInArrow(_prefixes(t, n), "bucket int, entries binary, u array<long>, v array<long>")
+    return first.repartition(n, "bucket").mapInArrow(_stars, "u long, v long")
+
+
 def _sets(size: int):
     def run(batches):
         table = WordHashes()
@@ -215,12 +414,10 @@ def ngram_jaccard_join(docs: DataFrame, size: int = 3, percent: int = 90) -> Dat
     component and takes no part. An empty table gives an empty result; other columns are ignored.
     """
     spark, docs = docs.sparkSession, docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sketch = materialize(docs.mapInArrow(_sketches(size, percent), "doc_id long, n_shingles long, hi long, lo long, prints array<long>"), "ngram-sketch")
-    whole = sketch.where("n_shingles > 0 and doc_id is not null").groupBy("hi", "lo", "n_shingles").agg(F.min("doc_id").alias("node"), F.count("*").alias("n_same"))
-
-    filed = sketch.select(F.explode("prints").alias("print"), F.col("lo").alias("id"))
-    centres = filed.groupBy("print").agg(F.min("id").alias("centre"), F.max("id").alias("last")).where("centre <> last").select("print", "centre")
-    stars = filed.join(centres, "print").where("id <> centre").select(F.col("id").alias("u"), F.col("centre").alias("v"))
+    sketch = materialize(docs.mapInArrow(_sketches(size), "doc_id long, n_shingles long, n_third long, hi long, lo long, common array<long>"), "ngram-sketch")
+    rows_ = sketch.where("common is null").select("doc_id", "n_shingles", "n_third", "hi", "lo")
+    whole = rows_.where("n_shingles > 0 and doc_id is not null").groupBy("hi", "lo", "n_shingles", "n_third").agg(F.min("doc_id").alias("node"), F.count("*").alias("n_same"))
+    stars = candidates(docs.where("doc_id is not null"), sketch, whole, size, percent)
     block_of = components(stars).select(F.col("id").alias("lo"), F.col("component").alias("block"))
     members = materialize(whole.join(block_of, "lo").select("node", "hi", "n_shingles", "block"), "ngram-members")
     sizes = members.groupBy("block").agg(F.ceil(F.sum("n_shingles") / F.lit(BLOCK_SHINGLES)).cast("int").alias("parts"), F.min("node").alias("centre"))
@@ -258,7 +455,7 @@ def ngram_jaccard_join(docs: DataFrame, size: int = 3, percent: int = 90) -> Dat
         discard(both) if both.isEmpty() else None
 
     named = whole.join(classes, "node", "left").select("hi", "lo", "n_shingles", F.coalesce("component", "node").alias("found"), "n_same")
-    return sketch.select("doc_id", "n_shingles", "hi", "lo").join(named, ["hi", "lo", "n_shingles"], "left").select(
+    return rows_.select("doc_id", "n_shingles", "hi", "lo").join(named, ["hi", "lo", "n_shingles"], "left").select(
         "doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("found", "doc_id")).alias("component_id"), F.when(F.col("doc_id").isNotNull(), F.coalesce("n_same", F.lit(1))).otherwise(1).cast("long").alias("n_same")
     )
 
