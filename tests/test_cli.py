@@ -34,3 +34,9 @@ def test_exit_codes(capsys, tmp_path):
     assert cli.main(["info"]) == 0 and '"alpha": 0.05' in capsys.readouterr().out
     assert cli.main(["--config", str(tmp_path / "none.json"), "info"]) == 2
     assert cli.main(["download"]) == 1
+
+
+def test_public_names():
+    import textbayes
+
+    assert all(callable(getattr(textbayes, name)) for name in textbayes.__all__)
