@@ -200,15 +200,32 @@ def _third(size: int, buckets: int):
     return run
 
 
-def _credits(batches):
-    """All entries of some buckets -> how many shingles of each owner have another; a task sends one row for each owner."""
-    batches = list(batches)
-    e, group, owners = _by_token(unpacked(batches, "entries", ENTRY))
-    e = e[(owners[group] > 1) & (e["lo"] != OTHERS)] if len(e) else e
-    los = [e["lo"], *(np.array(x, np.int64).view(np.uint64) for b in batches for x in b.column("lo").to_pylist() if x)]
-    ns = [np.ones(len(e), np.int64), *(np.array(x, np.int64) for b in batches for x in b.column("n").to_pylist() if x)]
-    lo, inverse = np.unique(np.concatenate(los), return_inverse=True)
-    yield pa.RecordBatch.from_arrays([pa.array(signed(lo)), pa.array(np.bincount(inverse, np.concatenate(ns), len(lo)).astype(np.int64))], ["lo", "n"])
+CREDIT = np.dtype([("lo", "<u8"), ("n", "<u8")])
+
+
+def _credits(buckets: int):
+    """All entries of some buckets -> how many shingles of each owner have another, packed by owner."""
+
+    def run(batches):
+        batches = list(batches)
+        e, group, owners = _by_token(unpacked(batches, "entries", ENTRY))
+        e = e[(owners[group] > 1) & (e["lo"] != OTHERS)] if len(e) else e
+        los = [e["lo"], *(np.array(x, np.int64).view(np.uint64) for b in batches for x in b.column("lo").to_pylist() if x)]
+        ns = [np.ones(len(e), np.int64), *(np.array(x, np.int64) for b in batches for x in b.column("n").to_pylist() if x)]
+        lo, inverse = np.unique(np.concatenate(los), return_inverse=True)
+        out = np.zeros(len(lo), CREDIT)
+        out["lo"], out["n"] = lo, np.bincount(inverse, np.concatenate(ns), len(lo)).astype(np.uint64)
+        where, what = packed(bucket_of(lo, buckets), out)
+        yield pa.RecordBatch.from_arrays([pa.array(where, pa.int32()), pa.array(what, pa.binary())], ["bucket", "credits"])
+
+    return run
+
+
+def _credited(batches):
+    """All credits of some owners -> one row for each owner."""
+    c = unpacked(batches, "credits", CREDIT)
+    lo, inverse = np.unique(c["lo"], return_inverse=True)
+    yield pa.RecordBatch.from_arrays([pa.array(signed(lo)), pa.array(np.bincount(inverse, c["n"], len(lo)).astype(np.int64))], ["lo", "shared"])
 
 
 def _postings(size: int, buckets: int, common):
@@ -297,7 +314,7 @@ def candidates(docs: DataFrame, sketch: DataFrame, whole: DataFrame, size: int,
     spark = docs.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     third = docs.select("text").mapInArrow(_third(size, n), "bucket int, entries binary, lo array<long>, n array<long>").repartition(n, "bucket")
-    credits = third.mapInArrow(_credits, "lo long, n long").groupBy("lo").agg(F.sum("n").alias("shared"))
+    credits = third.mapInArrow(_credits(n), "bucket int, credits binary").repartition(n, "bucket").mapInArrow(_credited, "lo long, shared long")
     least = F.col("n_third") - F.floor(F.col("n_shingles") * (100 - t) / 100)
     left = materialize(whole.join(credits, "lo", "left").where(F.coalesce("shared", F.lit(0)) >= least).select("lo", "node", "n_shingles"), "ngram-left")
     common = sketch.where("common is not null").select(F.explode("common").alias("token")).groupBy("token").count().orderBy(F.desc("count"), "token").limit(KNOWN)
