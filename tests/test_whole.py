@@ -1,0 +1,47 @@
+"""Queries over every labelled row, against the SQL twins with the split widened likewise."""
+
+import glob
+import os
+
+import duckdb
+import pytest
+
+from textbayes import oracle, queries
+
+SF = "/root/testdata/sf0.001"
+TRAIN = "FROM lab WHERE doc_id % 10 < 7"
+
+
+def compared(spark, name, sql):
+    con = duckdb.connect()
+    for path in glob.glob(f"{SF}/*.parquet"):
+        con.execute(f"CREATE VIEW {os.path.basename(path)[:-8]} AS SELECT * FROM '{path}'")
+    df = queries.queries()[name](spark, SF)
+    got = con.execute(sql)
+    columns = [d[0] for d in got.description]
+    order = sorted(df.columns)
+    assert sorted(columns) == order
+    norm = lambda row, names: tuple(str(float(v) + 0.0) if isinstance(v, float) else str(v) for v in (row[names.index(c)] for c in order))
+    rows = sorted(norm(tuple(r), df.columns) for r in df.collect())
+    spark.catalog.clearCache()
+    assert rows and rows == sorted(norm(r, columns) for r in got.fetchall())
+
+
+@pytest.mark.parametrize("name", queries.WHOLE)
+def test_whole(spark, name):
+    sql = oracle.oracle_sql()[name]
+    assert sql.count(TRAIN) == 1
+    compared(spark, f"{name}_whole", sql.replace(TRAIN, "FROM lab"))
+
+
+@pytest.mark.parametrize("name", ["score_all", "predict_all", "mcnemar_all", "explain_features"])
+def test_final(spark, name):
+    sql = oracle.oracle_sql()[name]
+    assert sql.count(TRAIN) == 1
+    compared(spark, f"{name}_final", sql.replace(TRAIN, "FROM lab WHERE doc_id % 10 < 8"))
+
+
+def test_no_labelled_row_is_left_out(spark):
+    n = spark.read.parquet(f"{SF}/documents.parquet").join(spark.read.parquet(f"{SF}/labels.parquet"), "doc_id").count()
+    r = queries.queries()["class_df_whole"](spark, SF).first()
+    assert r.n0 + r.n1 == n == queries._merged(spark, SF).count() + queries._test(spark, SF).count()

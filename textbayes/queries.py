@@ -2,11 +2,15 @@
 
 Labelled documents are documents with labels.quality; doc_id mod 10 splits them: 0 to 6 train, 7 dev, 8 and 9 test. The tables' languages have
 Latin script, so script features are pairs of a-z. Doubles are rounded to 6 places for comparison.
+
+The SQL twins have this split, so the queries of NAMES count train rows only. Those named ..._whole count every labelled document, and those
+named ..._final fit on train and dev and score test, as the final test does; between them no labelled row is left out.
 """
 
 from __future__ import annotations
 
 from dataclasses import replace
+from functools import partial
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -33,16 +37,21 @@ def _train(spark, sf_dir) -> DataFrame:
     return _labelled(spark, sf_dir).where("doc_id % 10 < 7")
 
 
+def _merged(spark, sf_dir) -> DataFrame:
+    """Train and dev."""
+    return _labelled(spark, sf_dir).where("doc_id % 10 < 8")
+
+
 def _test(spark, sf_dir) -> DataFrame:
     return _labelled(spark, sf_dir).where("doc_id % 10 >= 8")
 
 
-def _model(spark, sf_dir) -> analyzer.Model:
-    return analyzer.fit_now(_train(spark, sf_dir).cache(), CONFIG)
+def _model(spark, sf_dir, docs=_train) -> analyzer.Model:
+    return analyzer.fit_now(docs(spark, sf_dir).cache(), CONFIG)
 
 
-def _stats(spark, sf_dir) -> DataFrame:
-    train = _train(spark, sf_dir)
+def _stats(spark, sf_dir, docs=_train) -> DataFrame:
+    train = docs(spark, sf_dir)
     return features.feature_stats(features.vocabulary(features.term_stats(features.doc_grams(train, CONFIG)), CONFIG), features.class_totals(train), CONFIG)
 
 
@@ -68,24 +77,24 @@ def unigram_bigram(spark, sf_dir):
     return docs.select(F.explode(T.ngrams(F.col("model_text"), (1, 2))).alias("gram")).groupBy("gram").agg(F.count("*").alias("n"))
 
 
-def gram_predicates(spark, sf_dir):
-    vocab = features.vocabulary(features.term_stats(features.doc_grams(_train(spark, sf_dir), CONFIG)), CONFIG)
+def gram_predicates(spark, sf_dir, docs=_train):
+    vocab = features.vocabulary(features.term_stats(features.doc_grams(docs(spark, sf_dir), CONFIG)), CONFIG)
     other = F.lit("the数")
     return vocab.select("gram", T.is_script_bigram(F.col("gram")).alias("is_han"), T.is_script_bigram(F.col("gram"), "a-z").alias("is_latin"), T.share_character(F.col("gram"), other).alias("shares"), T.holds_placeholder(F.col("gram")).alias("placeholder"))
 
 
-def vocab_df_tf(spark, sf_dir):
-    vocab = features.vocabulary(features.term_stats(features.doc_grams(_train(spark, sf_dir), CONFIG)), CONFIG)
+def vocab_df_tf(spark, sf_dir, docs=_train):
+    vocab = features.vocabulary(features.term_stats(features.doc_grams(docs(spark, sf_dir), CONFIG)), CONFIG)
     return vocab.select("idx", "gram", "df", "tf")
 
 
-def vocab_topk(spark, sf_dir):
-    vocab = features.vocabulary(features.term_stats(features.doc_grams(_train(spark, sf_dir), CONFIG)), replace(CONFIG, max_features=100))
+def vocab_topk(spark, sf_dir, docs=_train):
+    vocab = features.vocabulary(features.term_stats(features.doc_grams(docs(spark, sf_dir), CONFIG)), replace(CONFIG, max_features=100))
     return vocab.select("idx", "gram", "df", "tf")
 
 
-def doc_term_counts(spark, sf_dir):
-    grams = features.doc_grams(_train(spark, sf_dir), CONFIG)
+def doc_term_counts(spark, sf_dir, docs=_train):
+    grams = features.doc_grams(docs(spark, sf_dir), CONFIG)
     return features.counts(grams, features.vocabulary(features.term_stats(grams), CONFIG), CONFIG).select("doc_id", "idx", "tf")
 
 
@@ -108,107 +117,107 @@ def clean_summary(spark, sf_dir):
     return cleaning.summary(_cleaned(spark, sf_dir))
 
 
-def class_df(spark, sf_dir):
-    return _stats(spark, sf_dir).select("idx", "df0", "df1", "tf0", "tf1", "n0", "n1")
+def class_df(spark, sf_dir, docs=_train):
+    return _stats(spark, sf_dir, docs).select("idx", "df0", "df1", "tf0", "tf1", "n0", "n1")
 
 
-def feature_information(spark, sf_dir):
-    return _round(_stats(spark, sf_dir).select("idx", "gram", "mi", "norm_mi", "direction", "w_fwnb"))
+def feature_information(spark, sf_dir, docs=_train):
+    return _round(_stats(spark, sf_dir, docs).select("idx", "gram", "mi", "norm_mi", "direction", "w_fwnb"))
 
 
-def redundancy_candidates(spark, sf_dir):
-    return _round(redundancy.candidates(_stats(spark, sf_dir), CONFIG))
+def redundancy_candidates(spark, sf_dir, docs=_train):
+    return _round(redundancy.candidates(_stats(spark, sf_dir, docs), CONFIG))
 
 
-def pair_cooccurrence(spark, sf_dir):
-    train = _train(spark, sf_dir)
-    stats = _stats(spark, sf_dir).cache()
+def pair_cooccurrence(spark, sf_dir, docs=_train):
+    train = docs(spark, sf_dir)
+    stats = _stats(spark, sf_dir, docs).cache()
     return redundancy.pair_frequency(features.counts(features.doc_grams(train, CONFIG), stats, CONFIG), redundancy.candidates(stats, CONFIG), CONFIG)
 
 
-def redundancy_relations(spark, sf_dir):
-    stats = _stats(spark, sf_dir).cache()
-    return _round(redundancy.relations(pair_cooccurrence(spark, sf_dir), stats, CONFIG))
+def redundancy_relations(spark, sf_dir, docs=_train):
+    stats = _stats(spark, sf_dir, docs).cache()
+    return _round(redundancy.relations(pair_cooccurrence(spark, sf_dir, docs), stats, CONFIG))
 
 
-def dfwnb_weights(spark, sf_dir):
-    return _round(_model(spark, sf_dir).params.select("idx", "redundancy", "w_fwnb", "w_dfwnb"))
+def dfwnb_weights(spark, sf_dir, docs=_train):
+    return _round(_model(spark, sf_dir, docs).params.select("idx", "redundancy", "w_fwnb", "w_dfwnb"))
 
 
-def doc_pairs(spark, sf_dir):
-    return dependency.doc_pairs(_train(spark, sf_dir), _stats(spark, sf_dir), CONFIG).select("doc_id", "left_idx", "right_idx")
+def doc_pairs(spark, sf_dir, docs=_train):
+    return dependency.doc_pairs(docs(spark, sf_dir), _stats(spark, sf_dir, docs), CONFIG).select("doc_id", "left_idx", "right_idx")
 
 
-def dependency_table(spark, sf_dir):
-    return _round(_model(spark, sf_dir).dependencies)
+def dependency_table(spark, sf_dir, docs=_train):
+    return _round(_model(spark, sf_dir, docs).dependencies)
 
 
-def dependency_selection(spark, sf_dir):
-    return _round(_model(spark, sf_dir).corrections)
+def dependency_selection(spark, sf_dir, docs=_train):
+    return _round(_model(spark, sf_dir, docs).corrections)
 
 
-def nb_params(spark, sf_dir):
-    model = _model(spark, sf_dir)
+def nb_params(spark, sf_dir, docs=_train):
+    model = _model(spark, sf_dir, docs)
     return _round(model.params.crossJoin(F.broadcast(model.classes)).select("idx", "logp0", "logp1", "log_prior_0", "log_prior_1"))
 
 
-def score_all(spark, sf_dir):
-    scored = _model(spark, sf_dir).score(_test(spark, sf_dir))
+def score_all(spark, sf_dir, docs=_train):
+    scored = _model(spark, sf_dir, docs).score(_test(spark, sf_dir))
     names = {c: c.replace("-", "_").lower() for c in scored.columns}
     return _round(scored.withColumnsRenamed(names))
 
 
-def predict_all(spark, sf_dir):
-    return _round(_model(spark, sf_dir).predict(_test(spark, sf_dir)))
+def predict_all(spark, sf_dir, docs=_train):
+    return _round(_model(spark, sf_dir, docs).predict(_test(spark, sf_dir)))
 
 
-def metrics_all(spark, sf_dir):
-    return _round(_model(spark, sf_dir).evaluate(_test(spark, sf_dir))["metrics"])
+def metrics_all(spark, sf_dir, docs=_train):
+    return _round(_model(spark, sf_dir, docs).evaluate(_test(spark, sf_dir))["metrics"])
 
 
-def mcnemar_all(spark, sf_dir):
-    return _round(evaluation.mcnemar(_model(spark, sf_dir).predict(_test(spark, sf_dir)))).withColumnRenamed("significant_at_0.05", "significant")
+def mcnemar_all(spark, sf_dir, docs=_train):
+    return _round(evaluation.mcnemar(_model(spark, sf_dir, docs).predict(_test(spark, sf_dir)))).withColumnRenamed("significant_at_0.05", "significant")
 
 
-def bootstrap_all(spark, sf_dir):
-    return evaluation.bootstrap(_model(spark, sf_dir).predict(_test(spark, sf_dir)), 200, 142)
+def bootstrap_all(spark, sf_dir, docs=_train):
+    return evaluation.bootstrap(_model(spark, sf_dir, docs).predict(_test(spark, sf_dir)), 200, 142)
 
 
-def top_features(spark, sf_dir):
-    return _round(explain.top_features(_model(spark, sf_dir).params, 20)).drop("redundancy", "w_dfwnb")
+def top_features(spark, sf_dir, docs=_train):
+    return _round(explain.top_features(_model(spark, sf_dir, docs).params, 20)).drop("redundancy", "w_dfwnb")
 
 
-def top_features_positive(spark, sf_dir):
-    return _round(explain.top_features(_model(spark, sf_dir).params, 20, class_filter=1)).drop("redundancy", "w_dfwnb")
+def top_features_positive(spark, sf_dir, docs=_train):
+    return _round(explain.top_features(_model(spark, sf_dir, docs).params, 20, class_filter=1)).drop("redundancy", "w_dfwnb")
 
 
-def top_dependencies(spark, sf_dir):
-    return _round(explain.top_dependencies(_model(spark, sf_dir).dependencies, 20))
+def top_dependencies(spark, sf_dir, docs=_train):
+    return _round(explain.top_dependencies(_model(spark, sf_dir, docs).dependencies, 20))
 
 
-def explain_features(spark, sf_dir):
-    model, test = _model(spark, sf_dir), _test(spark, sf_dir)
+def explain_features(spark, sf_dir, docs=_train):
+    model, test = _model(spark, sf_dir, docs), _test(spark, sf_dir)
     evidence = explain.feature_evidence(model.counts(test), model.params, CONFIG, "FWNB")
     return _round(explain.ranked(evidence, "evidence_negative", "evidence_positive", 10, "idx").select("doc_id", "rank", "feature", "count", "weight", "evidence_negative", "evidence_positive"))
 
 
-def explain_dependencies(spark, sf_dir):
-    model, test = _model(spark, sf_dir), _test(spark, sf_dir)
+def explain_dependencies(spark, sf_dir, docs=_train):
+    model, test = _model(spark, sf_dir, docs), _test(spark, sf_dir)
     effects = explain.dependency_effects(model.pairs(test), model.corrections, model.params, CONFIG)
     return _round(effects)
 
 
-def explain_documents(spark, sf_dir):
-    out = _model(spark, sf_dir).explain(_test(spark, sf_dir))
+def explain_documents(spark, sf_dir, docs=_train):
+    out = _model(spark, sf_dir, docs).explain(_test(spark, sf_dir))
     return out.select("doc_id", "pred", F.to_json(F.struct("*")).alias("json"))
 
 
-def model_roundtrip(spark, sf_dir):
+def model_roundtrip(spark, sf_dir, docs=_train):
     """Predictions of a model that was written and read again; its folder is in the shared checkpoint folder, or the warehouse."""
     import uuid
 
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    path = _model(spark, sf_dir).save(f"{root.rstrip('/')}/model-{uuid.uuid4().hex}")
+    path = _model(spark, sf_dir, docs).save(f"{root.rstrip('/')}/model-{uuid.uuid4().hex}")
     return _round(analyzer.Model.load(spark, path).predict(_test(spark, sf_dir)))
 
 
@@ -223,8 +232,17 @@ NAMES = [
 ]
 
 
+#: Queries with a second form over every labelled document, and with one fitted on train and dev.
+WHOLE = [
+    "gram_predicates", "vocab_df_tf", "vocab_topk", "doc_term_counts", "class_df", "feature_information", "redundancy_candidates", "pair_cooccurrence", "redundancy_relations", "dfwnb_weights", "doc_pairs", "dependency_table",
+    "dependency_selection", "nb_params", "top_features", "top_features_positive", "top_dependencies",
+]
+FINAL = ["score_all", "predict_all", "metrics_all", "mcnemar_all", "bootstrap_all", "explain_features", "explain_dependencies", "explain_documents", "model_roundtrip"]
+
+
 def queries() -> dict:
-    return {name: globals()[name] for name in NAMES}
+    own = {name: globals()[name] for name in NAMES}
+    return {**own, **{f"{n}_whole": partial(own[n], docs=_labelled) for n in WHOLE}, **{f"{n}_final": partial(own[n], docs=_merged) for n in FINAL}}
 
 
 def entry(spark) -> DataFrame:
