@@ -45,12 +45,16 @@ class Counter_:
         return [len(e) for e in self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in words], add_special_tokens=False)]
 
     def _parts(self, word: bytes) -> tuple[bytes, bytes]:
-        """A word without its last marks, with A-Z lowered if the tokenizer does so, and the marks; a word with < stays, for special strings."""
+        """A word without its last marks, with A-Z lowered if the tokenizer does so, and the marks; a word with < stays, for special strings.
+
+        Only words of ASCII are lowered: the tokenizer composes before it lowers, and H with a macron below composes in small letters only.
+        """
         if not self.lower or b"<" in word:
             return word, b""
-        core = word.rstrip(ENDINGS)
+        low = word.lower() if word.isascii() else word
+        core = low.rstrip(ENDINGS)
         # before the marks must stand a letter or digit, or they'd be part of a longer run of marks
-        return (core.lower(), word[len(core) :]) if core and (core[-1:].isalnum()) else (word.lower(), b"")
+        return (core, word[len(core) :]) if core and (core[-1:].isalnum()) else (low, b"")
 
     def learn(self, words: set[bytes]) -> None:
         """Counts words that aren't kept; when a generation is full, the one before it goes, so that frequent words stay."""
