@@ -1,0 +1,8 @@
+from textbayes import queries
+from textbayes.config import Config
+
+
+def test_production_resamples(spark):
+    rows = queries.bootstrap_all(spark, "/root/testdata/sf0.001").collect()
+    assert len(rows) == 4 and {(r.bootstrap_resamples, r.random_seed) for r in rows} == {(Config().bootstrap_resamples, 142)} == {(5000, 142)}
+    spark.catalog.clearCache()

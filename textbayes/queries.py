@@ -180,7 +180,7 @@ def mcnemar_all(spark, sf_dir, docs=_train):
 
 
 def bootstrap_all(spark, sf_dir, docs=_train):
-    return evaluation.bootstrap(_model(spark, sf_dir, docs).predict(_test(spark, sf_dir)), 200, 142)
+    return evaluation.bootstrap(_model(spark, sf_dir, docs).predict(_test(spark, sf_dir)), CONFIG.bootstrap_resamples, CONFIG.random_seed + CONFIG.bootstrap_seed_offset)
 
 
 def top_features(spark, sf_dir, docs=_train):
