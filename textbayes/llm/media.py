@@ -93,9 +93,14 @@ def _table(data, at: dict, kind: bytes, form: str, skip: int = 4) -> np.ndarray:
 
 
 def tracks(data: bytes) -> list[dict]:
-    """For each track: codec, duration in seconds, byte ranges of samples in order (offsets, sizes) and indexes of keyframes."""
+    """For each track: codec, duration in seconds, byte ranges of samples in order (offsets, sizes) and indexes of keyframes.
+
+    Samples in fragments aren't read: a file with moof boxes raises ValueError.
+    """
     found: list[dict] = []
     for path, begin, end in walk(data):
+        if path == (b"moof",):
+            raise ValueError("the file has fragments, which aren't read")
         if path[-2:] == (b"moov", b"trak"):
             found.append({})
         elif found and b"trak" in path:
@@ -130,38 +135,47 @@ def joined(offsets: np.ndarray, sizes: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(offsets[a].tolist(), (offsets[b] + sizes[b]).tolist(), strict=True))
 
 
-def payload_of(data: bytes) -> bytes:
-    """The samples of the first track, read by their byte ranges."""
-    track = tracks(data)[0]
-    return b"".join(data[a:b] for a, b in joined(track["offsets"], track["sizes"]))
+def payload_of(data: bytes, track: int = 0) -> bytes:
+    """The samples of a track, by default the first, read by their byte ranges."""
+    found = tracks(data)[track]
+    return b"".join(data[a:b] for a, b in joined(found["offsets"], found["sizes"]))
 
 
 RANGES = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
 
 
+TRACKS = pa.list_(pa.struct([("codec", pa.string()), ("seconds", pa.float64()), ("n_samples", pa.int64()), ("keyframes", RANGES)]))
+
+
+def _ranges(track: dict) -> list[dict]:
+    starts, sizes = track["offsets"][track["keyframes"]], track["sizes"][track["keyframes"]]
+    return [{"start": a, "stop": b} for a, b in zip(starts.tolist(), (starts + sizes).tolist(), strict=True)]
+
+
 def _described(files: list[bytes]) -> list[pa.Array]:
     rows = []
     for data in files:
         try:
-            found = tracks(data)
-            rows.append((found[0] if found else None, None if found else "no track"))
+            found = [{"codec": t["codec"], "seconds": t["seconds"], "n_samples": len(t["sizes"]), "keyframes": _ranges(t)} for t in tracks(data)]
+            rows.append((found or None, None if found else "no track"))
         except (ValueError, KeyError, IndexError, struct.error) as e:
             rows.append((None, f"{type(e).__name__}: {e}"))
-    keys = [None if t is None else [{"start": int(t["offsets"][k]), "stop": int(t["offsets"][k] + t["sizes"][k])} for k in t["keyframes"].tolist()] for t, _ in rows]
-    get = lambda name: [t and t[name] for t, _ in rows]
-    return [pa.array(get("codec"), pa.string()), pa.array(get("seconds"), pa.float64()), pa.array([None if t is None else len(t["sizes"]) for t, _ in rows], pa.int64()), pa.array(keys, RANGES), pa.array([e for _, e in rows], pa.string())]
+    get = lambda name: [t and t[0][name] for t, _ in rows]
+    first = [pa.array(get(f.name), f.type) for f in TRACKS.value_type]
+    return [*first, pa.array([t for t, _ in rows], TRACKS), pa.array([e for _, e in rows], pa.string())]
 
 
-DESCRIBED = "codec string, seconds double, n_samples long, keyframes array<struct<start:long,stop:long>>, error string"
+DESCRIBED = "codec string, seconds double, n_samples long, keyframes array<struct<start:long,stop:long>>, tracks array<struct<codec:string,seconds:double,n_samples:long,keyframes:array<struct<start:long,stop:long>>>>, error string"
 
 
 def media_columns(files: DataFrame, content: str = "media") -> DataFrame:
-    """files(..., content binary) -> the same rows and columns with the first track's codec, seconds, n_samples, keyframes (byte ranges) and error.
+    """files(..., content binary) -> the same rows and columns with the first track's codec, seconds, n_samples, keyframes (byte ranges), the same of
+    all tracks in tracks, and error.
 
-    A null, empty or broken file has null for all but error; a file is never read beyond its boxes and tables. The added columns replace
+    A null, empty, broken or fragmented file has null for all but error; a file is never read beyond its boxes and tables. The added columns replace
     columns of the same names.
     """
-    names = ["codec", "seconds", "n_samples", "keyframes", "error"]
+    names = ["codec", "seconds", "n_samples", "keyframes", "tracks", "error"]
     kept = files.drop(*names)
 
     def run(batches):
