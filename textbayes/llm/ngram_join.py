@@ -480,11 +480,19 @@ def ngram_jaccard_join(docs: DataFrame, size: int = 3, percent: int = 90) -> Dat
 def keep_one(docs: DataFrame, size: int = 3, percent: int = 90) -> DataFrame:
     """docs without those that link, directly or over others, to a document with a smaller doc_id; all columns stay.
 
-    Rows without doc_id are kept. Rows that repeat a doc_id are reduced to one.
+    Rows without doc_id are kept. Rows that repeat both doc_id and text are reduced to one; where only a doc_id repeats, each of its texts
+    is a document of its own, and their order is that of the texts' hashes.
     """
-    found = materialize(ngram_jaccard_join(docs, size, percent).select("doc_id", "component_id"), "ngram-found")
-    gone = found.where("component_id < doc_id").select("doc_id").distinct()
-    kept = docs.join(small(gone), "doc_id", "left_anti")
-    if found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
-        return kept
-    return kept.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(kept.where("doc_id is null"))
+    known = docs.where("doc_id is not null")
+    if known.groupBy("doc_id").count().where("count > 1").isEmpty():
+        found = materialize(ngram_jaccard_join(docs, size, percent).select("doc_id", "component_id"), "ngram-found")
+        return docs.join(small(found.where("component_id < doc_id").select("doc_id")), "doc_id", "left_anti")
+    marked = known.withColumn("__mark", F.xxhash64("text"))
+    # numbers of sorted rows grow with the order, so the smallest number of a component is its smallest doc_id's
+    keys = materialize(marked.select("doc_id", "__mark").distinct().orderBy("doc_id", "__mark").withColumn("__key", F.monotonically_increasing_id()), "ngram-keys")
+    one = marked.dropDuplicates(["doc_id", "__mark"])
+    keyed = materialize(one.select("doc_id", "__mark", "text").join(keys, ["doc_id", "__mark"]).select(F.col("__key").alias("doc_id"), "text"), "ngram-keyed")
+    found = materialize(ngram_jaccard_join(keyed, size, percent).where("component_id < doc_id").select(F.col("doc_id").alias("__key")), "ngram-found")
+    gone = small(keys.join(found, "__key").select("doc_id", "__mark"))
+    kept = one.join(gone, ["doc_id", "__mark"], "left_anti").select(docs.columns)
+    return kept.unionByName(docs.where("doc_id is null"))
