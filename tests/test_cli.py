@@ -11,20 +11,20 @@ def write(path, rows):
 
 
 def test_protocol(spark, tmp_path, capsys):
-    good, bad = ["房间很干净服务热情", "服务热情早餐很好", "房间很干净位置好", "早餐很好服务热情"], ["房间太差服务冷淡", "服务冷淡早餐难吃", "房间太差位置偏", "早餐难吃服务冷淡"]
-    rows = lambda k: [(1, t + str(k) * 0 + "好" * k) for t in good] + [(0, t + "差" * k) for t in bad]
+    good, bad = ["湖水清澈花香", "列车准时座位宽", "花香座位宽", "湖水清澈列车准时"], ["河水发臭虫多", "列车晚点座位破", "虫多座位破", "河水发臭列车晚点"]
+    rows = lambda k: [(1, t + "甜" * k) for t in good] + [(0, t + "苦" * k) for t in bad]
     paths = [x for i, s in enumerate(("train", "dev", "test")) for x in (f"--{s}", write(tmp_path / f"{s}.tsv", rows(i + 1)))]
     out = tmp_path / "out"
     assert cli.main(["final-test", *paths, "--out", str(out), "--skip-bootstrap", "--save-model", str(tmp_path / "model")]) == 0
     assert (out / "final_test_metrics.csv").exists() and (out / "final_test_mcnemar.csv").exists() and not (out / "final_test_bootstrap.csv").exists()
     assert cli.main(["run", *paths, "--out", str(out)]) == 0 and (out / "validation_metrics.csv").exists()
     capsys.readouterr()
-    assert cli.main(["explain", "--model-path", str(tmp_path / "model"), "--text", "服务热情", "服务冷淡", "--top", "2"]) == 0
+    assert cli.main(["explain", "--model-path", str(tmp_path / "model"), "--text", "湖水清澈", "河水发臭", "--top", "2"]) == 0
     lines = [json.loads(x) for x in capsys.readouterr().out.splitlines() if x.startswith("{")]
     assert [x["pred"] for x in lines] == [1, 0] and len(lines[0]["features"]) <= 2
 
     stream = tmp_path / "stream"
-    spark.createDataFrame([(1, "服务热情！"), (2, "服务冷淡。")], "doc_id long, text string").write.parquet(str(stream))
+    spark.createDataFrame([(1, "湖水清澈！"), (2, "河水发臭。")], "doc_id long, text string").write.parquet(str(stream))
     query = score_stream(spark.readStream.schema("doc_id long, text string").parquet(str(stream)), Model.load(spark, str(tmp_path / "model")), str(tmp_path / "scored"), str(tmp_path / "check"))
     query.awaitTermination()
     assert {(r.doc_id, r.pred) for r in spark.read.parquet(str(tmp_path / "scored")).where("model = 'SDFWNB'").collect()} == {(1, 1), (2, 0)}

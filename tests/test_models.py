@@ -8,21 +8,22 @@ from pyspark.sql import functions as F
 from textbayes.config import Config, load_config
 from textbayes.operators import bayes, dependency, evaluation, explain, features, redundancy
 from textbayes.plans import analyzer
+from textbayes.storage import in_order
 
-POSITIVE = ["这家酒店非常好服务热情房间干净", "位置很好交通方便早餐丰富", "环境优雅安静舒适值得推荐", "性价比超高下次还会再来", "房间宽敞明亮员工态度好"]
-NEGATIVE = ["房间太差态度恶劣不会再来了", "价格贵体验糟糕非常失望", "设施老旧噪音很大睡眠不好", "卫生条件差前台态度冷淡", "位置偏僻服务慢早餐难吃"]
+POSITIVE = ["湖水清澈见底岸边花开满园", "列车准时到站座位宽大舒适", "老师讲课清楚学生听得入神", "面包松软香甜还想再买一些", "夜晚星空明亮微风十分凉爽"]
+NEGATIVE = ["河水浑浊发臭岸边垃圾成堆", "列车晚点三次座位破旧不堪", "老师讲课混乱学生昏昏欲睡", "面包又干又硬不想再买第二", "夜晚蚊虫成群闷热无法入睡"]
 CONFIG = replace(Config(), redundancy_minimum_pair_df=2, minimum_jaccard=0.0, dependency_minimum_pair_df=2, dependency_support_tau=5.0, maximum_pairs_per_document=3)
 
 
 @pytest.fixture(scope="module")
 def docs(spark):
-    data = [(t, 1) for t in POSITIVE * 4] + [(t, 0) for t in NEGATIVE * 4] + [("会再来会再来还会再", 1)] * 3 + [("不会再来不会", 0)] * 2
+    data = [(t, 1) for t in POSITIVE * 4] + [(t, 0) for t in NEGATIVE * 4] + [("想再买想再买还想再", 1)] * 3 + [("不想再买不想", 0)] * 2
     return spark.createDataFrame([(i, t, y) for i, (t, y) in enumerate(data)], "doc_id long, model_text string, label int").cache()
 
 
 @pytest.fixture(scope="module")
 def model(docs):
-    return analyzer.fit_now(docs, CONFIG)
+    return analyzer.fit(docs, CONFIG)
 
 
 def test_vocabulary(spark):
@@ -31,12 +32,15 @@ def test_vocabulary(spark):
         d = spark.createDataFrame([(i, t, i % 2) for i, t in enumerate(texts)], "doc_id long, model_text string, label int")
         return d, {r.gram: r.idx for r in features.vocabulary(features.term_stats(features.doc_grams(d, config)), config).collect()}
 
-    _, v = vocab(["好的好的", "好的很好", "很差很差"], max_features=10)
-    assert v["好的"] == 0 and "很差" not in v
-    _, v = vocab(["甲乙丙丁", "乙丙丁戊", "丙丁戊己", "丁戊己庚"], min_df=1, max_features=5)
-    assert len(v) == 5 and sorted(v.values()) == list(range(5))
-    d, v = vocab(["服务好服务好", "服务好服务好"], max_features=None)
-    c = features.counts(features.doc_grams(d, Config()), spark.createDataFrame([(0, "服务")], "idx int, gram string"), replace(Config(), max_features=None))
+    _, v = vocab(["雨天雨天", "雨天有雾", "冰雹冰雹"], max_features=10)
+    assert v["雨天"] == 0 and "冰雹" not in v
+    texts = ["春江花月", "江花月夜", "花月夜静", "月夜静好", "夜静好眠"]
+    _, v = vocab(texts, min_df=1, max_features=4)
+    assert len(v) == 4 and sorted(v.values()) == list(range(4))
+    _, free = vocab(texts, min_df=1, max_features=None)
+    assert {g: i for g, i in free.items() if i < 4} == v and sorted(free.values()) == list(range(len(free)))
+    d, v = vocab(["云海云雾云海", "云海云雾云海"], max_features=None)
+    c = features.counts(features.doc_grams(d, Config()), spark.createDataFrame([(0, "云海")], "idx int, gram string"), replace(Config(), max_features=None))
     assert {r.tf for r in c.collect()} == {2}
 
 
@@ -101,8 +105,8 @@ def test_dependencies(model, docs):
 
 
 def test_doc_pairs(spark):
-    vocab = spark.createDataFrame([("不满", 0), ("满意", 1), ("意这", 2), ("这家", 3), ("家酒", 4)], "gram string, idx int")
-    d = spark.createDataFrame([(1, 0, "不满意这家酒店数字元哈哈哈")], "doc_id long, label int, model_text string")
+    vocab = spark.createDataFrame([("竹林", 0), ("林间", 1), ("间小", 2), ("小路", 3), ("路网", 4), ("网址", 5)], "gram string, idx int")
+    d = spark.createDataFrame([(1, 0, "竹林间小路网址林间小嘻嘻嘻")], "doc_id long, label int, model_text string")
     assert sorted((r.left_idx, r.right_idx) for r in dependency.doc_pairs(d, vocab, Config()).collect()) == [(0, 1), (1, 2), (2, 3), (3, 4)]
 
 
@@ -133,7 +137,7 @@ def test_end_to_end(spark, model, docs, tmp_path):
     report = model.evaluate(docs)
     metrics = {r.model: r for r in report["metrics"].collect()}
     assert set(metrics) == set(bayes.MODELS) and max(r.accuracy for r in metrics.values()) > 0.9
-    new = spark.createDataFrame([(1, "房间干净服务好"), (2, "房间太差态度恶劣"), (3, ""), (4, "未知词汇完全")], "doc_id long, model_text string")
+    new = spark.createDataFrame([(1, "湖水清澈花开"), (2, "河水发臭垃圾成堆"), (3, ""), (4, "陌生文字而已")], "doc_id long, model_text string")
     got = {r.doc_id: r for r in model.predict(new, ["SDFWNB"]).collect()}
     assert got[1].pred == 1 and got[2].pred == 0 and got[1].p1 > got[2].p1
     assert got[3].score1 == got[4].score1 == model.classes.first().log_prior_1
@@ -147,18 +151,20 @@ def test_end_to_end(spark, model, docs, tmp_path):
 
 def test_bad_input(spark, docs):
     with pytest.raises(ValueError, match="both"):
-        analyzer.fit_now(docs.where("label = 1"), CONFIG)
+        analyzer.fit(docs.where("label = 1"), CONFIG)
     with pytest.raises(ValueError, match="empty"):
-        analyzer.fit_now(docs.withColumn("model_text", F.lit("x")), CONFIG)
+        analyzer.fit(docs.withColumn("model_text", F.lit("x")), CONFIG)
     for bad in ({"alpha": 0.0}, {"ngram_range": (2, 1)}, {"minimum_weight": 2.0}, {"dependency_pair_count": -1}):
         with pytest.raises(ValueError):
             replace(Config(), **bad)
 
 
-def test_lazy_fit_is_the_same(model, docs):
-    lazy = analyzer.fit(docs, CONFIG)
-    key = lambda df: sorted((r.idx, round(r.w_dfwnb, 10), round(r.logp1, 10)) for r in df.select("idx", "w_dfwnb", "logp1").collect())
-    assert key(lazy.params) == key(model.params)
+def test_numbers_in_order(spark):
+    df = spark.range(1000).select((F.col("id") * 7919 % 1000).alias("k"), (F.col("id") % 3).alias("w"))
+    got = in_order(df, [F.desc("k")], "t").collect()
+    assert sorted((r.before, r.k) for r in got) == [(i, 999 - i) for i in range(1000)]
+    weights = {r.k: r.w for r in df.collect()}
+    assert all(r.before == sum(weights[k] for k in range(r.k + 1, 1000)) for r in in_order(df, [F.desc("k")], "t", F.col("w")).collect())
 
 
 def predicted(spark, y, *models):
@@ -189,12 +195,31 @@ def test_mcnemar(spark):
 
 def test_bootstrap(spark):
     rng = np.random.default_rng(1)
-    y = rng.integers(0, 2, 60).tolist()
-    noisy = lambda p: [int(t if rng.random() < p else 1 - t) for t in y]
-    p = predicted(spark, y, ("a", noisy(0.6), [0.5] * 60), ("b", noisy(0.9), [0.5] * 60))
-    r, again = (evaluation.bootstrap(p, 250, 123, [("a", "b")]).first() for _ in range(2))
+    y = rng.integers(0, 2, 60)
+    noisy = lambda p: np.where(rng.random(60) < p, y, 1 - y)
+    a, b = noisy(0.6), noisy(0.9)
+    p = predicted(spark, y.tolist(), ("a", a.tolist(), [0.5] * 60), ("b", b.tolist(), [0.5] * 60))
+    r, again = (evaluation.bootstrap(p, 5000, 123, [("a", "b")]).first() for _ in range(2))
     assert r == again and r.ci_95_lower <= r.mean_macro_f1_difference <= r.ci_95_upper and r.ci_excludes_zero == (r.ci_95_lower > 0 or r.ci_95_upper < 0)
 
+    # resampled document by document
+    def f1(t, q):
+        return np.mean([2 * ((t == c) & (q == c)).sum() / max(1, (t == c).sum() + (q == c).sum()) for c in (0, 1)])
+
+    diffs = [f1(y[k], b[k]) - f1(y[k], a[k]) for k in rng.integers(0, 60, (5000, 60))]
+    assert r.mean_macro_f1_difference == pytest.approx(np.mean(diffs), abs=0.01)
+    assert [r.ci_95_lower, r.ci_95_upper] == pytest.approx(np.percentile(diffs, [2.5, 97.5]), abs=0.02)
+
+
+def test_metrics_keep_the_artifact_contract(spark, model, docs):
+    report = model.evaluate(docs)
+    for r in report["metrics"].collect():
+        shares = {k: v for k, v in r.asDict().items() if isinstance(v, float)}
+        assert all(0 <= v <= 1 for v in shares.values()) and r.balanced_accuracy == r.macro_recall and r.tn + r.fp + r.fn + r.tp == docs.count()
+    tests = analyzer.significance(report["predictions"], CONFIG)
+    assert all(r.discordant_pairs == r.a_correct_b_wrong + r.a_wrong_b_correct and 0 <= r.p_value_exact_two_sided <= 1 for r in tests["mcnemar"].collect())
+    assert {(r.bootstrap_resamples, r.random_seed) for r in tests["bootstrap"].collect()} == {(5000, 142)}
+
 
 def test_config(tmp_path):
     (tmp_path / "c.json").write_text('{"text_feature": {"ngram_range": [1, 2], "min_df": 3}, "sdfwnb": {"minimum_pair_df": 9}, "dfwnb_v2": {"support_tau": 7.0}}')

@@ -9,6 +9,7 @@ import duckdb
 import pytest
 
 from textbayes import oracle, queries
+from textbayes.storage import release
 
 SF = "/root/testdata/sf0.001"
 ROOT = Path(__file__).parent.parent
@@ -34,7 +35,20 @@ def test_query(spark, db, name):
         assert sorted(columns) == order
         norm = lambda row, names: tuple(str(float(v) + 0.0) if isinstance(v, float) else str(v) for v in (row[names.index(c)] for c in order))
         assert sorted(norm(tuple(r), df.columns) for r in rows) == sorted(norm(r, columns) for r in got.fetchall())
-    spark.catalog.clearCache()
+    release(spark)
+
+
+def test_every_labelled_row_counts(spark):
+    n = spark.read.parquet(f"{SF}/documents.parquet").join(spark.read.parquet(f"{SF}/labels.parquet"), "doc_id").count()
+    r = queries.class_df(spark, SF).first()
+    assert r.n0 + r.n1 == n
+    assert queries.score_all(spark, SF).count() == spark.read.parquet(f"{SF}/documents.parquet").count()
+
+
+def test_plans_stay_short(spark):
+    for name in ("metrics_all", "explain_documents", "mcnemar_all"):
+        plan = queries.queries()[name](spark, SF)._jdf.queryExecution().toString()
+        assert len(plan) < 200_000, name
 
 
 def test_nothing_else_imports_llm():

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import argparse
 import sys
+import traceback
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,6 +13,7 @@ from textbayes.config import Config, load_config
 from textbayes.operators import cleaning
 from textbayes.plans import analyzer
 from textbayes.sources import tables
+from textbayes.storage import materialize, release
 
 
 def _parser() -> argparse.ArgumentParser:
@@ -21,7 +23,7 @@ def _parser() -> argparse.ArgumentParser:
     for name, text in (("run", "fit on train, evaluate on dev"), ("final-test", "fit on train and dev, evaluate on test, with tests of significance")):
         c = commands.add_parser(name, help=text)
         for split in ("train", "dev", "test"):
-            c.add_argument(f"--{split}", required=True, help=f"TSV file of the {split} split")
+            c.add_argument(f"--{split}", required=True, help=f"TSV file or folder of the {split} split")
         c.add_argument("--out", default="results")
         c.add_argument("--save-model")
         if name == "final-test":
@@ -42,7 +44,7 @@ def load_splits(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
     for split, path in paths.items():
         part = tables.standardize(tables.read_split(spark, path), split)
         whole = part if whole is None else whole.unionByName(part)
-    cleaned = cleaning.clean(whole).cache()
+    cleaned = materialize(cleaning.clean(whole), "cleaned")
     cleaning.summary(cleaned).orderBy("split").show()
     return cleaning.ready(cleaned)
 
@@ -56,14 +58,13 @@ def _protocol(spark: SparkSession, args, config: Config) -> None:
     ready = load_splits(spark, {s: getattr(args, s) for s in ("train", "dev", "test")})
     final = args.command == "final-test"
     train = _docs(ready, "train", "dev") if final and config.train_dev_merge else _docs(ready, "train")
-    model = analyzer.fit_now(train, config)
+    model = analyzer.fit(train, config)
     report = model.evaluate(_docs(ready, "test" if final else "dev"))
     prefix = "final_test" if final else "validation"
     tables.write_csv(report["metrics"], f"{args.out}/{prefix}_metrics.csv")
     tables.write_json({"config": config.__dict__, "features": model.params.count(), "pairs": model.corrections.count()}, f"{args.out}/{prefix}_metadata.json")
     if final:
-        predicted = report["predictions"].cache()
-        tests = analyzer.significance(predicted, config, 2 if args.skip_bootstrap else None)
+        tests = analyzer.significance(report["predictions"], config)
         tables.write_csv(tests["mcnemar"], f"{args.out}/{prefix}_mcnemar.csv")
         if not args.skip_bootstrap:
             tables.write_csv(tests["bootstrap"], f"{args.out}/{prefix}_bootstrap.csv")
@@ -93,11 +94,12 @@ def main(argv: list[str] | None = None) -> int:
         else:
             spark = SparkSession.builder.appName("textbayes").getOrCreate()
             _explain(spark, args) if args.command == "explain" else _protocol(spark, args, config)
+            release(spark)
     except FileNotFoundError as e:
         print(f"missing file: {e}", file=sys.stderr)
         return 2
-    except Exception as e:  # noqa: BLE001
-        print(f"{type(e).__name__}: {e}", file=sys.stderr)
+    except Exception:  # noqa: BLE001
+        traceback.print_exc()
         return 1
     return 0
 

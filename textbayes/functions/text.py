@@ -22,6 +22,11 @@ PLACEHOLDERS = (NUMBER, URL, EMAIL)
 ASCII_MARKS, KEPT_MARKS = ",.!?;:", "，。！？；："
 EDGE = "，。；：、"
 SPACE = r"\s\x1c-\x1f"
+TAG = "<[^>]*>"
+URL_PATTERN = rf"(?U)https?://[^{SPACE}]+|www\.[^{SPACE}]+"
+EMAIL_PATTERN = r"[a-z0-9._%+\-]+@[a-z0-9.\-]+\.[a-z]{2,}"
+NUMBER_PATTERN = r"(?U)\d+(?:[.,]\d+)*"
+OTHER = f"[^a-z0-9{HAN}{PUNCTUATION}]+"
 #: Ranges that NFKC leaves alone, also side by side.
 STABLE = "\x00-\x9fÀ-ıĴ-ľŁ-ňŊ-žƀ-ǃǍ-ǰǴ-ʯ、-。" + HAN
 
@@ -39,14 +44,12 @@ def nfkc(text: Column) -> Column:
 def normalize(text: Column) -> Column:
     """The text that models read: lower case, placeholders for urls, mail addresses and numbers, no white space, no other signs than PUNCTUATION."""
     x = F.lower(nfkc(F.coalesce(text, F.lit(""))))
-    x = F.regexp_replace(x, "<[^>]*>", "")
-    x = F.regexp_replace(x, rf"(?U)https?://[^{SPACE}]+|www\.[^{SPACE}]+", URL)
-    x = F.regexp_replace(x, r"[a-z0-9._%+\-]+@[a-z0-9.\-]+\.[a-z]{2,}", EMAIL)
-    x = F.regexp_replace(x, r"(?U)\d+(?:[.,]\d+)*", NUMBER)
+    for pattern, to in ((TAG, ""), (URL_PATTERN, URL), (EMAIL_PATTERN, EMAIL), (NUMBER_PATTERN, NUMBER)):
+        x = F.regexp_replace(x, pattern, to)
     x = F.translate(x, ASCII_MARKS, KEPT_MARKS)
     x = F.regexp_replace(x, f"([{KEPT_MARKS}])\\1+", "$1")
     x = F.regexp_replace(x, rf"(?U)[{SPACE}]+", "")
-    x = F.regexp_replace(x, f"[^a-z0-9{HAN}{PUNCTUATION}]+", "，")
+    x = F.regexp_replace(x, OTHER, "，")
     x = F.regexp_replace(x, "，+", "，")
     return F.btrim(x, F.lit(EDGE))
 
@@ -67,6 +70,21 @@ def ngrams(text: Column, ngram_range: tuple[int, int] = (1, 2)) -> Column:
     return F.filter(grams, lambda g: ~g.rlike(f"^[{PUNCTUATION}]+$"))
 
 
+def _let(value: Column, body) -> Column:
+    """body(value) with value computed once."""
+    return F.transform(F.array(value), body)[0]
+
+
+def counted(grams: Column) -> Column:
+    """array<struct<gram, tf>> of an array's distinct elements: sorted, each run gives one; null for an empty array."""
+
+    def runs(a):
+        begin = F.filter(F.sequence(F.lit(0), F.size(a) - 1), lambda i: (i == 0) | (F.get(a, i) != F.get(a, i - 1)))
+        return _let(begin, lambda b: F.transform(b, lambda x, j: F.struct(F.get(a, x).alias("gram"), (F.coalesce(F.get(b, j + 1), F.size(a)) - x).cast("long").alias("tf"))))
+
+    return F.when(F.size(grams) > 0, _let(F.sort_array(grams), runs))
+
+
 def is_script_bigram(gram: Column, script_class: str = HAN) -> Column:
     """Whether a gram is two characters of a class; null is not."""
     return F.coalesce(gram.rlike(rf"\A[{script_class}]{{2}}\z"), F.lit(False))

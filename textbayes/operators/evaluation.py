@@ -5,9 +5,10 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from textbayes.storage import in_order
+
 #: The compared pairs of models.
 MCNEMAR_PAIRS = [("StandardNB", "SDFWNB"), ("FWNB", "DFWNB-v2"), ("DFWNB-v2", "SDFWNB")]
 BOOTSTRAP_PAIRS = [("StandardNB", "FWNB"), ("FWNB", "DFWNB-v2"), ("DFWNB-v2", "SDFWNB"), ("StandardNB", "SDFWNB")]
@@ -27,13 +28,14 @@ def confusion(predicted: DataFrame) -> DataFrame:
 def auc(predicted: DataFrame, score: str = "p1") -> DataFrame:
     """(model, auc) by the sum of average ranks; null for a model with one class only.
 
-    Equal scores are counted first, so the ordered pass is over distinct scores; a model's distinct scores are ordered by one task.
+    Equal scores are counted first; distinct scores are then dealt by ranges, and only the sums of ranges are added up in one place.
     """
     ties = predicted.groupBy("model", F.col(score).alias("s")).agg(F.count("*").alias("n"), F.count_if(F.col("label") == 1).alias("ones"))
-    before = F.coalesce(F.sum("n").over(W.partitionBy("model").orderBy("s").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    ranked = ties.withColumn("rank", before + (F.col("n") + 1) / 2.0)
-    got = ranked.groupBy("model").agg(F.sum(F.col("rank") * F.col("ones")).alias("r"), F.sum("ones").alias("n1"), (F.sum("n") - F.sum("ones")).alias("n0"))
-    value = (F.col("r") - F.col("n1") * (F.col("n1") + 1) / 2.0) / (F.col("n1").cast("double") * F.col("n0"))
+    ordered = in_order(ties, [F.col("model"), F.col("s")], "ranks", F.col("n"))
+    # ranks start anew with each model: the least number before any of its scores is where it starts
+    got = ordered.groupBy("model").agg(F.min("before").alias("start"), F.sum((F.col("before") + (F.col("n") + 1) / 2.0) * F.col("ones")).alias("r"), F.sum("ones").alias("n1"), (F.sum("n") - F.sum("ones")).alias("n0"))
+    rank_sum = F.col("r") - F.col("start").cast("double") * F.col("n1")
+    value = (rank_sum - F.col("n1") * (F.col("n1") + 1) / 2.0) / (F.col("n1").cast("double") * F.col("n0"))
     return got.select("model", F.when((F.col("n1") > 0) & (F.col("n0") > 0), value).alias("auc"))
 
 
@@ -77,34 +79,40 @@ def mcnemar(predicted: DataFrame, pairs: list[tuple[str, str]] = MCNEMAR_PAIRS)
     return t.withColumn("significant_at_0.05", F.col("p_value_exact_two_sided") < 0.05)
 
 
-def _macro_f1(y: np.ndarray, p: np.ndarray) -> np.ndarray:
-    """Macro F1 of each row of two 0/1 matrices."""
-    n, tp = y.shape[-1], (y & p).sum(-1)
-    ys, ps = y.sum(-1), p.sum(-1)
-    tn = n - ys - ps + tp
-    out = 0
-    for hit, a, b in ((tp, ys, ps), (tn, n - ys, n - ps)):
-        out = out + np.where(a + b > 0, 2 * hit / np.maximum(a + b, 1), 0.0)
+def cells(predicted: DataFrame, pairs: list[tuple[str, str]] = BOOTSTRAP_PAIRS) -> DataFrame:
+    """(model_a, model_b, label, pred_a, pred_b, n): documents by label and the predictions of two models, eight cells at most."""
+    return paired(predicted, pairs).groupBy("model_a", "model_b", "label", "pred_a", "pred_b").agg(F.count("*").alias("n"))
+
+
+def macro_f1(n: np.ndarray, label: np.ndarray, pred: np.ndarray) -> np.ndarray:
+    """Macro F1 of each row of counts of cells; a class that is neither there nor predicted has 0."""
+    n, out = n.astype(np.int64), 0.0
+    for c in (0, 1):
+        hit, both = n[:, (label == c) & (pred == c)].sum(1), n[:, label == c].sum(1) + n[:, pred == c].sum(1)
+        out = out + np.where(both > 0, 2 * hit / np.maximum(both, 1), 0.0)
     return out / 2
 
 
 def bootstrap(predicted: DataFrame, resamples: int = 5000, seed: int = 142, pairs: list[tuple[str, str]] = BOOTSTRAP_PAIRS) -> DataFrame:
     """Percentile intervals of differences in macro F1 between models, by paired resampling of documents.
 
-    Each pair draws the same stream of indexes, one resample after the other, so results repeat exactly. A test set is resampled by one task,
-    a resample at a time, on bytes; it is the one operator that needs the predictions of a pair together.
+    Macro F1 is a function of the cells, and resampled documents fall into the cells like a multinomial draw, so a resample is a draw of
+    eight numbers, however many documents there are. Each pair draws from the same seed, so results repeat.
     """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("doc_id", kind="stable")
-        y, a, b = (pdf[c].to_numpy(np.uint8) for c in ("label", "pred_a", "pred_b"))
-        draw, diffs = np.random.default_rng(seed), np.zeros(resamples)
-        for i in range(resamples):
-            k = draw.integers(0, len(y), len(y))
-            diffs[i] = _macro_f1(y[k], b[k]) - _macro_f1(y[k], a[k])
+        pdf = pdf.sort_values(["label", "pred_a", "pred_b"])
+        label, a, b, n = (pdf[c].to_numpy(np.int64) for c in ("label", "pred_a", "pred_b", "n"))
+        drawn = np.random.default_rng(seed).multinomial(n.sum(), n / n.sum(), resamples)
+        diffs = macro_f1(drawn, label, b) - macro_f1(drawn, label, a)
         low, high = np.percentile(diffs, [2.5, 97.5])
         return pd.DataFrame([[pdf.model_a.iloc[0], pdf.model_b.iloc[0], diffs.mean(), low, high, bool(low > 0 or high < 0), resamples, seed]], columns=names)
 
     names = ["model_old", "model_new", "mean_macro_f1_difference", "ci_95_lower", "ci_95_upper", "ci_excludes_zero", "bootstrap_resamples", "random_seed"]
     kinds = "model_old string, model_new string, mean_macro_f1_difference double, ci_95_lower double, ci_95_upper double, ci_excludes_zero boolean, bootstrap_resamples int, random_seed int"
-    return paired(predicted, pairs).groupBy("model_a", "model_b").applyInPandas(run, kinds)
+    return cells(predicted, pairs).groupBy("model_a", "model_b").applyInPandas(run, kinds)
+
+
+def macro_f1_only(predicted: DataFrame) -> DataFrame:
+    """(model, macro_f1)."""
+    return metrics(predicted).select("model", "macro_f1")

@@ -54,18 +54,20 @@ def ranked(evidence: DataFrame, negative: str, positive: str, n: int, *ties: str
     return evidence.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
 
 
+def _summed(rows: DataFrame, negative: str, positive: str, sums: str, name: str, fields: list[str], n: int, tie: str) -> DataFrame:
+    """(doc_id, <sums>_0, <sums>_1, <name>): sums of a document's rows and its n strongest, in one aggregation."""
+    strength = (-F.round(F.abs(F.col(positive) - F.col(negative)), 12)).alias("by")
+    best = F.slice(F.array_sort(F.collect_list(F.struct(strength, F.col(tie).alias("tie"), F.struct(*fields).alias("row")))), 1, n)
+    return rows.groupBy("doc_id").agg(F.sum(negative).alias(f"{sums}_0"), F.sum(positive).alias(f"{sums}_1"), F.transform(best, lambda s: s["row"]).alias(name))
+
+
 def explanations(predicted: DataFrame, evidence: DataFrame, effects: DataFrame, classes: DataFrame, n: int = 10) -> DataFrame:
     """One row for each document of one model's predictions: its scores, sums of evidence, and the strongest terms as arrays.
 
     log_prior + evidence + effects = score, for either class. to_json of the row gives the nested document.
     """
-    sums = evidence.groupBy("doc_id").agg(F.sum("evidence_negative").alias("evidence_0"), F.sum("evidence_positive").alias("evidence_1"))
-    shifts = effects.groupBy("doc_id").agg(F.sum("effect_negative").alias("effect_0"), F.sum("effect_positive").alias("effect_1"))
-    items = lambda df, name, fields: df.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", *fields))), lambda s: F.struct(*(s[f].alias(f) for f in fields))).alias(name))
-    best = items(ranked(evidence, "evidence_negative", "evidence_positive", n, "idx"), "features", ["feature", "count", "weight", "evidence_negative", "evidence_positive"])
-    pairs = items(ranked(effects, "effect_negative", "effect_positive", n, "trigram"), "dependencies", ["trigram", "left_feature", "right_feature", "effect_negative", "effect_positive"])
-    out = predicted
-    for df in (sums, shifts, best, pairs):
-        out = out.join(df, "doc_id", "left")
+    first = _summed(evidence, "evidence_negative", "evidence_positive", "evidence", "features", ["feature", "count", "weight", "evidence_negative", "evidence_positive"], n, "idx")
+    second = _summed(effects, "effect_negative", "effect_positive", "effect", "dependencies", ["trigram", "left_feature", "right_feature", "effect_negative", "effect_positive"], n, "trigram")
+    out = predicted.join(first, "doc_id", "left").join(second, "doc_id", "left")
     zero = {c: F.coalesce(c, F.lit(0.0)) for c in ("evidence_0", "evidence_1", "effect_0", "effect_1")}
     return out.withColumns(zero).crossJoin(F.broadcast(classes.select("log_prior_0", "log_prior_1")))

@@ -1,4 +1,7 @@
-"""Term counts, the vocabulary and per-class statistics, in long form: a row for each document and gram."""
+"""Term counts, the vocabulary and per-class statistics, in long form: a row for each document and gram.
+
+A document's grams are counted inside its row, so that what is shuffled are counts by gram, which each task has added up before.
+"""
 
 from __future__ import annotations
 
@@ -7,7 +10,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from textbayes.config import Config
-from textbayes.functions.text import ngrams
+from textbayes.functions.text import counted, ngrams
+from textbayes.storage import in_order
 
 #: A vocabulary or parameter table of at most so many rows is broadcast; a larger one is joined by shuffling.
 BROADCAST_ROWS = 200_000
@@ -19,9 +23,8 @@ def bounded(df: DataFrame, rows: int | None) -> DataFrame:
 
 
 def doc_grams(docs: DataFrame, config: Config, text: str = "model_text") -> DataFrame:
-    """docs(doc_id, label, text) -> (doc_id, label, gram, tf). A document's grams are counted where they arise, before the shuffle."""
-    tokens = docs.select("doc_id", "label", F.explode(ngrams(F.col(text), config.ngram_range)).alias("gram"))
-    return tokens.groupBy("doc_id", "label", "gram").agg(F.count("*").alias("tf"))
+    """docs(doc_id, label, text) -> (doc_id, label, gram, tf), without a shuffle."""
+    return docs.select("doc_id", "label", F.explode(counted(ngrams(F.col(text), config.ngram_range))).alias("g")).select("doc_id", "label", "g.gram", "g.tf")
 
 
 def term_stats(grams: DataFrame) -> DataFrame:
@@ -36,9 +39,10 @@ def vocabulary(stats: DataFrame, config: Config) -> DataFrame:
     """(idx, ...) of the grams in at least min_df documents, by df and tf falling, then by gram; the first max_features of them."""
     order = [F.desc("df"), F.desc("tf"), F.asc("gram")]
     kept = stats.where(F.col("df") >= config.min_df)
-    if config.max_features is not None:
-        kept = kept.orderBy(*order).limit(config.max_features)
-    return kept.withColumn("idx", (F.row_number().over(W.orderBy(*order)) - 1).cast("int"))
+    if config.max_features is None:
+        return in_order(kept, order, "vocabulary").withColumnRenamed("before", "idx").withColumn("idx", F.col("idx").cast("int"))
+    kept = kept.orderBy(*order).limit(config.max_features)
+    return kept.withColumn("idx", (F.row_number().over(W.orderBy(*order)) - 1).cast("int"))  # of max_features rows
 
 
 def counts(grams: DataFrame, vocab: DataFrame, config: Config) -> DataFrame:
@@ -75,16 +79,20 @@ def direction(df0: Column, df1: Column, n0: Column, n1: Column, smoothing: float
 
 def information_weights(stats: DataFrame, config: Config, mi: str = "mi") -> DataFrame:
     """Adds norm_mi (by the largest) and w_fwnb = minimum + (1 + boost - minimum) * norm_mi ** gamma."""
-    top = F.max(mi).over(W.partitionBy())
-    norm = F.when(top > 0, F.col(mi) / top).otherwise(F.lit(0.0))
+    top = stats.agg(F.max(mi).alias("top"))  # a single row
+    norm = F.when(F.col("top") > 0, F.col(mi) / F.col("top")).otherwise(F.lit(0.0))
     span = 1 + config.maximum_boost - config.minimum_weight
-    return stats.withColumn("norm_mi", norm).withColumn("w_fwnb", config.minimum_weight + span * F.pow("norm_mi", F.lit(config.gamma)))
+    return stats.crossJoin(F.broadcast(top)).withColumn("norm_mi", norm).withColumn("w_fwnb", config.minimum_weight + span * F.pow("norm_mi", F.lit(config.gamma))).drop("top")
 
 
-def feature_stats(vocab: DataFrame, totals: DataFrame, config: Config) -> DataFrame:
-    """The vocabulary with mi, direction, norm_mi and w_fwnb. mi is rounded to 12 places, so that ties don't hang on the order of sums."""
+def information(vocab: DataFrame, totals: DataFrame, config: Config) -> DataFrame:
+    """The vocabulary with mi and direction. mi is rounded to 12 places, so that ties don't hang on the order of sums."""
     one = F.broadcast(totals.select("n0", "n1"))  # a single row
     s = vocab.crossJoin(one)
     s = s.withColumn("mi", F.round(presence_information(F.col("df0"), F.col("df1"), F.col("n0"), F.col("n1")), 12))
-    s = s.withColumn("direction", direction(F.col("df0"), F.col("df1"), F.col("n0"), F.col("n1"), config.direction_smoothing))
-    return information_weights(s, config)
+    return s.withColumn("direction", direction(F.col("df0"), F.col("df1"), F.col("n0"), F.col("n1"), config.direction_smoothing))
+
+
+def feature_stats(vocab: DataFrame, totals: DataFrame, config: Config) -> DataFrame:
+    """The vocabulary with mi, direction, norm_mi and w_fwnb."""
+    return information_weights(information(vocab, totals, config), config)

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from textbayes.config import Config
 from textbayes.functions.text import is_script_bigram, share_character
 
+from .features import bounded
+
 
 def candidates(stats: DataFrame, config: Config) -> DataFrame:
     """(idx, mi) of the script bigrams with most information, by mi falling, then idx; at most candidate_feature_count rows."""
@@ -32,7 +34,7 @@ def relations(pairs: DataFrame, stats: DataFrame, config: Config) -> DataFrame:
 
     The feature with less information is penalized; then that with the smaller df; then that with the larger idx.
     """
-    side = lambda s: F.broadcast(stats.select(F.col("idx").alias(s), F.col("gram").alias(f"gram_{s}"), F.col("df").alias(f"df_{s}"), F.col("mi").alias(f"mi_{s}"), F.col("direction").alias(f"d_{s}")))
+    side = lambda s: bounded(stats.select(F.col("idx").alias(s), *(F.col(c).alias(f"{n}_{s}") for c, n in (("gram", "gram"), ("df", "df"), ("mi", "mi"), ("direction", "d")))), config.max_features)
     p = pairs.where(F.col("n") >= config.redundancy_minimum_pair_df).join(side("left"), "left").join(side("right"), "right")
     p = p.where(~share_character(F.col("gram_left"), F.col("gram_right"))).where(F.col("d_left") * F.col("d_right") > 0)
     p = p.withColumn("union", F.col("df_left") + F.col("df_right") - F.col("n")).where(F.col("union") > 0)
@@ -57,6 +59,6 @@ def redundancy_weights(stats: DataFrame, scores: DataFrame, config: Config) -> D
     """stats with redundancy (0 without relations) and w_dfwnb: w_fwnb shrunk by redundancy, scaled to keep the mean over all features."""
     s = stats.join(F.broadcast(scores), "idx", "left").withColumn("redundancy", F.coalesce("redundancy", F.lit(0.0)))  # at most as many rows as candidates
     s = s.withColumn("shrunk", F.col("w_fwnb") / (1 + config.redundancy_strength * F.pow("redundancy", F.lit(config.redundancy_gamma))))
-    whole = W.partitionBy()
-    mean, after = F.avg("w_fwnb").over(whole), F.avg("shrunk").over(whole)
-    return s.withColumn("w_dfwnb", F.when(after > 0, F.col("shrunk") * mean / after).otherwise(F.col("shrunk"))).drop("shrunk")
+    means = s.agg(F.avg("w_fwnb").alias("mean"), F.avg("shrunk").alias("after"))  # a single row
+    scaled = F.when(F.col("after") > 0, F.col("shrunk") * F.col("mean") / F.col("after")).otherwise(F.col("shrunk"))
+    return s.crossJoin(F.broadcast(means)).withColumn("w_dfwnb", scaled).drop("shrunk", "mean", "after")

@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
+# The marks, placeholders and patterns of normalization, in the order in which they are applied.
 MARKS = "，。！？；："
+BEFORE_MARKS = (("<[^>]*>", ""), (r"https?://[^\s]+|www\.[^\s]+", "网址"), (r"[a-z0-9._%+\-]+@[a-z0-9.\-]+\.[a-z]{2,}", "邮箱"), (r"\d+(?:[.,]\d+)*", "数字"))
+AFTER_MARKS = ((r"\s+", ""), (r"[^a-z0-9\x{3400}-\x{4dbf}\x{4e00}-\x{9fff}，。！？；：、]+", "，"), ("，+", "，"))
 
 
 def _model_text(text: str) -> str:
     x = f"lower(coalesce({text}, ''))"
-    for pattern, to in (("<[^>]*>", ""), (r"https?://[^\s]+|www\.[^\s]+", "网址"), (r"[a-z0-9._%+\-]+@[a-z0-9.\-]+\.[a-z]{2,}", "邮箱"), (r"\d+(?:[.,]\d+)*", "数字")):
+    for pattern, to in BEFORE_MARKS:
         x = f"regexp_replace({x}, '{pattern}', '{to}', 'g')"
     x = f"translate({x}, ',.!?;:', '{MARKS}')"
     for m in MARKS:
         x = f"regexp_replace({x}, '{m}+', '{m}', 'g')"
-    for pattern, to in ((r"\s+", ""), (r"[^a-z0-9\x{3400}-\x{4dbf}\x{4e00}-\x{9fff}，。！？；：、]+", "，"), ("，+", "，")):
+    for pattern, to in AFTER_MARKS:
         x = f"regexp_replace({x}, '{pattern}', '{to}', 'g')"
     return f"trim({x}, '，。；：、')"
 
@@ -49,8 +52,8 @@ MODELS = ["StandardNB", "FWNB", "DFWNB-v2", "SDFWNB"]
 CHAIN: dict[str, tuple[list[str], str]] = {
     "norm": ([], f"SELECT doc_id, {_model_text('text')} AS m FROM documents"),
     "lab": (["norm"], "SELECT n.doc_id, l.quality AS label, n.m FROM norm n JOIN labels l USING (doc_id)"),
-    "train": (["lab"], "SELECT * FROM lab WHERE doc_id % 10 < 7"),
-    "test": (["lab"], "SELECT * FROM lab WHERE doc_id % 10 >= 8"),
+    "train": (["lab"], "SELECT * FROM lab"),
+    "test": (["norm"], "SELECT n.doc_id, l.quality AS label, n.m FROM norm n LEFT JOIN labels l USING (doc_id)"),
     "grams": (["train"], f"SELECT doc_id, label, gram, count(*) AS tf FROM (SELECT doc_id, label, unnest({_bigrams('m')}) AS gram FROM train) WHERE NOT regexp_full_match(gram, '[，。！？；：、]+') GROUP BY ALL"),
     "test_grams": (["test"], f"SELECT doc_id, label, gram, count(*) AS tf FROM (SELECT doc_id, label, unnest({_bigrams('m')}) AS gram FROM test) WHERE NOT regexp_full_match(gram, '[，。！？；：、]+') GROUP BY ALL"),
     "terms": (["grams"], "SELECT gram, count(*) AS df, sum(tf)::BIGINT AS tf, count(*) FILTER (label <> 1) AS df0, count(*) FILTER (label = 1) AS df1, sum(CASE WHEN label <> 1 THEN tf ELSE 0 END)::BIGINT AS tf0, sum(CASE WHEN label = 1 THEN tf ELSE 0 END)::BIGINT AS tf1 FROM grams GROUP BY gram HAVING count(*) >= 2"),
@@ -101,8 +104,13 @@ CHAIN: dict[str, tuple[list[str], str]] = {
         + " UNION ALL ".join(f"SELECT '{m}' AS model, doc_id, label, {c}_0 AS s0, {c}_1 AS s1 FROM scored" for m, c in ((m, m.lower().replace("-", "_")) for m in MODELS))
         + ")",
     ),
-    "conf": (["pred"], "SELECT model, count(*) FILTER (label <> 1 AND pred <> 1) AS tn, count(*) FILTER (label <> 1 AND pred = 1) AS fp, count(*) FILTER (label = 1 AND pred <> 1) AS fn, count(*) FILTER (label = 1 AND pred = 1) AS tp FROM pred GROUP BY 1"),
-    "ranks": (["pred"], "SELECT model, label, rank() OVER (PARTITION BY model ORDER BY p1) + (count(*) OVER (PARTITION BY model, p1) - 1) / 2.0 AS r FROM pred"),
+    "judged": (["pred"], "SELECT * FROM pred WHERE label IS NOT NULL"),
+    "evidence": (["known"], """SELECT doc_id, idx, gram, tf, e0, e1, row_number() OVER (PARTITION BY doc_id ORDER BY round(abs(e1 - e0), 12) DESC, idx) AS rk
+        FROM (SELECT *, tf * w_dfwnb * logp0 AS e0, tf * w_dfwnb * logp1 AS e1 FROM known)"""),
+    "effects": (["active", "vocab"], """SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY round(abs(d1 - d0), 12) DESC, trigram) AS rk
+        FROM (SELECT a.*, l.gram || substr(r.gram, 2, 1) AS trigram FROM active a JOIN vocab l ON l.idx = left_idx JOIN vocab r ON r.idx = right_idx)"""),
+    "conf": (["judged"], "SELECT model, count(*) FILTER (label <> 1 AND pred <> 1) AS tn, count(*) FILTER (label <> 1 AND pred = 1) AS fp, count(*) FILTER (label = 1 AND pred <> 1) AS fn, count(*) FILTER (label = 1 AND pred = 1) AS tp FROM judged GROUP BY 1"),
+    "ranks": (["judged"], "SELECT model, label, rank() OVER (PARTITION BY model ORDER BY p1) + (count(*) OVER (PARTITION BY model, p1) - 1) / 2.0 AS r FROM judged"),
     "auc": (["ranks"], "SELECT model, CASE WHEN count(*) FILTER (label = 1) > 0 AND count(*) FILTER (label <> 1) > 0 THEN (sum(r) FILTER (label = 1) - count(*) FILTER (label = 1) * (count(*) FILTER (label = 1) + 1) / 2.0) / (count(*) FILTER (label = 1)::DOUBLE * count(*) FILTER (label <> 1)) END AS auc FROM ranks GROUP BY 1"),
     "keys": ([], r"SELECT doc_id AS row_id, (doc_id % 2) AS label, CASE WHEN doc_id % 10 < 7 THEN 'train' WHEN doc_id % 10 = 7 THEN 'dev' ELSE 'test' END AS split, trim(regexp_replace(lower(coalesce(text, '')), '\s+', ' ', 'g')) AS k, text FROM documents"),
     "c1": (["keys"], "SELECT *, CASE WHEN min(label) OVER w < max(label) OVER w THEN 'conflict' WHEN row_id > min(row_id) OVER w THEN 'duplicate' END AS r FROM keys WINDOW w AS (PARTITION BY split, k)"),
@@ -114,18 +122,26 @@ CHAIN: dict[str, tuple[list[str], str]] = {
 }
 
 
-def _with(select: str, *names: str) -> str:
-    need: list[str] = []
+#: What the final test has otherwise: labelled documents in splits, cleaned; train and dev to fit, test to judge.
+FINAL = {
+    "keys": ([], CHAIN["keys"][1].replace("(doc_id % 2) AS label", "l.quality AS label").replace("FROM documents", "FROM documents JOIN labels l USING (doc_id)")),
+    "train": (["cleaned"], "SELECT row_id AS doc_id, label, m FROM cleaned WHERE split <> 'test' AND raw_reason IS NULL AND model_reason IS NULL"),
+    "test": (["cleaned"], "SELECT row_id AS doc_id, label, m FROM cleaned WHERE split = 'test' AND raw_reason IS NULL AND model_reason IS NULL"),
+}
+
+
+def _with(select: str, *names: str, final: bool = False) -> str:
+    chain, need = CHAIN | FINAL if final else CHAIN, []
 
     def add(name):
-        for n in CHAIN[name][0]:
+        for n in chain[name][0]:
             add(n)
         if name not in need:
             need.append(name)
 
     for n in names:
         add(n)
-    return "WITH " + ",\n".join(f"{n} AS MATERIALIZED ({CHAIN[n][1]})" for n in need) + "\n" + select
+    return "WITH " + ",\n".join(f"{n} AS MATERIALIZED ({chain[n][1]})" for n in need) + "\n" + select
 
 
 def _r(*columns: str) -> str:
@@ -149,6 +165,24 @@ def _top(where: str) -> str:
 
 
 _MCNEMAR_PAIRS = "(VALUES ('StandardNB', 'SDFWNB'), ('FWNB', 'DFWNB-v2'), ('DFWNB-v2', 'SDFWNB')) v(model_a, model_b)"
+_BOOTSTRAP_PAIRS = "(VALUES ('StandardNB', 'FWNB'), ('FWNB', 'DFWNB-v2'), ('DFWNB-v2', 'SDFWNB'), ('StandardNB', 'SDFWNB')) v(model_a, model_b)"
+_MCNEMAR = f"""SELECT model_a, model_b, b AS a_correct_b_wrong, c AS a_wrong_b_correct, b + c AS discordant_pairs, round(p, 6) AS p_value_exact_two_sided, p < 0.05 AS significant
+    FROM (SELECT *, CASE WHEN b + c = 0 THEN 1.0 ELSE least(1.0, 2 * list_sum(list_transform(range(0, least(b, c) + 1),
+            lambda k: exp(lgamma(b + c + 1) - lgamma(k + 1) - lgamma(b + c - k + 1) - (b + c) * ln(2))))) END AS p
+          FROM (SELECT model_a, model_b, count(*) FILTER (x.pred = x.label AND y.pred <> y.label) AS b, count(*) FILTER (x.pred <> x.label AND y.pred = y.label) AS c
+                FROM {_MCNEMAR_PAIRS} JOIN judged x ON x.model = model_a JOIN judged y ON y.model = model_b AND y.doc_id = x.doc_id GROUP BY ALL))"""
+_PREDICTIONS = f"SELECT model, doc_id, label, {_r('s0 AS score0', 's1 AS score1', 'p1')}, pred FROM pred"
+_EXPLAINED = f"""SELECT p.doc_id, p.pred, {_r('p.s0 AS score0', 'p.s1 AS score1', 'coalesce(v.a0, 0) AS evidence_0', 'coalesce(v.a1, 0) AS evidence_1', 'coalesce(x.b0, 0) AS effect_0', 'coalesce(x.b1, 0) AS effect_1', 'q.p0 AS log_prior_0', 'q.p1 AS log_prior_1')},
+    coalesce(v.names, '') AS features, coalesce(x.names, '') AS dependencies, CAST(coalesce(v.n, 0) AS INT) AS n_features, CAST(coalesce(x.n, 0) AS INT) AS n_dependencies
+    FROM (SELECT * FROM pred WHERE model = 'SDFWNB') p CROSS JOIN (SELECT any_value(log_prior_0) AS p0, any_value(log_prior_1) AS p1 FROM params) q
+    LEFT JOIN (SELECT doc_id, sum(e0) AS a0, sum(e1) AS a1, string_agg(gram, ' ' ORDER BY rk) FILTER (rk <= 10) AS names, least(count(*), 10) AS n FROM evidence GROUP BY 1) v ON v.doc_id = p.doc_id
+    LEFT JOIN (SELECT doc_id, sum(d0) AS b0, sum(d1) AS b1, string_agg(trigram, ' ' ORDER BY rk) FILTER (rk <= 10) AS names, least(count(*), 10) AS n FROM effects GROUP BY 1) x ON x.doc_id = p.doc_id"""
+#: What ends a line, and becomes one space in tab-separated files.
+_LINE_ENDS = r"[\t\n\r\x0b\x0c\x1c-\x1f\x{85}\x{2028}\x{2029}]+"
+
+
+def _one_line(text: str) -> str:
+    return f"trim(regexp_replace(coalesce({text}, ''), '{_LINE_ENDS}', ' ', 'g'), ' ')"
 
 
 def oracle_sql() -> dict[str, str]:
@@ -182,16 +216,27 @@ def oracle_sql() -> dict[str, str]:
         "dependency_selection": _with(f"SELECT left_idx, right_idx, {_r('d0 AS delta_0', 'd1 AS delta_1', 'contrast AS relevance')} FROM corr", "corr"),
         "nb_params": _with(f"SELECT idx, {_r('logp0', 'logp1', 'log_prior_0', 'log_prior_1')} FROM params", "params"),
         "score_all": _with("SELECT doc_id, label, " + _r(*(f"{m.lower().replace('-', '_')}_{c}" for m in MODELS for c in (0, 1))) + " FROM scored", "scored"),
-        "predict_all": _with(f"SELECT model, doc_id, label, {_r('s0 AS score0', 's1 AS score1', 'p1')}, pred FROM pred", "pred"),
-        "model_roundtrip": _with(f"SELECT model, doc_id, label, {_r('s0 AS score0', 's1 AS score1', 'p1')}, pred FROM pred", "pred"),
+        "predict_all": _with(_PREDICTIONS, "pred"),
+        "model_roundtrip": _with(_PREDICTIONS, "pred"),
         "metrics_all": _with(_metrics(), "conf", "auc"),
-        "mcnemar_all": _with(
-            f"""SELECT model_a, model_b, b AS a_correct_b_wrong, c AS a_wrong_b_correct, b + c AS discordant_pairs, round(p, 6) AS p_value_exact_two_sided, p < 0.05 AS significant
-            FROM (SELECT *, CASE WHEN b + c = 0 THEN 1.0 ELSE least(1.0, 2 * list_sum(list_transform(range(0, least(b, c) + 1), lambda k: exp(lgamma(b + c + 1) - lgamma(k + 1) - lgamma(b + c - k + 1) - (b + c) * ln(2))))) END AS p
-                  FROM (SELECT model_a, model_b, count(*) FILTER (x.pred = x.label AND y.pred <> y.label) AS b, count(*) FILTER (x.pred <> x.label AND y.pred = y.label) AS c
-                        FROM {_MCNEMAR_PAIRS} JOIN pred x ON x.model = model_a JOIN pred y ON y.model = model_b AND y.doc_id = x.doc_id GROUP BY ALL))""",
-            "pred",
-        ),
+        "mcnemar_all": _with(_MCNEMAR, "judged"),
+        "macro_f1_all": _with(f"SELECT model, macro_f1 FROM ({_metrics()})", "conf", "auc"),
+        "bootstrap_cells": _with(f"SELECT model_a, model_b, x.label, x.pred AS pred_a, y.pred AS pred_b, count(*) AS n FROM {_BOOTSTRAP_PAIRS} JOIN judged x ON x.model = model_a JOIN judged y ON y.model = model_b AND y.doc_id = x.doc_id GROUP BY ALL", "judged"),
+        "final_test_metrics": _with(_metrics(), "conf", "auc", final=True),
+        "final_test_confusion": _with("SELECT * FROM conf", "conf", final=True),
+        "final_test_mcnemar": _with(_MCNEMAR, "judged", final=True),
+        "final_test_predictions": _with(_PREDICTIONS, "pred", final=True),
+        "explain_documents": _with(_EXPLAINED, "pred", "evidence", "effects", "params"),
+        "vocab_unlimited": _with("SELECT (row_number() OVER (ORDER BY df DESC, tf DESC, gram) - 1)::INT AS idx, gram, df, tf FROM terms", "terms"),
+        "class_params": _with(f"SELECT {_r('any_value(log_prior_0) AS log_prior_0', 'any_value(log_prior_1) AS log_prior_1')}, sum(tf0)::BIGINT AS n_tokens_0, sum(tf1)::BIGINT AS n_tokens_1, count(*) AS n_features, any_value(n0) AS n0, any_value(n1) AS n1, (SELECT count(*) FROM corr) AS n_corrections FROM params", "params", "corr"),
+        "top_features_negative": _with(_top("direction < 0"), "stats"),
+        "top_redundant": _with(f"SELECT idx, gram AS feature, {_r('redundancy', 'w_fwnb', 'w_dfwnb')}, df FROM weights ORDER BY round(weights.redundancy, 6) DESC, idx LIMIT 20", "weights"),
+        "tsv_split": f"SELECT 'train' AS split, quality::BIGINT AS label, t AS text FROM (SELECT l.quality, {_one_line('d.text')} AS t FROM documents d JOIN labels l USING (doc_id)) WHERE t <> ''",
+        "tsv_gb18030": _with("SELECT 'train' AS split, label::BIGINT AS label, m AS text FROM lab WHERE m <> ''", "lab"),
+        "tsv_odd_labels": f"SELECT 'train' AS split, CASE length(text) % 4 WHEN 0 THEN 0 ELSE 1 END::BIGINT AS label, t AS text FROM (SELECT text, {_one_line('text')} AS t FROM conversations) WHERE t <> '' AND length(text) % 4 < 2",
+        "tsv_in_order": "SELECT 'dev' AS split, row_number() OVER (ORDER BY o_orderkey) - 1 AS row_id, (o_orderkey % 2)::BIGINT AS label, o_orderkey::BIGINT AS o_orderkey FROM orders",
+        "file_checksums": "SELECT n_nationkey::BIGINT AS n_nationkey, sha256(n_name || chr(10)) AS sha256 FROM nation",
+        "result_sinks": _with("SELECT conf.*, (SELECT count(*) FROM conf) AS n_rows, 0.05::DOUBLE AS alpha FROM conf", "conf"),
         "top_features": _with(_top("true"), "stats"),
         "top_features_positive": _with(_top("direction > 0"), "stats"),
         "top_dependencies": _with(

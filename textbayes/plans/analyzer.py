@@ -1,4 +1,8 @@
-"""The whole protocol: fit, score, evaluate, explain, save and load."""
+"""The whole protocol: fit, score, evaluate, explain, save and load.
+
+A fit runs in steps; each step's table is written to the shared folder and read back, so that a model's parameters are scans, and plans that
+use them stay as short as the last step.
+"""
 
 from __future__ import annotations
 
@@ -10,10 +14,17 @@ from pyspark.sql import functions as F
 
 from textbayes.config import Config
 from textbayes.operators import bayes, dependency, evaluation, explain, features, redundancy
+from textbayes.storage import discard, materialize, one_row
 
 VERSION = 1
 
 
+def prepared(docs: DataFrame) -> DataFrame:
+    """docs(doc_id, label, model_text), label null where there is none, normalized once: later steps read what this writes."""
+    docs = docs if "label" in docs.columns else docs.withColumn("label", F.lit(None).cast("int"))
+    return materialize(docs.select("doc_id", F.col("label").cast("int").alias("label"), "model_text"), "documents")
+
+
 @dataclass
 class Model:
     """A fitted model: parameter tables, all with a size that the configuration bounds."""
@@ -25,15 +36,6 @@ class Model:
     corrections: DataFrame
     tables: tuple = field(default=("params", "classes", "dependencies", "corrections"), repr=False)
 
-    def cache(self) -> Model:
-        for name in self.tables:
-            getattr(self, name).cache()
-        return self
-
-    def unpersist(self) -> None:
-        for name in self.tables:
-            getattr(self, name).unpersist()
-
     def counts(self, docs: DataFrame) -> DataFrame:
         return features.counts(features.doc_grams(docs, self.config), self.params, self.config)
 
@@ -42,23 +44,31 @@ class Model:
 
     def score(self, docs: DataFrame) -> DataFrame:
         """docs(doc_id, model_text[, label]) -> wide log scores. Texts must be normalized; an empty table gives an empty result."""
-        docs = docs if "label" in docs.columns else docs.withColumn("label", F.lit(None).cast("int"))
+        docs = prepared(docs)
         return bayes.scores(docs, self.counts(docs), self.pairs(docs), self.params, self.classes, self.corrections, self.config)
 
     def predict(self, docs: DataFrame, models: list[str] | None = None) -> DataFrame:
         return bayes.predictions(self.score(docs), models)
 
     def evaluate(self, docs: DataFrame, models: list[str] | None = None) -> dict[str, DataFrame]:
-        """predictions, metrics and confusion counts of labelled documents."""
-        predicted = self.predict(docs, models)
+        """predictions, metrics and confusion counts of labelled documents, which are scored once."""
+        predicted = bayes.predictions(materialize(self.score(docs), "scores"), models)
         return {"predictions": predicted, "metrics": evaluation.metrics(predicted), "confusion": evaluation.confusion(predicted)}
 
     def explain(self, docs: DataFrame, model: str = "SDFWNB", top_n: int = 10) -> DataFrame:
-        docs = docs if "label" in docs.columns else docs.withColumn("label", F.lit(None).cast("int"))
-        evidence = explain.feature_evidence(self.counts(docs), self.params, self.config, model)
+        """One row for each document with its scores by one model and their evidence; see explain.explanations."""
+        docs = prepared(docs)
+        counts, pairs = self.counts(docs), self.pairs(docs)
+        evidence = explain.feature_evidence(counts, self.params, self.config, model)
         corrections = self.corrections if model == "SDFWNB" else self.corrections.limit(0)
-        effects = explain.dependency_effects(self.pairs(docs), corrections, self.params, self.config)
-        return explain.explanations(self.predict(docs, [model]), evidence, effects, self.classes, top_n)
+        effects = explain.dependency_effects(pairs, corrections, self.params, self.config)
+        scored = bayes.scores(docs, counts, pairs, self.params, self.classes, self.corrections, self.config)
+        return explain.explanations(bayes.predictions(scored, [model]), evidence, effects, self.classes, top_n)
+
+    def release(self) -> None:
+        """Deletes the tables that the fit wrote; the model can't be used after that."""
+        for name in self.tables:
+            discard(getattr(self, name))
 
     def save(self, path: str) -> str:
         """Parquet tables and meta.json in a folder of any store."""
@@ -78,46 +88,37 @@ class Model:
 
 
 def fit(docs: DataFrame, config: Config | None = None) -> Model:
-    """docs(doc_id, label, model_text) -> Model. One aggregation of the texts gives the vocabulary and all class statistics; the rest are small tables.
+    """docs(doc_id, label, model_text) -> Model. Labels must be 0 or 1, both must occur, and there must be a vocabulary.
 
-    Nothing runs here but what the returned tables need when they are read; cache() keeps them.
+    Texts are normalized once and their grams counted once; what follows are tables whose size the configuration bounds.
     """
-    config = config or Config()
-    totals = features.class_totals(docs)
-    stats = features.feature_stats(features.vocabulary(features.term_stats(features.doc_grams(docs, config)), config), totals, config)
-    counts = features.counts(features.doc_grams(docs, config), stats, config)
-    pairs = redundancy.pair_frequency(counts, redundancy.candidates(stats, config), config)
-    scores = redundancy.redundancy_scores(redundancy.relations(pairs, stats, config), config)
-    weighted = redundancy.redundancy_weights(stats, scores, config)
-    classes = bayes.class_params(weighted, totals)
-    params = bayes.feature_params(weighted, classes, config)
-    table = dependency.dependency_table(dependency.doc_pairs(docs, stats, config), stats, totals, config)
-    return Model(config, params, classes, table, dependency.corrections(table, config))
-
-
-def fit_now(docs: DataFrame, config: Config | None = None) -> Model:
-    """fit() in steps whose small results are kept, after checks of the input: both classes and nothing else, and a vocabulary."""
-    config = config or Config()
-    totals = features.class_totals(docs).cache()
-    n = totals.first()
+    config, spark = config or Config(), docs.sparkSession
+    docs = prepared(docs)
+    n = features.class_totals(docs).first()
     if n.other or not n.n0 or not n.n1:
         raise ValueError("labels must be 0 or 1, and both must occur")
-    stats = features.feature_stats(features.vocabulary(features.term_stats(features.doc_grams(docs, config)), config), totals, config).cache()
-    if stats.isEmpty():
+    totals = one_row(spark, {"n0": n.n0, "n1": n.n1})
+    grams = materialize(features.doc_grams(docs, config), "grams")
+    told = materialize(features.information(features.vocabulary(features.term_stats(grams), config), totals, config), "information")
+    if told.isEmpty():
         raise ValueError("the vocabulary is empty")
-    cands = redundancy.candidates(stats, config).cache()
+    stats = materialize(features.information_weights(told, config), "features")
+    cands = materialize(redundancy.candidates(stats, config), "candidates")
     # only candidates matter here, so grams are cut down to them before anything is shuffled
-    counts = features.counts(features.doc_grams(docs, config), stats.join(F.broadcast(cands.select("idx")), "idx", "left_semi"), config)
-    pairs = redundancy.pair_frequency(counts, cands, config)
-    scores = redundancy.redundancy_scores(redundancy.relations(pairs, stats, config), config)
-    weighted = redundancy.redundancy_weights(stats, scores, config).cache()
-    classes = bayes.class_params(weighted, totals).cache()
-    params = bayes.feature_params(weighted, classes, config)
-    table = dependency.dependency_table(dependency.doc_pairs(docs, stats, config), stats, totals, config).cache()
-    return Model(config, params, classes, table, dependency.corrections(table, config)).cache()
+    counts = features.counts(grams, stats.join(F.broadcast(cands.select("idx")), "idx", "left_semi"), config)
+    scores = redundancy.redundancy_scores(redundancy.relations(redundancy.pair_frequency(counts, cands, config), stats, config), config)
+    weighted = materialize(redundancy.redundancy_weights(stats, materialize(scores, "redundancy"), config), "weights")
+    classes = one_row(spark, bayes.class_params(weighted, totals).first().asDict())
+    params = materialize(bayes.feature_params(weighted, classes, config), "params")
+    table = materialize(dependency.dependency_table(dependency.doc_pairs(docs, stats, config), stats, totals, config), "dependencies")
+    corrections = materialize(dependency.corrections(table, config), "corrections")
+    for df in (docs, grams, told, stats, cands, weighted):
+        discard(df)
+    return Model(config, params, classes, table, corrections)
 
 
 def significance(predicted: DataFrame, config: Config | None = None, resamples: int | None = None) -> dict[str, DataFrame]:
+    """McNemar and bootstrap tests of the compared pairs of models."""
     config = config or Config()
     resamples = config.bootstrap_resamples if resamples is None else resamples
     return {"mcnemar": evaluation.mcnemar(predicted), "bootstrap": evaluation.bootstrap(predicted, resamples, config.random_seed + config.bootstrap_seed_offset)}
@@ -125,9 +126,8 @@ def significance(predicted: DataFrame, config: Config | None = None, resamples:
 
 def run(train: DataFrame, test: DataFrame, config: Config | None = None, models: list[str] | None = None, save_to: str | None = None) -> dict:
     """Fits on train, evaluates on test; both (doc_id, label, model_text). Returns the model, the evaluation's tables and the tests."""
-    model = fit_now(train, config)
+    model = fit(train, config)
     if save_to:
         model.save(save_to)
     report = model.evaluate(test, models)
-    report["predictions"] = report["predictions"].cache()
     return {"model": model, **report, **(significance(report["predictions"], model.config) if models is None else {})}

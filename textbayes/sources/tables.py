@@ -10,12 +10,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-#: Column names that count as label and text, in order of preference, and encodings in the order they are tried.
+from textbayes.storage import in_order
+
+#: Column names that count as label and text, in order of preference.
 LABELS = ("label", "labels", "sentiment", "y")
 TEXTS = ("text_a", "text", "review", "content")
-ENCODINGS = ("utf-8-sig", "utf-8", "gb18030")
-#: Bytes of a file's head by which its encoding is told.
-HEAD = 1 << 20
 
 
 @F.pandas_udf(StringType())
@@ -23,45 +22,56 @@ def _decoded(text: pd.Series) -> pd.Series:
     return text.map(lambda t: t.encode("latin-1").decode("gb18030"), na_action="ignore")
 
 
-def _encoding(spark: SparkSession, path: str) -> str:
-    """The first encoding that reads the head of the file strictly; the head is read by Spark's file system, so any store will do."""
+@F.pandas_udf(StringType())
+def _encoded(text: pd.Series) -> pd.Series:
+    return text.map(lambda t: t.encode("gb18030").decode("latin-1"), na_action="ignore")
+
+
+def _files(spark: SparkSession, path: str) -> dict[bool, list[str]]:
+    """The files at a path by whether they are UTF-8. Every line of every file is looked at, as bytes; a file with a line that isn't UTF-8 isn't."""
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs = target.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(target):
+    if not target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target):
         raise FileNotFoundError(path)
-    if fs.getFileStatus(target).isDirectory():
-        return "utf-8"
-    stream = fs.open(target)
-    try:
-        head = bytes(stream.readNBytes(HEAD))
-    finally:
-        stream.close()
-    if len(head) == HEAD:
-        head = head[: head.rfind(b"\n") + 1] or head[:-4]
-    for name in ENCODINGS:
-        try:
-            head.decode(name)
-        except UnicodeDecodeError as e:
-            error = e
-        else:
-            return name
-    raise error
+    lines = spark.read.text(path)  # lines keep their bytes; neither line feed nor tab is ever part of a GB18030 character
+    found = lines.select(F.col("_metadata.file_path").alias("file"), F.is_valid_utf8("value").alias("utf8")).groupBy("file").agg(F.min("utf8").alias("utf8"))
+    out: dict[bool, list[str]] = {True: [], False: []}
+    for r in found.orderBy("file").collect():  # a row for each file
+        out[r.utf8].append(r.file)
+    return out
 
 
-def read_split(spark: SparkSession, path: str) -> DataFrame:
-    """A tab-separated split with a header and without quoting, as strings, and row_id, the order of rows within the file."""
-    encoding = _encoding(spark, path)
-    utf8 = encoding.startswith("utf-8")
-    # Spark reads no GB18030, but tab and newline are never part of its characters: bytes pass through Latin-1 and are decoded afterwards
-    df = spark.read.csv(path, sep="\t", header=True, quote="", encoding="UTF-8" if utf8 else "ISO-8859-1")
+def _parsed(spark: SparkSession, files: list[str], utf8: bool) -> DataFrame:
+    """Files of one encoding as strings, with what orders their rows: file, block and number within."""
+    df = spark.read.csv(files, sep="\t", header=True, quote="", encoding="UTF-8" if utf8 else "ISO-8859-1")
+    order = [F.col("_metadata.file_path").alias("__file"), F.col("_metadata.file_block_start").alias("__block"), F.monotonically_increasing_id().alias("__at")]
     if utf8:
-        df = df.toDF(*(c.lstrip("\ufeff") for c in df.columns))
-    else:
-        df = df.select(*(_decoded(F.col(f"`{c}`")).alias(c.encode("latin-1").decode(encoding)) for c in df.columns))
-    found = {c.strip().lower() for c in df.columns}
-    if not found & set(LABELS) or not found & set(TEXTS):
-        raise ValueError(f"{path} needs a column of each of {LABELS} and {TEXTS}; it has {df.columns}")
-    return df.withColumn("row_id", F.monotonically_increasing_id())
+        return df.select(*(F.col(f"`{c}`").alias(c.lstrip("\ufeff")) for c in df.columns), *order)
+    # Spark reads no GB18030: bytes pass through Latin-1 and are decoded strictly afterwards
+    return df.select(*(_decoded(F.col(f"`{c}`")).alias(c.encode("latin-1").decode("gb18030")) for c in df.columns), *order)
+
+
+def read_split(spark: SparkSession, path: str) -> DataFrame:
+    """A tab-separated split, a file or a folder of files, with a header and without quoting, as strings, and row_id: the order of rows by file and place.
+
+    Files are UTF-8, with or without a byte order mark, or else GB18030; bytes that are neither raise an error when they are read. Blank lines are skipped.
+    """
+    found = _files(spark, path)
+    parts = [_parsed(spark, files, utf8) for utf8, files in found.items() if files]
+    if not parts:
+        raise ValueError(f"{path} has no header")
+    df = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    names = {c.strip().lower() for c in df.columns}
+    if not names & set(LABELS) or not names & set(TEXTS):
+        raise ValueError(f"{path} needs a column of each of {LABELS} and {TEXTS}; it has {df.columns[:-3]}")
+    numbered = in_order(df, [F.col("__file"), F.col("__block"), F.col("__at")], "split")
+    return numbered.withColumnRenamed("before", "row_id").drop("__file", "__block", "__at")
+
+
+def write_split(df: DataFrame, path: str, encoding: str = "utf-8") -> None:
+    """A folder of tab-separated files with a header, in UTF-8 or GB18030. Tabs and line ends in values would break rows and must not occur."""
+    if encoding.lower() == "gb18030":
+        df = df.select(*(_encoded(F.col(c).cast("string")).alias(c) for c in df.columns))
+    df.write.csv(path, sep="\t", header=True, quote="", escapeQuotes=False, emptyValue="", encoding="UTF-8" if encoding.lower() != "gb18030" else "ISO-8859-1")
 
 
 def standardize(df: DataFrame, split: str, check: bool = True) -> DataFrame:
@@ -87,6 +97,13 @@ def verify_checksum(spark: SparkSession, path: str, expected: str) -> bool:
     return checksums(spark, path).first().sha256 == expected.lower()
 
 
+def verify_pinned(spark: SparkSession, path: str, pinned: dict[str, str]) -> DataFrame:
+    """(name, sha256, expected, ok) of the pinned file names: ok is false for a file that differs or isn't there. Files without a pin are left out."""
+    expected = spark.createDataFrame(list(pinned.items()), "name string, expected string")
+    found = checksums(spark, path).select(F.element_at(F.split("path", "/"), -1).alias("name"), "sha256")
+    return F.broadcast(expected).join(found, "name", "left").select("name", "sha256", "expected", F.coalesce(F.col("sha256") == F.lower("expected"), F.lit(False)).alias("ok"))
+
+
 def write_csv(df: DataFrame, path: str) -> None:
     """A small result as one CSV file with a byte order mark, for spreadsheets."""
     Path(path).parent.mkdir(parents=True, exist_ok=True)
