@@ -82,13 +82,13 @@ def test_decontamination(spark, monkeypatch):
     leaky = ["say short ITEM é now", " ".join(["pad"] * 300) + " short item é", items[0][1].upper(), "x0 " + items[0][1] + " x6 " * 40, "short item"]
     data = plain.rows(spark, extra=leaky)
     benchmark = spark.createDataFrame([(*i, "x") for i in items], "item_id long, text string, doc_id string")
-    for weight in (decontaminate.BENCHMARK_BYTES, 20):
-        monkeypatch.setattr(decontaminate, "BENCHMARK_BYTES", weight)
+    for weight in (0, decontaminate.HELD_BYTES):
+        monkeypatch.setattr(decontaminate, "HELD_BYTES", weight)
         df = decontaminate.decontaminate(plain.frame(spark, data), benchmark)
         df = df.select("doc_id", "n_words", "n_hit", F.size("items").alias("n"), F.sha2(F.array_join("items", ","), 256).alias("s"), "contaminated")
         assert table(df, *df.columns) == Counter((r[0], *plain.leaks(r[1], items)) for r in data)
     kept = decontaminate.clean(plain.frame(spark, data), benchmark)
-    assert table(kept, "doc_id", "text") == Counter((r[0], r[1]) for r in data if not plain.leaks(r[1], items)[-1])
+    assert table(kept, "doc_id", "text") == Counter((r[0], r[1]) for r in data if not plain.leaks(r[1], items)[1])
     assert kept.columns == plain.frame(spark, data).columns
 
 

@@ -26,29 +26,16 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, discard, list_array, materialize, mixed, runs, signed, small, texts
+from .common import WordHashes, blocks, discard, list_array, materialize, mixed, runs, signed, small, texts
 from .components import components
 
 #: Shingles of a block that one task takes; larger blocks are dealt into parts.
 BLOCK_SHINGLES = 400_000
 #: Columns of the incidence matrix that are dense at once.
 COLUMNS = 4096
-#: Entries of the per-worker table of word hashes, which is emptied beyond that.
-WORDS = 200_000
-
-
-class WordHashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > WORDS:
-            self.clear()
-        self[word] = h = xxhash.xxh64_intdigest(word)
-        return h
-
-
 def shingle_set(text: bytes, table: WordHashes, size: int) -> np.ndarray:
     """Sorted hashes of a text's distinct shingles: `size` words, or the whole sequence of a shorter text; empty without words."""
     words = text.lower().split()  # of bytes: only A-Z are lowered, and exactly \x20 and \x09-\x0D separate
