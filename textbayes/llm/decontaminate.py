@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, blocks, fresh, materialize, mixed, signed, small, texts
+from .common import Hashes, blocks, fresh, materialize, mixed, signed, small
 
 #: Entries of the tables of rarity and shapes, by a word's hash: a shared entry only adds work.
 SLOT_BITS = 20
@@ -36,17 +36,26 @@ def words_of(text: bytes) -> list[bytes]:
     return text.translate(WORDS).split()
 
 
-class Words:
-    """The words of a block of texts: the words, their hashes, and the first word of each text."""
+_LOW = np.frombuffer(WORDS, np.uint8)
+
 
-    def __init__(self, whole: list[bytes], table: WordHashes):
-        split = [words_of(t) for t in whole]
-        self.first = np.concatenate(([0], np.cumsum([len(w) for w in split]))).astype(np.int64)
-        self.words = [w for ws in split for w in ws]
-        self.hash = np.fromiter(map(table.__getitem__, self.words), np.uint64, len(self.words))
+class Words:
+    """The words of a block of texts: where they stand, their hashes, and the first word of each text."""
+
+    def __init__(self, data: np.ndarray, offsets: np.ndarray):
+        self.low = _LOW[data]
+        there = self.low != 0x20
+        cut = np.zeros(len(data) + 1, bool)  # before a byte: no word goes over it
+        cut[0] = cut[-1] = True
+        cut[offsets] = True
+        cut[1:-1] |= there[1:] != there[:-1]
+        self.begin = np.flatnonzero(there & cut[:-1])
+        self.end = np.flatnonzero(there & cut[1:]) + 1
+        self.first = np.searchsorted(self.begin, offsets)
+        self.hash = mixed(Hashes(self.low)(self.begin, self.end))
 
     def slots(self) -> np.ndarray:
-        return (mixed(self.hash) >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+        return (self.hash >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
 
     def owner(self, at: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.first, at, "right") - 1
@@ -58,14 +67,14 @@ class Words:
         return h
 
     def text(self, start: int, n: int) -> bytes:
-        return b" ".join(self.words[start : start + n])
+        return b" ".join(self.low[self.begin[start] : self.end[start + n - 1]].tobytes().split())
 
 
 def _slots(batches):
     """Texts -> the distinct slots of their words."""
-    table, seen = WordHashes(), np.zeros(SLOTS, bool)
+    seen = np.zeros(SLOTS, bool)
     for _, data, offsets in blocks(batches):
-        seen[Words(texts(data, offsets), table).slots()] = True
+        seen[Words(data, offsets).slots()] = True
     yield pa.RecordBatch.from_arrays([pa.array(np.flatnonzero(seen).astype(np.int32))], ["slot"])
 
 
@@ -73,11 +82,10 @@ def _counts(asked):
     """Texts -> how often words of the asked slots occur, added up by the task."""
 
     def run(batches):
-        table, known, counts = WordHashes(), asked.value, np.zeros(SLOTS, np.int64)
+        known, counts = asked.value, np.zeros(SLOTS, np.int64)
         for _, data, offsets in blocks(batches):
-            got = Words(texts(data, offsets), table).slots()
-            slot, n = np.unique(got[known[got]], return_counts=True)
-            counts[slot] += n
+            got = Words(data, offsets).slots()
+            counts += np.bincount(got[known[got]], minlength=SLOTS)
         slot = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(slot.astype(np.int32)), pa.array(counts[slot])], ["slot", "n"])
 
@@ -103,9 +111,8 @@ def _windows(rarity, size: int):
     """Items -> a row for each distinct window of an item: its shape, the slot and hash it is found by, and its words."""
 
     def run(batches):
-        table = WordHashes()
         for rows, data, offsets in blocks(batches):
-            words = Words(texts(data, offsets), table)
+            words = Words(data, offsets)
             found = windows_of(words, rarity.value, size)
             text, start, n, place, slot, print_ = map(np.concatenate, zip(*found, strict=True)) if found else [np.zeros(0, np.int64)] * 5 + [np.zeros(0, np.uint64)]
             held = [words.text(s, k) for s, k in zip(start.tolist(), n.tolist(), strict=True)]
@@ -122,17 +129,20 @@ class Shapes:
     def __init__(self, rows: pa.Table):
         length, place, slot = (rows[c].to_numpy() for c in ("length", "place", "slot"))
         self.all = sorted(set(zip(length.tolist(), place.tolist(), strict=True)))
-        self.marked = []
+        self.any, self.marked = np.zeros(SLOTS, bool), []
         for n, p in self.all:
             there = np.zeros(SLOTS, bool)
             there[slot[(length == n) & (place == p)]] = True
             self.marked.append(there)
+            self.any |= there
 
     def candidates(self, words: Words):
         """(length, starts) by shape: the starts at which a window can stand."""
         slots = words.slots()
+        marked = np.flatnonzero(self.any[slots])
+        slots = slots[marked]
         for (n, place), bits in zip(self.all, self.marked, strict=True):
-            at = np.flatnonzero(bits[slots])
+            at = marked[bits[slots]]
             start = at - place
             owner = words.owner(at)
             inside = (start >= words.first[owner]) & (start + n <= words.first[owner + 1])
@@ -198,9 +208,9 @@ def _judge(shapes, held):
     """Texts -> their words, hits and items, with the windows at hand; other columns stay."""
 
     def run(batches):
-        table, known, found = WordHashes(), {}, held.value
+        known, found = {}, held.value
         for rows, data, offsets in blocks(batches):
-            words = Words(texts(data, offsets), table)
+            words = Words(data, offsets)
             spans, items = {}, {}
             for n, start in shapes.value.candidates(words):
                 print_ = words.prints(start, n)
@@ -229,9 +239,8 @@ def _ask(shapes, filter_):
     kind = pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int32()), ("print", pa.int64()), ("words", pa.binary())]))
 
     def run(batches):
-        table = WordHashes()
         for rows, data, offsets in blocks(batches):
-            words = Words(texts(data, offsets), table)
+            words = Words(data, offsets)
             asked: dict = {}
             for n, start in shapes.value.candidates(words):
                 print_ = words.prints(start, n)

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLOCK_BYTES, blocks, discard, list_array, materialize, mixed, signed, texts
+from .common import BLOCK_BYTES, Hashes, blocks, discard, list_array, materialize, mixed, signed, texts
 
 GRAM = 48
 #: Bits of the bitmaps of repeated grams (8 MB each, whatever the input).
@@ -35,36 +35,6 @@ BITMAP = 1 << 26
 #: Distinct contexts of one gram that a task compares.
 GROUP = 20_000
 
-_BYTE = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-_BASE = 0x9E3779B97F4A7C15 | 1
-_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
-
-
-def powers(n: int) -> list[np.ndarray]:
-    """Powers 0 to n of the base and of its inverse modulo 2**64, kept for the next block."""
-    if len(_powers[0]) <= n:
-        for k, b in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
-            a = np.full(n + 1, b, np.uint64)
-            a[0] = 1
-            _powers[k] = np.cumprod(a)
-    return _powers
-
-
-class Hashes:
-    """Hashes of any range of the bytes, equal for equal bytes."""
-
-    def __init__(self, data: np.ndarray):
-        up, self.down = powers(len(data))
-        self.sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(_BYTE[data] * up[: len(data)], out=self.sums[1:])
-
-    def __call__(self, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
-        return (self.sums[stop] - self.sums[start]) * self.down[start]
-
-    def fixed(self, width: int) -> np.ndarray:
-        return (self.sums[width:] - self.sums[:-width]) * self.down[: len(self.sums) - width]
-
-
 def sliding_least(a: np.ndarray, width: int) -> np.ndarray:
     out, done = a, 1
     while done < width:
