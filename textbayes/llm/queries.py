@@ -61,7 +61,7 @@ def op9_decontamination(spark, sf_dir):
 
 
 def op10_chat_format(spark, sf_dir):
-    return chat.chat_format(_table(spark, sf_dir, "conversations"))
+    return chat.chat_format(chat.with_tools(_table(spark, sf_dir, "conversations")))
 
 
 def queries() -> dict:
@@ -98,13 +98,33 @@ FROM s
 """
 
 OP10_SQL = """
-SELECT conv_id, CAST(turn AS BIGINT) AS turn, coalesce(role, '') AS role, CAST(turn AS BIGINT) AS order_turn, 0 AS order_step,
-       CAST(0 AS BIGINT) AS n_calls, CAST(0 AS BIGINT) AS n_valid, CAST(NULL AS BOOLEAN) AS linked,
-       CAST(json_object('content', coalesce(text, ''), 'role', coalesce(role, '')) AS VARCHAR) AS json
-FROM conversations
+WITH m AS (
+  SELECT conv_id, CAST(turn AS BIGINT) AS turn, coalesce(role, '') AS role, coalesce(text, '') AS text, length(coalesce(text, '')) AS n, length(coalesce(text, '')) % 6 AS k, turn % 4 AS q FROM conversations
+), c AS (
+  SELECT *, CASE q WHEN 1 THEN 'search' WHEN 3 THEN 'calculator' ELSE 'fetch' END AS name, CASE WHEN k <> 5 THEN 'c' || conv_id || '-' || turn END AS id,
+         CASE q WHEN 1 THEN k BETWEEN 1 AND 4 AND n > 0 WHEN 3 THEN k % 2 = 0 ELSE k NOT IN (3, 4) END AS valid,
+         CASE q WHEN 1 THEN json_object('limit', k, 'query', substr(text, 1, 20))
+                 WHEN 3 THEN json_object('expression', substr(text, 1, 10), 'mode', CASE WHEN k % 2 = 0 THEN 'exact' ELSE 'guessed' END)
+                 ELSE json_merge_patch(json_object('headers', json_array(CASE WHEN k = 3 THEN json_object('value', 'text') ELSE json_object('name', 'accept', 'value', 'text') END)),
+                                       CASE WHEN k = 4 THEN '{}' ELSE json_object('url', 'https://host.example/' || turn) END) END AS arguments
+  FROM m WHERE role = 'assistant'
+), r AS (
+  SELECT conv_id, turn, text, n, CASE WHEN q = 2 THEN turn - 1 ELSE turn + 1 END AS target FROM m WHERE role = 'user'
+)
+SELECT conv_id, turn, role, turn AS order_turn, 0 AS order_step, CAST(CASE WHEN k = 2 THEN 2 ELSE 1 END AS BIGINT) AS n_calls, CAST(valid AS BIGINT) AS n_valid, CAST(NULL AS BOOLEAN) AS linked,
+       CAST(json_object('content', text, 'role', role, 'tool_calls',
+         CASE WHEN k = 2 THEN json_array(json_object('arguments', arguments, 'id', coalesce(id, ''), 'name', name, 'valid', valid), json_object('id', '', 'name', '', 'valid', false))
+              ELSE json_array(json_object('arguments', arguments, 'id', coalesce(id, ''), 'name', name, 'valid', valid)) END) AS VARCHAR) AS json
+FROM c
+UNION ALL
+SELECT r.conv_id, r.turn, 'tool', CASE WHEN c.turn >= r.turn THEN c.turn ELSE r.turn END, CASE WHEN c.turn >= r.turn THEN 1 ELSE 0 END, 0, 0, c.id IS NOT NULL,
+       CAST(json_object('content', CASE WHEN r.n % 2 = 0 THEN r.text ELSE CAST(json_object('n', r.n, 'text', r.text) AS VARCHAR) END, 'name', coalesce(c.name, ''), 'role', 'tool', 'tool_call_id', 'c' || r.conv_id || '-' || r.target) AS VARCHAR)
+FROM r LEFT JOIN (SELECT * FROM c WHERE id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY conv_id, turn ORDER BY text) = 1) c ON c.conv_id = r.conv_id AND c.turn = r.target
+UNION ALL
+SELECT conv_id, turn, role, turn, 0, 0, 0, NULL, CAST(json_object('content', text, 'role', role) AS VARCHAR) FROM m WHERE role NOT IN ('assistant', 'user')
 """
 
 
 def oracle_sql() -> dict[str, str]:
-    """Twins of the queries that SQL can express; that of op10 holds for tables without tool calls, like the driver's."""
+    """Twins of the queries that SQL can express."""
     return {"op5_url_filters": OP5_SQL, "op10_chat_format": OP10_SQL}
