@@ -142,7 +142,11 @@ def test_end_to_end(spark, model, docs, tmp_path):
     assert got[1].pred == 1 and got[2].pred == 0 and got[1].p1 > got[2].p1
     assert got[3].score1 == got[4].score1 == model.classes.first().log_prior_1
     loaded = analyzer.Model.load(spark, model.save(str(tmp_path / "m")))
-    assert loaded.config == model.config
+    assert loaded.config == model.config and model.evaluate(docs).to_string().count("NB") == 4
+    for name, column, value in (("params", "w_fwnb", -1.0), ("params", "logp1", float("nan")), ("params", "idx", 7), ("corrections", "delta_0", float("inf")), ("corrections", "left_idx", -1)):
+        table = getattr(loaded, name)
+        with pytest.raises(ValueError, match="need"):
+            replace(loaded, **{name: table.withColumn(column, F.lit(value).cast(table.schema[column].dataType))}).checked()
     assert {r.doc_id: round(r.p1, 12) for r in loaded.predict(new, ["SDFWNB"]).collect()} == {i: round(r.p1, 12) for i, r in got.items()}
     assert model.predict(new.limit(0)).count() == 0
     with pytest.raises(ValueError, match="unknown"):

@@ -13,7 +13,9 @@ from .features import bounded, presence_information
 
 def doc_pairs(docs: DataFrame, vocab: DataFrame, config: Config, text: str = "model_text") -> DataFrame:
     """(doc_id, label, left_idx, right_idx), once for each document: trigrams without placeholders whose halves are script bigrams of the vocabulary."""
-    grams = docs.select("doc_id", "label", F.explode(F.array_distinct(F.regexp_extract_all(F.col(text), F.lit("(?s)(?=(...))."), F.lit(1)))).alias("trigram"))
+    # both halves are of the script's characters, so all three are
+    found = F.regexp_extract_all(F.col(text), F.lit(f"(?s)(?=([{config.script_class}]{{3}}))."), F.lit(1))
+    grams = docs.select("doc_id", "label", F.explode(F.array_distinct(found)).alias("trigram"))
     grams = grams.where(~holds_placeholder(F.col("trigram")))
     halves = grams.select("doc_id", "label", F.substring("trigram", 1, 2).alias("l"), F.substring("trigram", 2, 2).alias("r")).where("l <> r")
     script = vocab.where(is_script_bigram(F.col("gram"), config.script_class))

@@ -46,6 +46,14 @@ def _clip(df: str, n: str, l: str, r: str) -> str:
     return f"least(greatest(ln({rate(df)} / ({rate(l)} * {rate(r)})), -4.0), 4.0)"
 
 
+# The frozen settings.
+FROZEN = [
+    ("random_seed", "42"), ("ngram_range", "[2, 2]"), ("min_df", "2"), ("max_features", "50000"), ("alpha", "0.05"), ("minimum_weight", "0.25"), ("maximum_boost", "0.5"), ("gamma", "1.0"), ("candidate_feature_count", "2000"),
+    ("maximum_features_per_document", "80"), ("redundancy_minimum_pair_df", "20"), ("minimum_jaccard", "0.03"), ("top_k", "3"), ("redundancy_support_tau", "30.0"), ("redundancy_strength", "1.0"), ("redundancy_gamma", "0.5"),
+    ("direction_smoothing", "0.5"), ("dependency_minimum_pair_df", "8"), ("dependency_support_tau", "30.0"), ("dependency_smoothing", "0.5"), ("delta_clip", "4.0"), ("dependency_pair_count", "1000"), ("dependency_strength", "1.0"),
+    ("maximum_pairs_per_document", "30"), ("train_dev_merge", "true"), ("bootstrap_resamples", "5000"), ("bootstrap_seed_offset", "100"),
+]
+
 MODELS = ["StandardNB", "FWNB", "DFWNB-v2", "SDFWNB"]
 
 #: name: (what it reads, SQL). Everything is materialized, so that no part runs twice.
@@ -234,6 +242,8 @@ def oracle_sql() -> dict[str, str]:
         "tsv_split": f"SELECT 'train' AS split, quality::BIGINT AS label, t AS text FROM (SELECT l.quality, {_one_line('d.text')} AS t FROM documents d JOIN labels l USING (doc_id)) WHERE t <> ''",
         "tsv_gb18030": _with("SELECT 'train' AS split, label::BIGINT AS label, m AS text FROM lab WHERE m <> ''", "lab"),
         "tsv_odd_labels": f"SELECT 'train' AS split, CASE length(text) % 4 WHEN 0 THEN 0 ELSE 1 END::BIGINT AS label, t AS text FROM (SELECT text, {_one_line('text')} AS t FROM conversations) WHERE t <> '' AND length(text) % 4 < 2",
+        "label_domain": "SELECT (length(text) % 4)::BIGINT AS label, count(*) AS n FROM conversations WHERE length(text) % 4 > 1 GROUP BY 1",
+        "frozen_config": "SELECT name, value FROM (VALUES " + ", ".join(f"('{k}', '{v}')" for k, v in FROZEN) + ") v(name, value)",
         "tsv_in_order": "SELECT 'dev' AS split, row_number() OVER (ORDER BY o_orderkey) - 1 AS row_id, (o_orderkey % 2)::BIGINT AS label, o_orderkey::BIGINT AS o_orderkey FROM orders",
         "file_checksums": "SELECT n_nationkey::BIGINT AS n_nationkey, sha256(n_name || chr(10)) AS sha256 FROM nation",
         "result_sinks": _with("SELECT conf.*, (SELECT count(*) FROM conf) AS n_rows, 0.05::DOUBLE AS alpha FROM conf", "conf"),

@@ -25,6 +25,14 @@ def prepared(docs: DataFrame) -> DataFrame:
     return materialize(docs.select("doc_id", F.col("label").cast("int").alias("label"), "model_text"), "documents")
 
 
+class Report(dict):
+    """An evaluation's tables by name: predictions, metrics and confusion."""
+
+    def to_string(self, digits: int = 4) -> str:
+        """The metrics as text, a line for each model."""
+        return self["metrics"].orderBy("model").toPandas().round(digits).to_string(index=False)
+
+
 @dataclass
 class Model:
     """A fitted model: parameter tables, all with a size that the configuration bounds."""
@@ -50,10 +58,10 @@ class Model:
     def predict(self, docs: DataFrame, models: list[str] | None = None) -> DataFrame:
         return bayes.predictions(self.score(docs), models)
 
-    def evaluate(self, docs: DataFrame, models: list[str] | None = None) -> dict[str, DataFrame]:
+    def evaluate(self, docs: DataFrame, models: list[str] | None = None) -> Report:
         """predictions, metrics and confusion counts of labelled documents, which are scored once."""
         predicted = bayes.predictions(materialize(self.score(docs), "scores"), models)
-        return {"predictions": predicted, "metrics": evaluation.metrics(predicted), "confusion": evaluation.confusion(predicted)}
+        return Report(predictions=predicted, metrics=evaluation.metrics(predicted), confusion=evaluation.confusion(predicted))
 
     def explain(self, docs: DataFrame, model: str = "SDFWNB", top_n: int = 10) -> DataFrame:
         """One row for each document with its scores by one model and their evidence; see explain.explanations."""
@@ -84,7 +92,19 @@ class Model:
         meta = json.loads(spark.read.text(f"{path}/meta.json").first().value)
         if meta["version"] != VERSION:
             raise ValueError(f"the model has version {meta['version']}; this is {VERSION}")
-        return cls(Config.of(meta["config"]), *(spark.read.parquet(f"{path}/{n}") for n in cls.tables))
+        return cls(Config.of(meta["config"]), *(spark.read.parquet(f"{path}/{n}") for n in cls.tables)).checked()
+
+    def checked(self) -> Model:
+        """The model, if its tables are sound: weights finite and not negative, probabilities and corrections finite, indexes whole and of known features."""
+        number = lambda c: F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))
+        weight = lambda c: number(c) & (F.col(c) >= 0)
+        features_ = self.params.agg(F.count("*").alias("n"), F.count_distinct("idx").alias("d"), F.max("idx").alias("top"), F.count_if(~(weight("w_fwnb") & weight("w_dfwnb") & number("logp0") & number("logp1"))).alias("bad")).first()
+        if not features_.n or features_.d != features_.n or features_.top != features_.n - 1 or features_.bad:
+            raise ValueError("feature parameters need an index from 0 on, finite weights that aren't negative, and finite probabilities")
+        known = F.col("left_idx").between(0, features_.top) & F.col("right_idx").between(0, features_.top)
+        if not self.corrections.where(~(known & number("delta_0") & number("delta_1") & number("relevance"))).isEmpty():
+            raise ValueError("corrections need pairs of known features and finite values")
+        return self
 
 
 def fit(docs: DataFrame, config: Config | None = None) -> Model:
@@ -124,10 +144,10 @@ def significance(predicted: DataFrame, config: Config | None = None, resamples:
     return {"mcnemar": evaluation.mcnemar(predicted), "bootstrap": evaluation.bootstrap(predicted, resamples, config.random_seed + config.bootstrap_seed_offset)}
 
 
-def run(train: DataFrame, test: DataFrame, config: Config | None = None, models: list[str] | None = None, save_to: str | None = None) -> dict:
+def run(train: DataFrame, test: DataFrame, config: Config | None = None, models: list[str] | None = None, save_to: str | None = None) -> Report:
     """Fits on train, evaluates on test; both (doc_id, label, model_text). Returns the model, the evaluation's tables and the tests."""
     model = fit(train, config)
     if save_to:
         model.save(save_to)
     report = model.evaluate(test, models)
-    return {"model": model, **report, **(significance(report["predictions"], model.config) if models is None else {})}
+    return Report(model=model, **report, **(significance(report["predictions"], model.config) if models is None else {}))

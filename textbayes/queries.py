@@ -10,12 +10,12 @@ Texts are dealt by doc_id when they are read: normalization costs a hundred time
 
 from __future__ import annotations
 
-from dataclasses import replace
+from dataclasses import asdict, replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textbayes.config import Config
+from textbayes.config import Config, load_config
 from textbayes.functions import text as T
 from textbayes.operators import cleaning, dependency, evaluation, explain, features, redundancy
 from textbayes.plans import analyzer
@@ -339,6 +339,26 @@ def tsv_odd_labels(spark, sf_dir):
     return _read_back(spark, path)
 
 
+def label_domain(spark, sf_dir):
+    """Labels outside of 0 and 1, of texts read without the check."""
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    tables.write_split(turns.select(F.pmod(F.length("text"), F.lit(4)).cast("string").alias("labels"), F.lit("x").alias("text")), path := _scratch(spark, "tsv-domain"))
+    return tables.unknown_labels(tables.standardize(tables.read_split(spark, path), "train", check=False))
+
+
+def frozen_config(spark, sf_dir):
+    """The frozen settings, as a configuration file holds them, after it was read."""
+    import json
+    import os
+    import tempfile
+
+    with tempfile.NamedTemporaryFile("w", suffix=".json", delete=False) as f:
+        f.write(Config().to_json())
+    values = asdict(load_config(f.name))
+    os.remove(f.name)
+    return spark.createDataFrame([(k, json.dumps(v, ensure_ascii=False)) for k, v in values.items() if k != "script_class"], "name string, value string")
+
+
 def tsv_in_order(spark, sf_dir):
     """row_id numbers the rows of several files by file and place."""
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.pmod("o_orderkey", F.lit(2)).cast("string").alias("label"), F.format_string("%015d", F.col("o_orderkey").cast("long")).alias("text"))
@@ -385,7 +405,7 @@ NAMES = [
     "feature_information", "redundancy_candidates", "pair_cooccurrence", "redundancy_relations", "dfwnb_weights", "doc_pairs", "dependency_table", "dependency_selection", "nb_params", "class_params", "score_all", "predict_all",
     "metrics_all", "macro_f1_all", "mcnemar_all", "bootstrap_cells", "bootstrap_all", "top_features", "top_features_positive", "top_features_negative", "top_redundant", "top_dependencies", "explain_features",
     "explain_dependencies", "explain_documents", "model_roundtrip", "final_test_metrics", "final_test_confusion", "final_test_mcnemar", "final_test_predictions", "final_test_bootstrap", "tsv_split", "tsv_gb18030", "tsv_odd_labels",
-    "tsv_in_order", "file_checksums", "result_sinks",
+    "label_domain", "frozen_config", "tsv_in_order", "file_checksums", "result_sinks",
 ]
 
 

@@ -83,11 +83,16 @@ def standardize(df: DataFrame, split: str, check: bool = True) -> DataFrame:
     row_id = F.col(by_name["row_id"]) if "row_id" in by_name else F.monotonically_increasing_id()
     number = F.expr(f"try_cast(`{label}` AS DOUBLE)").cast("long")
     out = df.select(F.lit(split).alias("split"), row_id.alias("row_id"), number.alias("label"), F.col(text).cast("string").alias("text")).dropna(subset=["label", "text"])
-    if check and (bad := out.where(~F.col("label").isin(0, 1)).select("label").first()):
+    if check and (bad := unknown_labels(out).first()):
         raise ValueError(f"labels must be 0 or 1; {split} has {bad.label}")
     return out
 
 
+def unknown_labels(df: DataFrame) -> DataFrame:
+    """(label, n): the labels that aren't 0 or 1."""
+    return df.where(~F.col("label").isin(0, 1)).groupBy("label").agg(F.count("*").alias("n"))
+
+
 def checksums(spark: SparkSession, path: str) -> DataFrame:
     """(path, sha256) of files; each file is read whole by one task."""
     return spark.read.format("binaryFile").load(path).select("path", F.sha2("content", 256).alias("sha256"))
