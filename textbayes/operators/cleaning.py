@@ -1,60 +1,57 @@
 """Cleaning of labelled splits: label conflicts, duplicates, leaks between splits; raw texts first, then normalized ones.
 
 Splits stand in one table (split, row_id, label, text). Each rule marks rows with a reason instead of taking tables apart, so summaries
-are counts of reasons.
+are counts of reasons. Rules are decided by key, on digests and without the texts: tasks add up what they have of a key before anything is
+shuffled, so a text that a third of all rows share is a row from each task, and reasons come back to the rows by an equi-join.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textbayes.functions.text import duplicate_key, normalize
+from textbayes.storage import materialize
 
 #: Splits by rank: a text stays in the first of these that has it.
 SPLITS = ("test", "dev", "train")
 
 
-def _first_reason(df: DataFrame, reason: Column, column: str) -> DataFrame:
-    return df.withColumn(column, F.coalesce(F.col(column), reason)) if column in df.columns else df.withColumn(column, reason)
+def decide(rows: DataFrame) -> DataFrame:
+    """rows(split, row_id, label, key), those alive -> (split, row_id, reason) of rows that go, by key.
 
-
-def mark_conflicts(df: DataFrame, key: str, column: str, alive: Column | None = None) -> DataFrame:
-    """All rows of a key that has both labels within a split."""
-    alive = F.lit(True) if alive is None else alive
-    label = F.when(alive, F.col("label"))
-    w = W.partitionBy("split", key)
-    return _first_reason(df, F.when(alive & (F.min(label).over(w) < F.max(label).over(w)), F.lit("conflict")), column)
-
-
-def mark_duplicates(df: DataFrame, key: str, column: str) -> DataFrame:
-    """All living rows of a key within a split but the first."""
-    w = W.partitionBy("split", key)
-    first = F.min(F.when(F.col(column).isNull(), F.col("row_id"))).over(w)
-    return _first_reason(df, F.when(F.col("row_id") > first, F.lit("duplicate")), column)
-
-
-def mark_leaks(df: DataFrame, key: str, column: str) -> DataFrame:
-    """Living rows whose key lives in a split of higher rank. Ranks go from test over dev to train."""
+    conflict: all rows of a key that has both labels within a split; duplicate: of the others all but the first; in_test and in_dev: those whose key is
+    kept by a split of higher rank.
+    """
     rank = F.array_position(F.array(*map(F.lit, SPLITS)), F.col("split"))
-    best = F.min(F.when(F.col(column).isNull(), rank)).over(W.partitionBy(key))
-    return _first_reason(df, F.when(F.col(column).isNull() & (best < rank), F.concat(F.lit("in_"), F.element_at(F.array(*map(F.lit, SPLITS)), best.cast("int")))), column)
+    keys = rows.groupBy("split", "key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.min("row_id").alias("first"))
+    keys = keys.withColumn("disputed", F.coalesce(F.col("low") < F.col("high"), F.lit(False)))
+    best = keys.where("not disputed").groupBy("key").agg(F.min(rank).alias("best"))
+    known = rows.join(keys.select("split", "key", "first", "disputed"), ["split", "key"]).join(best, "key", "left")
+    leak = F.concat(F.lit("in_"), F.element_at(F.array(*map(F.lit, SPLITS)), F.col("best").cast("int")))
+    reason = F.when(F.col("disputed"), "conflict").when(F.col("row_id") > F.col("first"), "duplicate").when(F.col("best") < rank, leak)
+    return known.select("split", "row_id", reason.alias("reason")).where("reason is not null")
 
 
 def clean(df: DataFrame) -> DataFrame:
     """df(split, row_id, label, text) with text_key, model_text, raw_reason and model_reason; rows without a reason are ready.
 
     Raw texts: within a split, conflicting keys go whole, then all but the first of a key; then train and dev lose what test keeps, and train
-    what dev keeps. The same follows on model_text among the rows left, after those that normalize to nothing. Keys are null-safe: null texts are empty.
+    what dev keeps. The same follows on model_text among the rows left, after those that normalize to nothing; model_text is null for rows
+    that went before. Null texts are empty, null labels conflict with none; (split, row_id) names a row. Texts are normalized once.
     """
-    df = df.withColumn("text_key", duplicate_key(F.col("text")))
-    df = mark_leaks(mark_duplicates(mark_conflicts(df, "text_key", "raw_reason"), "text_key", "raw_reason"), "text_key", "raw_reason")
-    alive, gone = df.where("raw_reason is null").withColumn("model_text", normalize(F.col("text"))), df.where("raw_reason is not null")
-    alive = alive.withColumn("model_reason", F.when(F.col("model_text") == "", F.lit("empty")))
-    alive = mark_conflicts(alive, "model_text", "model_reason", F.col("model_text") != "")
-    alive = mark_leaks(mark_duplicates(alive, "model_text", "model_reason"), "model_text", "model_reason")
-    return alive.unionByName(gone.withColumns({"model_text": F.lit(None).cast("string"), "model_reason": F.lit(None).cast("string")}))
+    digest = lambda c: F.unhex(F.sha2(c, 256))
+    made = df.withColumns({"raw": digest(duplicate_key(F.col("text"))), "model_text": normalize(F.col("text"))})
+    made = materialize(made.withColumn("model", F.when(F.col("model_text") != "", digest(F.col("model_text")))), "cleaning")
+    raw = materialize(decide(made.select("split", "row_id", "label", F.col("raw").alias("key"))).withColumnRenamed("reason", "raw_reason"), "raw-reasons")
+    left = made.select("split", "row_id", "label", "model").join(raw, ["split", "row_id"], "left_anti")
+    second = decide(left.where("model is not null").select("split", "row_id", "label", F.col("model").alias("key"))).withColumnRenamed("reason", "model_reason")
+    out = made.join(raw, ["split", "row_id"], "left").join(materialize(second, "model-reasons"), ["split", "row_id"], "left")
+    went = F.col("raw_reason").isNotNull()
+    return out.select(
+        *df.columns, duplicate_key(F.col("text")).alias("text_key"), F.when(~went, F.col("model_text")).alias("model_text"), "raw_reason",
+        F.when(~went, F.when(F.col("model_text") == "", "empty").otherwise(F.col("model_reason"))).alias("model_reason"),
+    )
 
 
 def ready(cleaned: DataFrame) -> DataFrame:
