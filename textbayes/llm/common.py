@@ -2,51 +2,23 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from textbayes.storage import discard, materialize
+
+__all__ = ["discard", "materialize", "fresh", "small", "utf8", "blocks", "texts", "mixed", "signed", "Hashes", "BlockWords", "runs"]
+
 #: Text bytes that a numpy kernel takes at once; bounds a worker's memory (one longer text is taken alone).
 BLOCK_BYTES = 1 << 20
 #: Most rows of one or two longs that are ever broadcast; larger sides are shuffled.
 BROADCAST_ROWS = 1_000_000
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir. A single machine without one gets a temporary folder, a cluster an error."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="textbayes-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Cuts lineage: writes df as Parquet to the shared folder and reads it back, so that lost executors cost no recomputation."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
-    out._written_to = path
-    return out
-
-
-def discard(df: DataFrame | None) -> None:
-    """Deletes what materialize() wrote, once nothing reads it any more."""
-    path = getattr(df, "_written_to", None)
-    if path:
-        spark = df.sparkSession
-        target = spark._jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
-
-
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """df with a broadcast hint if it has at most so many rows, which are counted; else as it is, to be shuffled."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
@@ -60,18 +32,6 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
-#: Entries of a worker's table of word hashes, which is emptied beyond that.
-WORDS = 200_000
-
-
-class WordHashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > WORDS:
-            self.clear()
-        self[word] = h = xxhash.xxh64_intdigest(word)
-        return h
-
-
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a string column (null: empty) and the offset of each row in them, without copying."""
     if isinstance(column, pa.ChunkedArray):
@@ -142,14 +102,27 @@ class Hashes:
         return (self.sums[width:] - self.sums[:-width]) * self.down[: len(self.sums) - width]
 
 
-def signed(h: np.ndarray) -> np.ndarray:
-    return np.ascontiguousarray(h, np.uint64).view(np.int64)
+class BlockWords:
+    """The words of a block of texts: where they stand, their hashes, and the first word of each text.
 
+    lower maps each byte to itself, to its small letter, or to 0x20 if it separates words.
+    """
 
-def list_array(values: np.ndarray, lengths: np.ndarray, kind: pa.DataType) -> pa.ListArray:
-    offsets = np.zeros(len(lengths) + 1, np.int32)
-    np.cumsum(lengths, out=offsets[1:])
-    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values, kind))
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, lower: np.ndarray):
+        self.low = lower[data]
+        there = self.low != 0x20
+        cut = np.zeros(len(data) + 1, bool)  # before a byte: no word goes over it
+        cut[0] = cut[-1] = True
+        cut[offsets] = True
+        cut[1:-1] |= there[1:] != there[:-1]
+        self.begin = np.flatnonzero(there & cut[:-1])
+        self.end = np.flatnonzero(there & cut[1:]) + 1
+        self.first = np.searchsorted(self.begin, offsets)
+        self.hash = mixed(Hashes(self.low)(self.begin, self.end))
+
+
+def signed(h: np.ndarray) -> np.ndarray:
+    return np.ascontiguousarray(h, np.uint64).view(np.int64)
 
 
 def runs(batches, keys: list[str]) -> Iterator[list[dict]]:
