@@ -51,8 +51,9 @@ def op7_media_columns(spark, sf_dir):
 
 
 def op8_token_counts(spark, sf_dir):
-    counts = token_counts.token_counts(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), LIMIT, prefixes=False)
-    return counts.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > LIMIT).alias("over_limit"), "cut_bytes")
+    counted = token_counts.token_counts(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    n = F.size("token_ends").cast("long")
+    return counted.select("doc_id", "n_bytes", n.alias("n_tokens"), (n > LIMIT).alias("over_limit"), token_counts.cut_bytes(F.col("n_bytes"), F.col("token_ends"), LIMIT).alias("cut_bytes"))
 
 
 def op9_decontamination(spark, sf_dir):
@@ -97,6 +98,55 @@ SELECT page_id, host, path, rule,
 FROM s
 """
 
+_LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+OP3_SQL = rf"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all({_LOWERED}, '[^\x20\x09-\x0D]+') AS words FROM documents),
+s AS MATERIALIZED (
+  SELECT doc_id, CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 3 THEN [array_to_string(words, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(words) - 1), lambda i: words[i] || ' ' || words[i + 1] || ' ' || words[i + 2])) END AS shingles FROM w
+), t AS MATERIALIZED (SELECT doc_id, len(shingles) AS n, sha256(array_to_string(list_sort(shingles), chr(10))) AS of FROM s),
+-- equal sets are one; pairs of others are counted by shared shingles
+u AS MATERIALIZED (SELECT of, n, min(doc_id) AS node, count(*) AS n_same FROM t WHERE n > 0 GROUP BY ALL),
+g AS MATERIALIZED (SELECT u.node, u.n, hash(x.shingle) AS h, x.shingle FROM u JOIN (SELECT doc_id, unnest(shingles) AS shingle FROM s) x ON x.doc_id = u.node),
+links AS MATERIALIZED (
+  SELECT a.node AS a, b.node AS b FROM g a JOIN g b ON a.shingle = b.shingle AND a.node < b.node AND 100 * a.n >= 90 * b.n AND 100 * b.n >= 90 * a.n
+  GROUP BY ALL HAVING 100 * count(*) >= 90 * (any_value(a.n) + any_value(b.n) - count(*))
+), ways AS MATERIALIZED (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach AS (SELECT node AS a, node AS b FROM u UNION SELECT r.a, l.b FROM reach r JOIN ways l ON l.a = r.b),
+least AS (SELECT a AS node, min(b) AS component FROM reach GROUP BY 1)
+SELECT t.doc_id, t.n::BIGINT AS n_shingles, coalesce(l.component, t.doc_id) AS component_id, coalesce(u.n_same, 1)::BIGINT AS n_same
+FROM t LEFT JOIN u ON u.of = t.of AND u.n = t.n LEFT JOIN least l ON l.node = u.node
+"""
+
+OP6_SQL = """
+WITH d AS MATERIALIZED (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS MATERIALIZED (SELECT doc_id, p, hash(substr(h, 2 * p + 1, 400)) AS x FROM (SELECT doc_id, h, unnest(range(0, length(h) // 2 - 199)) AS p FROM d)),
+s AS (SELECT doc_id, p, lag(p) OVER (PARTITION BY doc_id ORDER BY p) AS before FROM w SEMI JOIN (SELECT x FROM w GROUP BY x HAVING count(*) > 1) r USING (x)),
+n AS (SELECT doc_id, p, sum(CASE WHEN before IS NULL OR p > before + 200 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY p) AS run FROM s),
+r AS MATERIALIZED (SELECT doc_id, run, min(p) AS a, max(p) + 200 AS b FROM n GROUP BY ALL),
+k AS (
+  SELECT doc_id, sum(b - a) AS n_removed, count(*) AS n_spans, max(b) AS last, string_agg(piece, '' ORDER BY a) AS kept
+  FROM (SELECT r.*, substr(d.h, 2 * lag(b, 1, 0) OVER (PARTITION BY doc_id ORDER BY a) + 1, 2 * (a - lag(b, 1, 0) OVER (PARTITION BY doc_id ORDER BY a))) AS piece FROM r JOIN d USING (doc_id)) GROUP BY doc_id
+)
+SELECT d.doc_id, (length(h) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
+       sha256(unhex(coalesce(kept, '') || substr(h, 2 * coalesce(last, 0) + 1))) AS kept_sha256
+FROM d LEFT JOIN k USING (doc_id)
+"""
+
+OP9_SQL = rf"""
+WITH d AS MATERIALIZED (SELECT doc_id, regexp_extract_all({_LOWERED}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM documents),
+i AS MATERIALIZED (SELECT item_id::VARCHAR AS item, words, least(13, len(words)) AS n FROM (SELECT item_id, regexp_extract_all({_LOWERED}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM benchmark WHERE item_id IS NOT NULL) WHERE len(words) > 0),
+iw AS MATERIALIZED (SELECT DISTINCT item, n, array_to_string(words[k : k + n - 1], ' ') AS w FROM (SELECT *, unnest(range(1, len(words) - n + 2)) AS k FROM i)),
+dw AS (SELECT doc_id, n, k, array_to_string(words[k : k + n - 1], ' ') AS w FROM (SELECT doc_id, words, n, unnest(range(1, len(words) - n + 2)) AS k FROM d CROSS JOIN (SELECT DISTINCT n FROM iw) WHERE len(words) >= n)),
+m AS MATERIALIZED (SELECT dw.doc_id, dw.n, dw.k, iw.item FROM dw JOIN iw ON iw.n = dw.n AND iw.w = dw.w),
+h AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(k, k + n)) AS p FROM (SELECT DISTINCT doc_id, n, k FROM m)) GROUP BY 1),
+o AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item FROM m) GROUP BY 1)
+SELECT d.doc_id, len(words)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(items, '')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(words) AS contaminated
+FROM d LEFT JOIN h USING (doc_id) LEFT JOIN o USING (doc_id)
+"""
+
 OP10_SQL = """
 WITH m AS (
   SELECT conv_id, CAST(turn AS BIGINT) AS turn, coalesce(role, '') AS role, coalesce(text, '') AS text, length(coalesce(text, '')) AS n, length(coalesce(text, '')) % 6 AS k, turn % 4 AS q FROM conversations
@@ -127,4 +177,4 @@ SELECT conv_id, turn, role, turn, 0, 0, 0, NULL, CAST(json_object('content', tex
 
 def oracle_sql() -> dict[str, str]:
     """Twins of the queries that SQL can express."""
-    return {"op5_url_filters": OP5_SQL, "op10_chat_format": OP10_SQL}
+    return {"op3_ngram_jaccard_join": OP3_SQL, "op5_url_filters": OP5_SQL, "op6_suffix_dedup": OP6_SQL, "op9_decontamination": OP9_SQL, "op10_chat_format": OP10_SQL}

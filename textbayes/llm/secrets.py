@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, small
+from .common import discard, fresh, materialize, small
 
 #: Code points between parts of one credential, at most.
 SCOPE = 300
@@ -72,11 +72,16 @@ def spans(text: Column, kind: str) -> Column:
     return F.when(text.rlike(quick), found).otherwise(F.expr(f"cast(array() as array<{PART}>)"))
 
 
+def _row() -> Column:
+    """What rows with the same doc_id and text share: two hashes of 64 bits."""
+    return F.struct(F.xxhash64("doc_id", "text").alias("a"), F.xxhash64(F.lit(1), "text", "doc_id").alias("b"))
+
+
 def _candidates(docs: DataFrame) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     strong = F.array_sort(F.concat(*(spans(text, k) for k in STRONG)))
     weak = F.concat(*(spans(text, k) for k in WEAK))
-    return docs.select("doc_id", F.xxhash64("doc_id", "text").alias("row"), strong.alias("strong"), weak.alias("weak"))
+    return docs.select("doc_id", _row().alias("row"), strong.alias("strong"), weak.alias("weak"))
 
 
 def _linked(found: DataFrame) -> DataFrame:
@@ -99,8 +104,8 @@ def secret_scan(docs: DataFrame) -> DataFrame:
     """docs(doc_id, text, ...) -> (doc_id, strong, extra): arrays of spans (start, rank, stop), one row for each row.
 
     rank numbers KINDS; places are code points, stop is exclusive; strong is sorted. extra are weak spans that a complementary part
-    within SCOPE code points, not overlapping, completes. Null and empty texts have none. Rows may repeat, doc_id may be null. Other
-    columns are ignored.
+    within SCOPE code points, not overlapping, completes. Null and empty texts have none; long texts are scanned whole. Rows may repeat, doc_id may be
+    null; of spans that start together the kinds' order decides. An empty table gives an empty result. Other columns are ignored.
     """
     found = materialize(_candidates(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")), "secrets")
     extra = _linked(found)
@@ -114,11 +119,17 @@ def rendered(parts: Column) -> Column:
 
 
 def redact(docs: DataFrame, mark: str = "[REDACTED]") -> DataFrame:
-    """docs(doc_id, text, n_chars, ...) with every found span replaced by a mark and n_chars counted anew; other rows and columns stay as they are."""
+    """docs(doc_id, text, ...) with every found span replaced by a mark and n_chars, if there is such a column, counted anew; other columns stay.
+
+    Spans that overlap become one mark. Null and empty texts and texts without spans stay as they are; long texts are scanned whole; repeated rows
+    come back as often as they stand there; an empty table stays empty.
+    """
     found = materialize(_candidates(docs.select("doc_id", "text")).where(F.size("strong") + F.size("weak") > 0), "secrets")
     none = F.expr(f"cast(array() as array<{PART}>)")
-    marks = found.dropDuplicates(["row"]).join(_linked(found), "row", "left").select(F.col("row").alias("__row"), F.array_sort(F.concat("strong", F.coalesce("extra", none))).alias("__spans")).where(F.size("__spans") > 0)
+    key, row, spans_, new = (fresh(docs, n) for n in ("key", "of_row", "cut_spans", "new_text"))
+    marks = found.dropDuplicates(["row"]).join(_linked(found), "row", "left").select(F.col("row").alias(row), F.array_sort(F.concat("strong", F.coalesce("extra", none))).alias(spans_)).where(F.size(spans_) > 0)
     marks = materialize(marks, "secret-spans")
+    discard(found)
     long = lambda x: F.lit(x).cast("long")
 
     def cut(acc, p):
@@ -127,8 +138,13 @@ def redact(docs: DataFrame, mark: str = "[REDACTED]") -> DataFrame:
         inside = p["stop"] <= acc["at"]
         return F.struct(F.when(inside, acc["out"]).otherwise(piece).alias("out"), F.greatest(p["stop"], acc["at"]).alias("at"))
 
-    done = F.aggregate("__spans", F.struct(F.lit("").alias("out"), long(0).alias("at")), cut, lambda acc: F.concat(acc["out"], F.substring(F.col("text"), (acc["at"] + 1).cast("int"), 2**31 - 1)))
-    marked = docs.withColumn("__key", F.xxhash64("doc_id", "text")).join(small(marks), F.col("__key") == F.col("__row"), "left")
-    marked = marked.withColumn("__new", F.when(F.col("__spans").isNotNull(), done).otherwise(F.col("text")))
-    count = F.when(F.col("__spans").isNotNull(), F.length("__new").cast("long")).otherwise(F.col("n_chars"))
-    return marked.select(*(F.col("__new").alias(c) if c == "text" else count.alias(c) if c == "n_chars" else F.col(c) for c in docs.columns))
+    done = F.aggregate(spans_, F.struct(F.lit("").alias("out"), long(0).alias("at")), cut, lambda acc: F.concat(acc["out"], F.substring(F.col("text"), (acc["at"] + 1).cast("int"), 2**31 - 1)))
+    marked = docs.withColumn(key, _row()).join(small(marks), F.col(key) == F.col(row), "left")
+    marked = marked.withColumn(new, F.when(F.col(spans_).isNotNull(), done).otherwise(F.col("text")))
+
+    def column(c):
+        if c == "n_chars":
+            return F.when(F.col(spans_).isNotNull(), F.length(new).cast("long")).otherwise(F.col(c)).alias(c)
+        return F.col(new).alias(c) if c == "text" else F.col(c)
+
+    return marked.select(*map(column, docs.columns))
