@@ -20,6 +20,8 @@ from .common import blocks, texts
 
 #: Boxes that hold boxes.
 NESTED = {b"moov", b"trak", b"mdia", b"minf", b"stbl", b"edts", b"dinf", b"udta"}
+#: Boxes inside one another at most; files have about ten.
+DEPTH = 32
 #: Bytes of a sample, samples of a chunk (its first is a keyframe), samples a second.
 SAMPLE, CHUNK, RATE = 64, 256, 8000
 
@@ -66,7 +68,9 @@ def store(payload: bytes) -> bytes:
 
 
 def walk(data: bytes | memoryview, start: int = 0, stop: int | None = None, path: tuple = ()) -> Iterator[tuple[tuple, int, int]]:
-    """(path of box kinds, begin and end of its body), depth first; bodies are not read. A box that doesn't fit raises ValueError."""
+    """(path of box kinds, begin and end of its body), depth first; bodies are not read. A box that doesn't fit, or is nested too deeply, raises ValueError."""
+    if len(path) > DEPTH:
+        raise ValueError("boxes are nested too deeply")
     stop = len(data) if stop is None else stop
     while start < stop:
         if stop - start < 8:
@@ -110,11 +114,15 @@ def tracks(data: bytes) -> list[dict]:
         version = data[at[b"mdhd"][0]]
         scale, duration = struct.unpack_from(">IQ", data, at[b"mdhd"][0] + 20) if version else struct.unpack_from(">II", data, at[b"mdhd"][0] + 12)
         fixed, n = struct.unpack_from(">II", data, at[b"stsz"][0] + 4)
+        if n * max(fixed, 1) > len(data):  # before anything of that size is made; a sample without bytes has an entry in the table
+            raise ValueError("the samples don't fit the file")
         sizes = np.full(n, fixed, np.int64) if fixed else np.frombuffer(data, ">u4", n, at[b"stsz"][0] + 12).astype(np.int64)
         chunks = _table(data, at, b"stco", ">u4") if b"stco" in at else _table(data, at, b"co64", ">u8")
         (entries,) = struct.unpack_from(">I", data, at[b"stsc"][0] + 4)
         runs = np.frombuffer(data, ">u4", 3 * entries, at[b"stsc"][0] + 8).astype(np.int64).reshape(-1, 3)
         per = np.repeat(runs[:, 1], np.diff(np.append(runs[:, 0], len(chunks) + 1)))
+        if per.sum() != n:
+            raise ValueError("the chunks don't hold the samples")
         owner = np.repeat(np.arange(len(chunks)), per)[:n]
         before = np.concatenate(([0], np.cumsum(sizes)))[:-1]
         first = np.concatenate(([0], np.cumsum(per)))[:-1]
@@ -144,38 +152,45 @@ def payload_of(data: bytes, track: int = 0) -> bytes:
 RANGES = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
 
 
-TRACKS = pa.list_(pa.struct([("codec", pa.string()), ("seconds", pa.float64()), ("n_samples", pa.int64()), ("keyframes", RANGES)]))
+TRACK_FIELDS = ["codec", "seconds", "n_samples", "keyframes", "ranges"]
+TRACKS = pa.list_(pa.struct([("codec", pa.string()), ("seconds", pa.float64()), ("n_samples", pa.int64()), ("keyframes", RANGES), ("ranges", RANGES)]))
 
 
-def _ranges(track: dict) -> list[dict]:
+def _keyframes(track: dict) -> list[dict]:
     starts, sizes = track["offsets"][track["keyframes"]], track["sizes"][track["keyframes"]]
     return [{"start": a, "stop": b} for a, b in zip(starts.tolist(), (starts + sizes).tolist(), strict=True)]
 
 
+def _ranges(track: dict) -> list[dict]:
+    return [{"start": a, "stop": b} for a, b in joined(track["offsets"], track["sizes"])]
+
+
 def _described(files: list[bytes]) -> list[pa.Array]:
     rows = []
     for data in files:
         try:
-            found = [{"codec": t["codec"], "seconds": t["seconds"], "n_samples": len(t["sizes"]), "keyframes": _ranges(t)} for t in tracks(data)]
+            found = [{"codec": t["codec"], "seconds": t["seconds"], "n_samples": len(t["sizes"]), "keyframes": _keyframes(t), "ranges": _ranges(t)} for t in tracks(data)]
             rows.append((found or None, None if found else "no track"))
-        except (ValueError, KeyError, IndexError, struct.error) as e:
+        except (ValueError, KeyError, IndexError, MemoryError, RecursionError, struct.error) as e:
             rows.append((None, f"{type(e).__name__}: {e}"))
     get = lambda name: [t and t[0][name] for t, _ in rows]
     first = [pa.array(get(f.name), f.type) for f in TRACKS.value_type]
     return [*first, pa.array([t for t, _ in rows], TRACKS), pa.array([e for _, e in rows], pa.string())]
 
 
-DESCRIBED = "codec string, seconds double, n_samples long, keyframes array<struct<start:long,stop:long>>, tracks array<struct<codec:string,seconds:double,n_samples:long,keyframes:array<struct<start:long,stop:long>>>>, error string"
+_SPANS = "array<struct<start:long,stop:long>>"
+DESCRIBED = f"codec string, seconds double, n_samples long, keyframes {_SPANS}, ranges {_SPANS}, tracks array<struct<codec:string,seconds:double,n_samples:long,keyframes:{_SPANS},ranges:{_SPANS}>>, error string"
 
 
 def media_columns(files: DataFrame, content: str = "media") -> DataFrame:
-    """files(..., content binary) -> the same rows and columns with the first track's codec, seconds, n_samples, keyframes (byte ranges), the same of
-    all tracks in tracks, and error.
+    """files(..., content binary) -> the same rows and columns with the first track's codec, seconds, n_samples, keyframes (byte ranges of its
+    keyframes), ranges (of all its samples, neighbours joined), the same of all tracks in tracks, and error.
 
-    A null, empty, broken or fragmented file has null for all but error; a file is never read beyond its boxes and tables. The added columns replace
-    columns of the same names.
+    A null, empty, broken, hostile or fragmented file has null for all but error; a file is never read beyond its boxes and tables, and no table is
+    made larger than the file. Repeated rows come back as often as they stand there, an empty table gives an empty result. The added columns replace columns
+    of the same names.
     """
-    names = ["codec", "seconds", "n_samples", "keyframes", "tracks", "error"]
+    names = [*TRACK_FIELDS, "tracks", "error"]
     kept = files.drop(*names)
 
     def run(batches):
@@ -186,7 +201,10 @@ def media_columns(files: DataFrame, content: str = "media") -> DataFrame:
 
 
 def store_texts(docs: DataFrame) -> DataFrame:
-    """docs(doc_id, text, ...) -> (doc_id, n_bytes, media): the text's UTF-8 and bytes 0 up to a positive multiple of 64, stored; null counts as empty."""
+    """docs(doc_id, text, ...) -> (doc_id, n_bytes, media): the text's UTF-8 and bytes 0 up to a positive multiple of 64, stored; null counts as empty.
+
+    One row for each row, repeats too; equal texts give equal files; a long text is one file.
+    """
 
     def run(batches):
         for rows, data, offsets in blocks(batches):
@@ -198,17 +216,25 @@ def store_texts(docs: DataFrame) -> DataFrame:
 
 
 def digests(stored: DataFrame) -> DataFrame:
-    """stored(doc_id, n_bytes, media, codec, seconds, n_samples, keyframes) -> digests of the payload, read back by byte ranges, and of the file."""
+    """stored(doc_id, n_bytes, media, codec, seconds, n_samples, keyframes, ranges) -> digests of the payload, read back by ranges, and of the file.
+
+    A file without ranges (null or broken) has null for all that is made of its payload or columns, and null media_bytes if it is null itself.
+    Repeated rows come back as often as they stand there, an empty table gives an empty result.
+    """
 
     def run(batches):
         for rows in batches:
             out = []
-            columns = (rows.column(c).to_pylist() for c in ("media", "codec", "seconds", "n_samples", "keyframes"))
-            for data, codec, seconds, n, keys in zip(*columns, strict=True):
-                payload = payload_of(data)
-                ranges = hashlib.sha256(b",".join(b"%d:%d" % (k["start"], k["stop"]) for k in keys)).hexdigest()[:16]
-                feature = f"codec={codec};seconds={seconds:.6f};samples={n};keyframes={len(keys)};ranges={ranges}"
-                out.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(data), hashlib.sha256(data).hexdigest(), feature))
+            columns = (rows.column(c).to_pylist() for c in ("media", "codec", "seconds", "n_samples", "keyframes", "ranges"))
+            for data, codec, seconds, n, keys, ranges in zip(*columns, strict=True):
+                file = (None, None) if data is None else (len(data), hashlib.sha256(data).hexdigest())
+                if data is None or ranges is None:
+                    out.append((None, None, None, *file, None))
+                    continue
+                payload = b"".join(data[r["start"] : r["stop"]] for r in ranges)
+                where = hashlib.sha256(b",".join(b"%d:%d" % (k["start"], k["stop"]) for k in keys)).hexdigest()[:16]
+                feature = f"codec={codec};seconds={seconds:.6f};samples={n};keyframes={len(keys)};ranges={where}"
+                out.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), *file, feature))
             kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
             made = [pa.array([o[i] for o in out], k) for i, k in enumerate(kinds)]
             yield pa.RecordBatch.from_arrays([rows.column("doc_id"), rows.column("n_bytes"), *made], ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
