@@ -1,7 +1,7 @@
 from collections import Counter
 
 import corpus_pipeline
-from textbayes.llm import secrets, toxicity
+from textbayes.llm import decontaminate, secrets, toxicity
 from tests.llm import plain
 from tests.llm.test_ngram_join import brute
 
@@ -54,3 +54,19 @@ def test_odd_rows(spark, tmp_path):
     unique = list({r[0]: r[1] for r in data if r[0] is not None}.items())
     component = brute(unique, 5, 80)
     assert out == Counter([i for i, _ in unique if component[i][1] == i] + [None])
+
+
+def test_empty_documents(spark, tmp_path):
+    plain.frame(spark, []).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, 0, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, "a b c")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    assert out.count() == 0 and "ids" in out.columns
+
+
+def test_passages_in_long_documents_go(spark):
+    """However small its share of a document, a benchmark passage takes the document away; its neighbours stay."""
+    item = "what colour is the sky on a clear day in june at noon"
+    docs = [(1, " ".join(["word"] * 5000) + " " + item + " end"), (2, " ".join(["word"] * 5000)), (3, item[:-5]), (4, None)]
+    kept = decontaminate.clean(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(9, item)], "item_id long, text string"))
+    assert sorted(r.doc_id for r in kept.collect()) == [2, 3, 4]

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Hashes, blocks, fresh, materialize, mixed, signed, small
+from .common import BlockWords, blocks, fresh, materialize, mixed, signed, small
 
 #: Entries of the tables of rarity and shapes, by a word's hash: a shared entry only adds work.
 SLOT_BITS = 20
@@ -39,20 +39,11 @@ def words_of(text: bytes) -> list[bytes]:
 _LOW = np.frombuffer(WORDS, np.uint8)
 
 
-class Words:
-    """The words of a block of texts: where they stand, their hashes, and the first word of each text."""
+class Words(BlockWords):
+    """The words of a block of texts, by the slots of their hashes."""
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray):
-        self.low = _LOW[data]
-        there = self.low != 0x20
-        cut = np.zeros(len(data) + 1, bool)  # before a byte: no word goes over it
-        cut[0] = cut[-1] = True
-        cut[offsets] = True
-        cut[1:-1] |= there[1:] != there[:-1]
-        self.begin = np.flatnonzero(there & cut[:-1])
-        self.end = np.flatnonzero(there & cut[1:]) + 1
-        self.first = np.searchsorted(self.begin, offsets)
-        self.hash = mixed(Hashes(self.low)(self.begin, self.end))
+        super().__init__(data, offsets, _LOW)
 
     def slots(self) -> np.ndarray:
         return (self.hash >> np.uint64(64 - SLOT_BITS)).astype(np.int64)

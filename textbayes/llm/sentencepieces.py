@@ -56,6 +56,55 @@ def _fields(data: bytes):
             i += n
 
 
+def mapped(charmap: bytes) -> dict[bytes, bytes]:
+    """The replacements of a compiled character map: a size, a double array of units, and the replacements, each ended by a zero byte.
+
+    A unit has its label in the low 8 bits, bit 8 if a key ends below it, and the distance to its children from bit 10 on, times 256 with bit 9.
+    """
+    if not charmap:
+        return {}
+    (size,) = struct.unpack_from("<I", charmap)
+    units, values = np.frombuffer(charmap, "<u4", size // 4, 4), charmap[4 + size :]
+    out, stack, labels = {}, [(0, b"")], np.arange(1, 256)
+    while stack:
+        at, key = stack.pop()
+        unit = int(units[at])
+        below = at ^ ((unit >> 10) << ((unit & 512) >> 6))
+        if unit >> 8 & 1:
+            start = int(units[below]) & 0x7FFFFFFF
+            out[key] = values[start : values.index(b"\0", start)]
+        places = below ^ labels
+        there = places < len(units)
+        there[there] = (units[places[there]] & 0x800000FF) == labels[there]
+        stack += [(int(p), key + bytes([c])) for p, c in zip(places[there], labels[there], strict=True)]
+    return out
+
+
+class Normalizer:
+    """What a model does to texts first: the longest key of the character map at each place is replaced, user-defined pieces stay; runs of spaces
+    become one, and those at the ends go, if the model says so."""
+
+    def __init__(self, charmap: bytes, squeezed: bool, user: list[bytes]):
+        self.to = {**mapped(charmap), **{p: p for p in user}} if charmap else {}
+        self.user, self.squeezed = frozenset(user), squeezed
+        self.longest = max(map(len, self.to), default=0)
+        begins = sorted({k.decode("utf-8", "replace")[0] for k in self.to})
+        self.place = re.compile("[" + re.escape("".join(begins)) + "]") if begins else None
+
+    def __call__(self, text: bytes) -> bytes:
+        if self.place is not None:
+            whole, out, at = text.decode("utf-8", "replace"), [], 0
+            while found := self.place.search(whole, at):
+                start = found.start()
+                ahead = whole[start : start + self.longest].encode()[: self.longest]
+                keys = [k for n in range(len(ahead), 0, -1) if (k := ahead[:n]) in self.to]
+                key = next((k for k in keys if k in self.user), keys[0] if keys else whole[start].encode())
+                out += [whole[at:start].encode(), self.to.get(key, key)]
+                at = start + len(key.decode())
+            text = b"".join(out) + whole[at:].encode()
+        return re.sub(b" +", b" ", text).strip(b" ") if self.squeezed else text
+
+
 class Pieces:
     """The pieces of a model file: bytes, scores and kinds by id."""
 
@@ -73,8 +122,7 @@ class Pieces:
             elif number == 3:
                 f = dict(_fields(value))
                 charmap, self.prefix, squeezed = f.get(2, b""), bool(f.get(3, 1)), bool(f.get(4, 1))
-        if charmap or squeezed:
-            raise ValueError("only models without normalization are supported")
+        self.normalizer = Normalizer(charmap, squeezed, [p for p, k in zip(self.piece, self.kind, strict=True) if k == USER])
         if model_type != 1:
             normal = [i for i, k in enumerate(self.kind) if k == NORMAL]
             for rank, i in enumerate(sorted(normal, key=lambda i: (-self.score[i], i))):
@@ -155,7 +203,7 @@ class Segmenter:
 
     def chunks(self, text: bytes) -> list[bytes]:
         """Chunks with plain spaces for markers; a literal marker is the same as a space to the model."""
-        text = text.replace(MARK, b" ")
+        text = self.pieces.normalizer(text).replace(MARK, b" ")
         return self.chunk.findall(b" " + text if self.pieces.prefix and text else text)
 
     def _ids(self, spans: list[tuple[int, int, int]], raw: bytes) -> bytes:
@@ -294,8 +342,8 @@ def sentencepiece_encode(docs: DataFrame, model_path: str) -> DataFrame:
     """docs(doc_id, text, ...) -> (doc_id, ids, n_tokens, n_bytes_fallback, round_trip), one row for each row.
 
     ids are the pieces of the best segmentation without begin and end pieces (the longest last piece wins ties); round_trip tells whether
-    decoding gives the text's bytes again, which fails only for texts that hold the marker U+2581 itself. Null and empty texts
-    have no ids. Other columns are ignored. The model file is read by the driver and sent to the tasks.
+    decoding gives the text's bytes again, which fails only for texts that hold the marker U+2581 itself or that the model normalizes. Null and empty texts
+    have no ids; long texts are encoded whole; repeated rows come back as often as they stand there; an empty table gives an empty result. Other columns are ignored. The model file is read by the driver and sent to the tasks.
     """
     sent = docs.sparkSession.sparkContext.broadcast(Segmenter(Pieces(model_path)))
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_encode(sent), "doc_id long, ids array<int>, n_tokens long, n_bytes_fallback long, round_trip boolean")
