@@ -22,7 +22,7 @@ from .decontaminate import WORDS
 
 #: Most labelled rows that a fit uses (those with the least hashes of doc_id, so the choice repeats).
 SAMPLE = 20_000
-#: Most lexicon terms.
+#: Most lexicon terms, the heaviest by weight times toxic texts: the size of the model, not of what it learns from.
 TERMS = 4_000
 FOLDS = 4
 #: Lengths in bytes of the beginnings of words that are lexicon terms too.
@@ -167,7 +167,7 @@ def lexicon_of(counts: dict[bytes, np.ndarray], rows: np.ndarray, without: int |
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> ToxicityModel:
-    """The model of labels.toxic; see training_rows for the rows it uses. The driver gets counts of at most TERMS terms and SAMPLE rows of features."""
+    """The model of labels.toxic; see training_rows for the rows it uses. The driver gets counts of terms of the sample's toxic texts and SAMPLE rows of features."""
     sample = materialize(training_rows(docs, labels), "toxicity-sample")
     rows = np.zeros((FOLDS, 2))
     for r in sample.groupBy("fold", "toxic").count().collect():
@@ -175,8 +175,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> ToxicityModel:
     if not rows.sum(0).all():
         return ToxicityModel(rate=float(rows[:, 1].sum() / max(1, rows.sum())))
     toxic = sample.where("toxic > 0").mapInArrow(_term_counts(None), _COUNTS).groupBy("term").agg(F.sum("n").alias("n")).where(F.col("n") >= max(3, int(0.003 * rows[:, 1].sum())))
-    # candidates are cut to the most frequent before their counts in clean texts are known; the weights then choose among them
-    names = frozenset(bytes(r["term"]) for r in toxic.orderBy(F.desc("n"), "term").limit(10 * TERMS).toArrow().to_pylist())
+    names = frozenset(bytes(r["term"]) for r in toxic.toArrow().to_pylist())  # the words of the sample's toxic texts bound their number
     counted = sample.mapInArrow(_term_counts(names), _COUNTS).groupBy("term", "fold", "toxic").agg(F.sum("n").alias("n"))
     counts: dict[bytes, np.ndarray] = {}
     for r in counted.toArrow().to_pylist():
@@ -210,7 +209,8 @@ def _score(model):
 def toxicity(docs: DataFrame, model: ToxicityModel) -> DataFrame:
     """docs(doc_id, text, ...) -> (doc_id, held_out, score, predicted), one row for each row; only the text is an input of the score.
 
-    Null and empty texts are scored like a text without words. held_out is whether crc32(doc_id as text) mod 5 is 0 (a null doc_id
+    Null and empty texts are scored like a text without words, long ones whole; equal texts score the same, repeated rows come back as often as they
+    stand there, an empty table gives an empty result. held_out is whether crc32(doc_id as text) mod 5 is 0 (a null doc_id
     counts as empty text, so it is held out). Other columns are ignored.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
@@ -230,5 +230,6 @@ def _keep(model):
 
 
 def reject_toxic(docs: DataFrame, model: ToxicityModel) -> DataFrame:
-    """docs without those that score 0.5 or more; all columns stay."""
+    """docs without those that score 0.5 or more; all columns stay. Null and empty texts score like a text without words; repeated rows go or stay
+    together; long texts are scored whole; an empty table stays empty."""
     return docs.mapInArrow(_keep(docs.sparkSession.sparkContext.broadcast(model)), docs.schema)
