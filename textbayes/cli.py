@@ -51,7 +51,9 @@ def load_splits(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
 
 def _docs(ready: DataFrame, *splits: str) -> DataFrame:
     rank = F.array_position(F.array(*map(F.lit, splits)), F.col("split")) - 1
-    return ready.where(F.col("split").isin(*splits)).select((F.col("row_id") * len(splits) + rank).alias("doc_id"), F.col("label").cast("int").alias("label"), "model_text")
+    return ready.where(F.col("split").isin(*splits)).select(
+        (F.col("row_id") * len(splits) + rank).alias("doc_id"), F.col("label").cast("int").alias("label"), "model_text"
+    )
 
 
 def _protocol(spark: SparkSession, args, config: Config) -> None:

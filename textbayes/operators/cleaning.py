@@ -45,7 +45,9 @@ def clean(df: DataFrame) -> DataFrame:
     made = materialize(made.withColumn("model", F.when(F.col("model_text") != "", digest(F.col("model_text")))), "cleaning")
     raw = materialize(decide(made.select("split", "row_id", "label", F.col("raw").alias("key"))).withColumnRenamed("reason", "raw_reason"), "raw-reasons")
     left = made.select("split", "row_id", "label", "model").join(raw, ["split", "row_id"], "left_anti")
-    second = decide(left.where("model is not null").select("split", "row_id", "label", F.col("model").alias("key"))).withColumnRenamed("reason", "model_reason")
+    second = decide(left.where("model is not null").select("split", "row_id", "label", F.col("model").alias("key"))).withColumnRenamed(
+        "reason", "model_reason"
+    )
     out = made.join(raw, ["split", "row_id"], "left").join(materialize(second, "model-reasons"), ["split", "row_id"], "left")
     went = F.col("raw_reason").isNotNull()
     return out.select(

@@ -27,8 +27,13 @@ def dependency_table(pairs: DataFrame, stats: DataFrame, totals: DataFrame, conf
     """One row for each pair in enough documents, with its centred, shrunk log ratios of joint to separate rates by class."""
     one = F.col("label") == 1
     found = pairs.groupBy("left_idx", "right_idx").agg(F.count_if(~one).alias("neg_doc_freq"), F.count_if(one).alias("pos_doc_freq"))
-    found = found.withColumn("total_doc_freq", F.col("neg_doc_freq") + F.col("pos_doc_freq")).where(F.col("total_doc_freq") >= config.dependency_minimum_pair_df)
-    side = lambda s: bounded(stats.select(F.col("idx").alias(f"{s}_idx"), F.col("gram").alias(f"{s}_feature"), F.col("df0").alias(f"{s}_df0"), F.col("df1").alias(f"{s}_df1")), config.max_features)
+    found = found.withColumn(
+        "total_doc_freq", F.col("neg_doc_freq") + F.col("pos_doc_freq")
+    ).where(F.col("total_doc_freq") >= config.dependency_minimum_pair_df)
+    side = lambda s: bounded(
+        stats.select(F.col("idx").alias(f"{s}_idx"), F.col("gram").alias(f"{s}_feature"), F.col("df0").alias(f"{s}_df0"), F.col("df1").alias(f"{s}_df1")),
+        config.max_features
+    )
     t = found.join(side("left"), "left_idx").join(side("right"), "right_idx").crossJoin(F.broadcast(totals.select("n0", "n1")))
     s = config.dependency_smoothing
     rate = lambda df, n: (F.col(df) + s) / (F.col(n) + 2 * s)
@@ -41,7 +46,9 @@ def dependency_table(pairs: DataFrame, stats: DataFrame, totals: DataFrame, conf
     t = t.withColumn("dependency_contrast", F.round(F.abs(F.col("delta_1") - F.col("delta_0")), 12))
     mi = F.round(presence_information(F.col("neg_doc_freq"), F.col("pos_doc_freq"), F.col("n0"), F.col("n1")), 12)
     return t.select(
-        F.col("left_idx").alias("left_index"), F.col("right_idx").alias("right_index"), "left_feature", "right_feature", F.concat("left_feature", F.right("right_feature", F.lit(1))).alias("trigram"),
+        F.col("left_idx").alias("left_index"), F.col("right_idx").alias("right_index"), "left_feature", "right_feature", F.concat(
+            "left_feature", F.right("right_feature", F.lit(1))
+        ).alias("trigram"),
         "neg_doc_freq", "pos_doc_freq", "total_doc_freq", "support_factor", "delta_raw_0", "delta_raw_1", "delta_0", "delta_1", "dependency_contrast", mi.alias("pair_label_mi"),
         F.when(F.col("delta_1") > 0, "positive").otherwise("negative").alias("preferred_class"), F.col("dependency_contrast").alias("selection_score"),
     )
@@ -57,4 +64,7 @@ def strongest(table: DataFrame, n: int) -> DataFrame:
 def corrections(table: DataFrame, config: Config) -> DataFrame:
     """(left_idx, right_idx, delta_0, delta_1, relevance) of the dependency_pair_count strongest pairs."""
     top = strongest(table, config.dependency_pair_count)
-    return top.select(F.col("left_index").alias("left_idx"), F.col("right_index").alias("right_idx"), "delta_0", "delta_1", F.col("selection_score").alias("relevance"))
+    return top.select(
+        F.col("left_index").alias("left_idx"), F.col("right_index").alias("right_idx"), "delta_0", "delta_1",
+        F.col("selection_score").alias("relevance")
+    )

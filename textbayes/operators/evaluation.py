@@ -22,7 +22,9 @@ def ratio(a: Column, b: Column) -> Column:
 def confusion(predicted: DataFrame) -> DataFrame:
     """(model, tn, fp, fn, tp)."""
     y, p = F.col("label") == 1, F.col("pred") == 1
-    return predicted.groupBy("model").agg(F.count_if(~y & ~p).alias("tn"), F.count_if(~y & p).alias("fp"), F.count_if(y & ~p).alias("fn"), F.count_if(y & p).alias("tp"))
+    return predicted.groupBy("model").agg(
+        F.count_if(~y & ~p).alias("tn"), F.count_if(~y & p).alias("fp"), F.count_if(y & ~p).alias("fn"), F.count_if(y & p).alias("tp")
+    )
 
 
 def auc(predicted: DataFrame, score: str = "p1") -> DataFrame:
@@ -33,7 +35,10 @@ def auc(predicted: DataFrame, score: str = "p1") -> DataFrame:
     ties = predicted.groupBy("model", F.col(score).alias("s")).agg(F.count("*").alias("n"), F.count_if(F.col("label") == 1).alias("ones"))
     ordered = in_order(ties, [F.col("model"), F.col("s")], "ranks", F.col("n"))
     # ranks start anew with each model: the least number before any of its scores is where it starts
-    got = ordered.groupBy("model").agg(F.min("before").alias("start"), F.sum((F.col("before") + (F.col("n") + 1) / 2.0) * F.col("ones")).alias("r"), F.sum("ones").alias("n1"), (F.sum("n") - F.sum("ones")).alias("n0"))
+    got = ordered.groupBy("model").agg(
+        F.min("before").alias("start"), F.sum((F.col("before") + (F.col("n") + 1) / 2.0) * F.col("ones")).alias("r"), F.sum("ones").alias("n1"),
+        (F.sum("n") - F.sum("ones")).alias("n0")
+    )
     rank_sum = F.col("r") - F.col("start").cast("double") * F.col("n1")
     value = (rank_sum - F.col("n1") * (F.col("n1") + 1) / 2.0) / (F.col("n1").cast("double") * F.col("n0"))
     return got.select("model", F.when((F.col("n1") > 0) & (F.col("n0") > 0), value).alias("auc"))
@@ -64,14 +69,19 @@ def paired(predicted: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
     """(model_a, model_b, doc_id, label, pred_a, pred_b) of the given pairs, by pivoting each document's predictions once."""
     names = sorted({m for p in pairs for m in p})
     wide = predicted.groupBy("doc_id").agg(F.first("label").alias("label"), *(F.max(F.when(F.col("model") == m, F.col("pred"))).alias(m) for m in names))
-    each = F.array(*(F.struct(F.lit(a).alias("model_a"), F.lit(b).alias("model_b"), F.col(f"`{a}`").alias("pred_a"), F.col(f"`{b}`").alias("pred_b")) for a, b in pairs))
+    each = F.array(*(
+        F.struct(F.lit(a).alias("model_a"), F.lit(b).alias("model_b"), F.col(f"`{a}`").alias("pred_a"), F.col(f"`{b}`").alias("pred_b")) for a,
+        b in pairs
+    ))
     return wide.select("doc_id", "label", F.explode(each).alias("p")).select("p.model_a", "p.model_b", "doc_id", "label", "p.pred_a", "p.pred_b")
 
 
 def mcnemar(predicted: DataFrame, pairs: list[tuple[str, str]] = MCNEMAR_PAIRS) -> DataFrame:
     """Exact two-sided McNemar tests: min(1, 2 P[Binomial(b + c, 1/2) <= min(b, c)]), 1 without discordant documents."""
     ok_a, ok_b = F.col("pred_a") == F.col("label"), F.col("pred_b") == F.col("label")
-    t = paired(predicted, pairs).groupBy("model_a", "model_b").agg(F.count_if(ok_a & ~ok_b).alias("a_correct_b_wrong"), F.count_if(~ok_a & ok_b).alias("a_wrong_b_correct"))
+    t = paired(predicted, pairs).groupBy("model_a", "model_b").agg(
+        F.count_if(ok_a & ~ok_b).alias("a_correct_b_wrong"), F.count_if(~ok_a & ok_b).alias("a_wrong_b_correct")
+    )
     b, c = F.col("a_correct_b_wrong"), F.col("a_wrong_b_correct")
     t = t.withColumn("discordant_pairs", b + c)
     p = F.when(F.col("discordant_pairs") == 0, F.lit(1.0)).otherwise(F.least(2 * binomial_lower_tail(F.least(b, c), F.col("discordant_pairs")), F.lit(1.0)))

@@ -31,7 +31,9 @@ def term_stats(grams: DataFrame) -> DataFrame:
     """(gram, df, tf, df0, df1, tf0, tf1) over all documents: what the vocabulary and every class statistic need, in one aggregation."""
     one, tf = F.col("label") == 1, F.col("tf")
     return grams.groupBy("gram").agg(
-        F.count("*").alias("df"), F.sum("tf").alias("tf"), F.count_if(~one).alias("df0"), F.count_if(one).alias("df1"), F.sum(F.when(~one, tf).otherwise(0)).alias("tf0"), F.sum(F.when(one, tf).otherwise(0)).alias("tf1")
+        F.count("*").alias("df"), F.sum("tf").alias("tf"), F.count_if(~one).alias("df0"), F.count_if(one).alias("df1"), F.sum(F.when(
+            ~one, tf
+        ).otherwise(0)).alias("tf0"), F.sum(F.when(one, tf).otherwise(0)).alias("tf1")
     )
 
 
@@ -52,7 +54,10 @@ def counts(grams: DataFrame, vocab: DataFrame, config: Config) -> DataFrame:
 
 def class_totals(docs: DataFrame) -> DataFrame:
     """One row: n0 and n1, the documents of each class. Both must be there, and no other."""
-    return docs.agg(F.count_if(F.col("label") == 0).alias("n0"), F.count_if(F.col("label") == 1).alias("n1"), F.count_if(~F.col("label").isin(0, 1)).alias("other"))
+    return docs.agg(
+        F.count_if(F.col("label") == 0).alias("n0"), F.count_if(F.col("label") == 1).alias("n1"),
+        F.count_if(~F.col("label").isin(0, 1)).alias("other")
+    )
 
 
 def presence_information(df0: Column, df1: Column, n0: Column, n1: Column) -> Column:
@@ -82,7 +87,9 @@ def information_weights(stats: DataFrame, config: Config, mi: str = "mi") -> Dat
     top = stats.agg(F.max(mi).alias("top"))  # a single row
     norm = F.when(F.col("top") > 0, F.col(mi) / F.col("top")).otherwise(F.lit(0.0))
     span = 1 + config.maximum_boost - config.minimum_weight
-    return stats.crossJoin(F.broadcast(top)).withColumn("norm_mi", norm).withColumn("w_fwnb", config.minimum_weight + span * F.pow("norm_mi", F.lit(config.gamma))).drop("top")
+    return stats.crossJoin(F.broadcast(top)).withColumn("norm_mi", norm).withColumn(
+        "w_fwnb", config.minimum_weight + span * F.pow("norm_mi", F.lit(config.gamma))
+    ).drop("top")
 
 
 def information(vocab: DataFrame, totals: DataFrame, config: Config) -> DataFrame:

@@ -14,7 +14,9 @@ from .features import bounded
 
 def candidates(stats: DataFrame, config: Config) -> DataFrame:
     """(idx, mi) of the script bigrams with most information, by mi falling, then idx; at most candidate_feature_count rows."""
-    return stats.where(is_script_bigram(F.col("gram"), config.script_class)).orderBy(F.desc("mi"), "idx").limit(config.candidate_feature_count).select("idx", "mi")
+    return stats.where(is_script_bigram(F.col("gram"), config.script_class)).orderBy(
+        F.desc("mi"), "idx"
+    ).limit(config.candidate_feature_count).select("idx", "mi")
 
 
 def pair_frequency(counts: DataFrame, cands: DataFrame, config: Config) -> DataFrame:
@@ -23,9 +25,13 @@ def pair_frequency(counts: DataFrame, cands: DataFrame, config: Config) -> DataF
     A document's candidates meet in one array of that size at most, and pairs are made inside it; there is no join of rows with rows.
     """
     have = counts.join(F.broadcast(cands), "idx")  # candidate_feature_count bounds its size
-    best = have.groupBy("doc_id").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("mi")).alias("by"), "idx"))), 1, config.maximum_features_per_document).alias("best"))
+    best = have.groupBy("doc_id").agg(F.slice(
+        F.array_sort(F.collect_list(F.struct((-F.col("mi")).alias("by"), "idx"))), 1, config.maximum_features_per_document
+    ).alias("best"))
     ids = best.select(F.array_sort(F.transform("best", lambda b: b["idx"])).alias("ids"))
-    pairs = F.flatten(F.transform("ids", lambda a, i: F.transform(F.slice("ids", i + 2, F.size("ids")), lambda b: F.struct(a.alias("left"), b.alias("right")))))
+    pairs = F.flatten(F.transform(
+        "ids", lambda a, i: F.transform(F.slice("ids", i + 2, F.size("ids")), lambda b: F.struct(a.alias("left"), b.alias("right")))
+    ))
     return ids.select(F.explode(pairs).alias("p")).select("p.*").groupBy("left", "right").agg(F.count("*").alias("n"))
 
 
@@ -34,7 +40,10 @@ def relations(pairs: DataFrame, stats: DataFrame, config: Config) -> DataFrame:
 
     The feature with less information is penalized; then that with the smaller df; then that with the larger idx.
     """
-    side = lambda s: bounded(stats.select(F.col("idx").alias(s), *(F.col(c).alias(f"{n}_{s}") for c, n in (("gram", "gram"), ("df", "df"), ("mi", "mi"), ("direction", "d")))), config.max_features)
+    side = lambda s: bounded(
+        stats.select(F.col("idx").alias(s), *(F.col(c).alias(f"{n}_{s}") for c, n in (("gram", "gram"), ("df", "df"), ("mi", "mi"), ("direction", "d")))),
+        config.max_features
+    )
     p = pairs.where(F.col("n") >= config.redundancy_minimum_pair_df).join(side("left"), "left").join(side("right"), "right")
     p = p.where(~share_character(F.col("gram_left"), F.col("gram_right"))).where(F.col("d_left") * F.col("d_right") > 0)
     p = p.withColumn("union", F.col("df_left") + F.col("df_right") - F.col("n")).where(F.col("union") > 0)
@@ -42,13 +51,17 @@ def relations(pairs: DataFrame, stats: DataFrame, config: Config) -> DataFrame:
     a, b = F.abs("d_left"), F.abs("d_right")
     score = F.col("jaccard") * F.least(a, b) / (F.greatest(a, b) + 1e-12) * F.col("n") / (F.col("n") + config.redundancy_support_tau)
     left = (F.col("mi_left") < F.col("mi_right")) | ((F.col("mi_left") == F.col("mi_right")) & (F.col("df_left") < F.col("df_right")))
-    return p.select("left", "right", "n", "jaccard", F.round(score, 12).alias("score"), F.when(left, F.col("left")).otherwise(F.col("right")).alias("penalized"))
+    return p.select(
+        "left", "right", "n", "jaccard", F.round(score, 12).alias("score"), F.when(left, F.col("left")).otherwise(F.col("right")).alias("penalized")
+    )
 
 
 def redundancy_scores(related: DataFrame, config: Config) -> DataFrame:
     """(idx, redundancy): the mean of a feature's top_k relation scores, scaled by the 95% quantile of all such means and cut to 0..1."""
     w = W.partitionBy("penalized").orderBy(F.desc("score"), "left", "right")
-    raw = related.withColumn("r", F.row_number().over(w)).where(F.col("r") <= config.top_k).groupBy(F.col("penalized").alias("idx")).agg(F.avg("score").alias("raw"))
+    raw = related.withColumn(
+        "r", F.row_number().over(w)
+    ).where(F.col("r") <= config.top_k).groupBy(F.col("penalized").alias("idx")).agg(F.avg("score").alias("raw"))
     scale = raw.where("raw > 0").agg(F.percentile("raw", 0.95).alias("scale"))
     scaled = raw.crossJoin(F.broadcast(scale))  # a single row
     s = F.when(F.coalesce("scale", F.lit(0.0)) > 0, F.col("scale")).otherwise(F.lit(1.0))

@@ -98,7 +98,10 @@ class Model:
         """The model, if its tables are sound: weights finite and not negative, probabilities and corrections finite, indexes whole and of known features."""
         number = lambda c: F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))
         weight = lambda c: number(c) & (F.col(c) >= 0)
-        features_ = self.params.agg(F.count("*").alias("n"), F.count_distinct("idx").alias("d"), F.max("idx").alias("top"), F.count_if(~(weight("w_fwnb") & weight("w_dfwnb") & number("logp0") & number("logp1"))).alias("bad")).first()
+        features_ = self.params.agg(
+            F.count("*").alias("n"), F.count_distinct("idx").alias("d"), F.max("idx").alias("top"),
+            F.count_if(~(weight("w_fwnb") & weight("w_dfwnb") & number("logp0") & number("logp1"))).alias("bad")
+        ).first()
         if not features_.n or features_.d != features_.n or features_.top != features_.n - 1 or features_.bad:
             raise ValueError("feature parameters need an index from 0 on, finite weights that aren't negative, and finite probabilities")
         known = F.col("left_idx").between(0, features_.top) & F.col("right_idx").between(0, features_.top)

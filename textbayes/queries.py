@@ -90,7 +90,10 @@ def unigram_bigram(spark, sf_dir):
 
 def gram_predicates(spark, sf_dir):
     gram, other = F.col("gram"), F.lit("the数")
-    return _vocabulary(spark, sf_dir).select("gram", T.is_script_bigram(gram).alias("is_han"), T.is_script_bigram(gram, "a-z").alias("is_latin"), T.share_character(gram, other).alias("shares"), T.holds_placeholder(gram).alias("placeholder"))
+    return _vocabulary(spark, sf_dir).select(
+        "gram", T.is_script_bigram(gram).alias("is_han"), T.is_script_bigram(gram, "a-z").alias("is_latin"),
+        T.share_character(gram, other).alias("shares"), T.holds_placeholder(gram).alias("placeholder")
+    )
 
 
 def vocab_df_tf(spark, sf_dir):
@@ -249,7 +252,9 @@ def top_dependencies(spark, sf_dir):
 def explain_features(spark, sf_dir):
     model, docs = _model(spark, sf_dir), analyzer.prepared(_all(spark, sf_dir))
     evidence = explain.feature_evidence(model.counts(docs), model.params, CONFIG, "FWNB")
-    return _round(explain.ranked(evidence, "evidence_negative", "evidence_positive", 10, "idx").select("doc_id", "rank", "feature", "count", "weight", "evidence_negative", "evidence_positive"))
+    return _round(explain.ranked(evidence, "evidence_negative", "evidence_positive", 10, "idx").select(
+        "doc_id", "rank", "feature", "count", "weight", "evidence_negative", "evidence_positive"
+    ))
 
 
 def explain_dependencies(spark, sf_dir):
@@ -264,7 +269,10 @@ def explain_documents(spark, sf_dir):
     json = F.to_json(F.struct("*"))
     sizes = [F.coalesce(F.json_array_length(F.get_json_object(json, f"$.{c}")), F.lit(0)).alias(f"n_{c}") for c in ("features", "dependencies")]
     sums = ["evidence_0", "evidence_1", "effect_0", "effect_1", "log_prior_0", "log_prior_1"]
-    return _round(out.select("doc_id", "pred", "score0", "score1", *sums, names("features", "feature").alias("features"), names("dependencies", "trigram").alias("dependencies"), *sizes))
+    return _round(out.select(
+        "doc_id", "pred", "score0", "score1", *sums, names("features", "feature").alias("features"),
+        names("dependencies", "trigram").alias("dependencies"), *sizes
+    ))
 
 
 def model_roundtrip(spark, sf_dir):
@@ -277,7 +285,9 @@ def model_roundtrip(spark, sf_dir):
 
 def _protocol(spark, sf_dir) -> dict:
     raw = _documents(spark, sf_dir).join(_labels(spark, sf_dir), "doc_id")
-    ready = materialize(cleaning.ready(cleaning.clean(raw.select(_split(F.col("doc_id")).alias("split"), F.col("doc_id").alias("row_id"), "label", "text"))), "ready")
+    ready = materialize(
+        cleaning.ready(cleaning.clean(raw.select(_split(F.col("doc_id")).alias("split"), F.col("doc_id").alias("row_id"), "label", "text"))), "ready"
+    )
     docs = ready.select("split", F.col("row_id").alias("doc_id"), "label", "model_text")
     return analyzer.fit(docs.where("split <> 'test'"), CONFIG).evaluate(docs.where("split = 'test'"))
 
@@ -326,7 +336,10 @@ def tsv_split(spark, sf_dir):
 def tsv_gb18030(spark, sf_dir):
     """The same of normalized texts, whose marks are Chinese, in GB18030 and under other names of columns."""
     docs = _labelled(spark, sf_dir)
-    tables.write_split(docs.select(F.col("label").cast("string").alias(" Sentiment"), F.col("model_text").alias("Review ")), path := _scratch(spark, "tsv-gb"), "gb18030")
+    tables.write_split(
+        docs.select(F.col("label").cast("string").alias(" Sentiment"), F.col("model_text").alias("Review ")), path := _scratch(spark, "tsv-gb"),
+        "gb18030"
+    )
     return _read_back(spark, path)
 
 
@@ -342,7 +355,10 @@ def tsv_odd_labels(spark, sf_dir):
 def label_domain(spark, sf_dir):
     """Labels outside of 0 and 1, of texts read without the check."""
     turns = spark.read.parquet(f"{sf_dir}/conversations.parquet")
-    tables.write_split(turns.select(F.pmod(F.length("text"), F.lit(4)).cast("string").alias("labels"), F.lit("x").alias("text")), path := _scratch(spark, "tsv-domain"))
+    tables.write_split(
+        turns.select(F.pmod(F.length("text"), F.lit(4)).cast("string").alias("labels"), F.lit("x").alias("text")),
+        path := _scratch(spark, "tsv-domain")
+    )
     return tables.unknown_labels(tables.standardize(tables.read_split(spark, path), "train", check=False))
 
 
@@ -361,7 +377,9 @@ def frozen_config(spark, sf_dir):
 
 def tsv_in_order(spark, sf_dir):
     """row_id numbers the rows of several files by file and place."""
-    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.pmod("o_orderkey", F.lit(2)).cast("string").alias("label"), F.format_string("%015d", F.col("o_orderkey").cast("long")).alias("text"))
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select(
+        F.pmod("o_orderkey", F.lit(2)).cast("string").alias("label"), F.format_string("%015d", F.col("o_orderkey").cast("long")).alias("text")
+    )
     tables.write_split(orders.repartitionByRange(7, "text").sortWithinPartitions("text"), path := _scratch(spark, "tsv-order"))
     out = tables.standardize(tables.read_split(spark, path), "dev")
     return out.select("split", "row_id", "label", F.col("text").cast("long").alias("o_orderkey"))

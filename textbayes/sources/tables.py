@@ -82,7 +82,9 @@ def standardize(df: DataFrame, split: str, check: bool = True) -> DataFrame:
         raise ValueError(f"no label or text among {df.columns}")
     row_id = F.col(by_name["row_id"]) if "row_id" in by_name else F.monotonically_increasing_id()
     number = F.expr(f"try_cast(`{label}` AS DOUBLE)").cast("long")
-    out = df.select(F.lit(split).alias("split"), row_id.alias("row_id"), number.alias("label"), F.col(text).cast("string").alias("text")).dropna(subset=["label", "text"])
+    out = df.select(
+        F.lit(split).alias("split"), row_id.alias("row_id"), number.alias("label"), F.col(text).cast("string").alias("text")
+    ).dropna(subset=["label", "text"])
     if check and (bad := unknown_labels(out).first()):
         raise ValueError(f"labels must be 0 or 1; {split} has {bad.label}")
     return out
@@ -106,7 +108,9 @@ def verify_pinned(spark: SparkSession, path: str, pinned: dict[str, str]) -> Dat
     """(name, sha256, expected, ok) of the pinned file names: ok is false for a file that differs or isn't there. Files without a pin are left out."""
     expected = spark.createDataFrame(list(pinned.items()), "name string, expected string")
     found = checksums(spark, path).select(F.element_at(F.split("path", "/"), -1).alias("name"), "sha256")
-    return F.broadcast(expected).join(found, "name", "left").select("name", "sha256", "expected", F.coalesce(F.col("sha256") == F.lower("expected"), F.lit(False)).alias("ok"))
+    return F.broadcast(expected).join(found, "name", "left").select(
+        "name", "sha256", "expected", F.coalesce(F.col("sha256") == F.lower("expected"), F.lit(False)).alias("ok")
+    )
 
 
 def write_csv(df: DataFrame, path: str) -> None:
