@@ -171,6 +171,18 @@ def test_numbers_in_order(spark):
     assert all(r.before == sum(weights[k] for k in range(r.k + 1, 1000)) for r in in_order(df, [F.desc("k")], "t", F.col("w")).collect())
 
 
+def test_scope_deletes_what_was_written(spark, docs, model):
+    from textbayes.storage import materialize, scope
+
+    outer = materialize(spark.range(3).toDF("x"), "t")
+    with scope(spark):
+        inner = materialize(spark.range(4).toDF("x"), "t")
+        assert inner.count() == 4
+    assert outer.count() == 3 and model.params.count() > 0
+    with pytest.raises(Exception, match="exist|find"):
+        spark.read.parquet(inner._written_to)
+
+
 def predicted(spark, y, *models):
     rows = [(name, i, t, p, s) for name, ps, ss in models for i, (t, p, s) in enumerate(zip(y, ps, ss, strict=True))]
     return spark.createDataFrame(rows, "model string, doc_id long, label int, pred int, p1 double")

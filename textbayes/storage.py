@@ -9,6 +9,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Sequence
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -60,6 +61,17 @@ def release(spark: SparkSession) -> None:
         _delete(spark, _written.pop())
 
 
+@contextmanager
+def scope(spark: SparkSession):
+    """Deletes on leaving what was written inside."""
+    before = len(_written)
+    try:
+        yield
+    finally:
+        while len(_written) > before:
+            _delete(spark, _written.pop())
+
+
 def one_row(spark: SparkSession, values: dict[str, float | int]) -> DataFrame:
     """A row of constants, which the optimizer folds."""
     return spark.range(1).select(*(F.lit(v).alias(k) for k, v in values.items()))

@@ -8,6 +8,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from textbayes.functions.text import normalize
 from textbayes.plans.analyzer import Model
+from textbayes.storage import scope
 
 
 def score_stream(texts: DataFrame, model: Model, path: str, checkpoint: str, available_now: bool = True) -> StreamingQuery:
@@ -15,7 +16,8 @@ def score_stream(texts: DataFrame, model: Model, path: str, checkpoint: str, ava
 
     def batch(df: DataFrame, number: int) -> None:
         docs = df.select("doc_id", normalize(F.col("text")).alias("model_text"))
-        model.predict(docs).write.mode("overwrite").parquet(f"{path}/batch={number}")
+        with scope(df.sparkSession):
+            model.predict(docs).write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     writer = texts.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
