@@ -75,7 +75,7 @@ def test_other_threshold_and_common_shingles(spark, monkeypatch):
     assert found(spark, rows, 5, 80) == brute(rows, 5, 80)
 
 
-@pytest.mark.parametrize("bounds", [{"BLOCK_SHINGLES": 150}, {"BLOCK_ROWS": 3, "TILE": 2, "COLUMNS": 3, "PAIRS": 2, "QUERY_PARTS": 0}, {"BLOCK_ROWS": 2, "BUCKET": 50, "QUERY_PARTS": 1}])
+@pytest.mark.parametrize("bounds", [{"BLOCK_SHINGLES": 150}, {"BLOCK_ROWS": 3, "TILE": 2, "COLUMNS": 3, "PAIRS": 2, "QUERY_PARTS": 0}, {"BLOCK_ROWS": 2, "BUCKET": 50, "PARTITIONS": 1, "QUERY_PARTS": 1}])
 def test_blocks_dealt_into_parts(spark, monkeypatch, bounds):
     for name, value in bounds.items():
         monkeypatch.setattr(ngram_join, name, value)

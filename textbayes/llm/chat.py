@@ -57,8 +57,12 @@ def fits(v: Column, schema: dict) -> Column:
     # what follows holds for values of one type and leaves others alone
     of = lambda kinds, test: F.when(kind_of(v).isin(kinds), F.coalesce(test, F.lit(False))).otherwise(True)
     for key, kind, test in (
-        ("minimum", "double", lambda x, n: x >= n), ("maximum", "double", lambda x, n: x <= n), ("minLength", "string", lambda x, n: F.length(x) >= n), ("maxLength", "string", lambda x, n: F.length(x) <= n),
-        ("pattern", "string", lambda x, p: x.rlike(p)), ("minItems", "array<variant>", lambda x, n: F.size(x) >= n), ("maxItems", "array<variant>", lambda x, n: F.size(x) <= n), ("items", "array<variant>", lambda x, s: F.forall(x, lambda i: fits(i, s))),
+        ("minimum", "double", lambda x, n: x >= n), ("maximum", "double", lambda x, n: x <= n), (
+            "minLength", "string", lambda x, n: F.length(x) >= n
+        ), ("maxLength", "string", lambda x, n: F.length(x) <= n),
+        ("pattern", "string", lambda x, p: x.rlike(p)), ("minItems", "array<variant>", lambda x, n: F.size(x) >= n), ("maxItems", "array<variant>", lambda x, n: F.size(x) <= n), (
+            "items", "array<variant>", lambda x, s: F.forall(x, lambda i: fits(i, s))
+        ),
     ):
         if key in schema:
             tests.append(of(TYPES["number"] if kind == "double" else TYPES["string"] if kind == "string" else TYPES["array"], test(get(kind), schema[key])))
@@ -116,7 +120,9 @@ def chat_format(messages: DataFrame, tools: dict | None = None) -> DataFrame:
     stand there, an empty table gives an empty result, other columns are ignored.
     """
     tools = TOOLS if tools is None else tools
-    rows = messages.select("conv_id", F.col("turn").cast("long").alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    rows = messages.select(
+        "conv_id", F.col("turn").cast("long").alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")
+    )
     looks = F.col("text").rlike(r"^\s*\{") & F.col("text").contains('"tool_call')
     rows = rows.withColumn("v", F.when(looks, F.try_parse_json("text")))
     calls = F.when((F.col("role") == "assistant") & F.col("v").isNotNull(), calls_of(F.col("v")))
@@ -124,18 +130,27 @@ def chat_format(messages: DataFrame, tools: dict | None = None) -> DataFrame:
     rows = rows.withColumn("calls", calls).withColumn("call_id", answer)
 
     named = F.transform("calls", lambda c: F.struct(c["id"].alias("id"), c["name"].alias("name")))
-    made = rows.where("calls is not null").select("conv_id", "turn", F.posexplode(named).alias("place", "call")).where("call.id is not null and conv_id is not null")
+    made = rows.where("calls is not null").select(
+        "conv_id", "turn", F.posexplode(named).alias("place", "call")
+    ).where("call.id is not null and conv_id is not null")
     first = made.groupBy("conv_id", F.col("call.id").alias("call_id")).agg(F.min(F.struct("turn", "place", F.col("call.name").alias("name"))).alias("first"))
     is_result = F.col("call_id").isNotNull() & F.col("conv_id").isNotNull()
     results = rows.where(is_result).join(first.hint("shuffle_hash"), ["conv_id", "call_id"], "left")
     moved = F.col("first.turn") >= F.col("turn")
     content = F.coalesce(F.try_variant_get("v", "$.content", "string"), F.to_json(F.try_variant_get("v", "$.content", "variant")), F.lit(""))
     results = results.select(
-        "conv_id", "turn", "role", F.coalesce(F.when(moved, F.col("first.turn")), "turn").alias("order_turn"), F.when(moved, 1).otherwise(0).alias("order_step"),
+        "conv_id", "turn", "role", F.coalesce(
+            F.when(moved, F.col("first.turn")), "turn"
+        ).alias("order_turn"), F.when(moved, 1).otherwise(0).alias("order_step"),
         F.lit(0).cast("long").alias("n_calls"), F.lit(0).cast("long").alias("n_valid"), F.col("first").isNotNull().alias("linked"),
-        F.to_json(F.struct(content.alias("content"), F.coalesce("first.name", F.lit("")).alias("name"), "role", F.col("call_id").alias("tool_call_id"))).alias("json"),
+        F.to_json(F.struct(
+            content.alias("content"), F.coalesce("first.name", F.lit("")).alias("name"), "role", F.col("call_id").alias("tool_call_id")
+        )).alias("json"),
     )
-    listed = F.transform("calls", lambda c: F.struct(c["arguments"].alias("arguments"), F.coalesce(c["id"], F.lit("")).alias("id"), F.coalesce(c["name"], F.lit("")).alias("name"), _valid(c, tools).alias("valid")))
+    listed = F.transform(
+        "calls",
+        lambda c: F.struct(c["arguments"].alias("arguments"), F.coalesce(c["id"], F.lit("")).alias("id"), F.coalesce(c["name"], F.lit("")).alias("name"), _valid(c, tools).alias("valid"))
+    )
     others = rows.where(~is_result).withColumn("listed", F.when(F.size("calls") > 0, listed))
     said = F.coalesce(F.when(F.col("listed").isNotNull(), F.coalesce(F.try_variant_get("v", "$.content", "string"), F.lit(""))), "text")
     with_calls = F.to_json(F.struct(said.alias("content"), "role", F.col("listed").alias("tool_calls")))
@@ -143,8 +158,12 @@ def chat_format(messages: DataFrame, tools: dict | None = None) -> DataFrame:
     count = lambda c: F.coalesce(F.size(c), F.lit(0)).cast("long")
     valid = F.filter(F.transform("listed", lambda c: c["valid"]), lambda ok: ok)
     others = others.select(
-        "conv_id", "turn", "role", F.col("turn").alias("order_turn"), F.lit(0).alias("order_step"), F.greatest(count(F.col("listed")), F.lit(0)).alias("n_calls"),
-        F.greatest(count(valid), F.lit(0)).alias("n_valid"), F.lit(None).cast("boolean").alias("linked"), F.when(F.col("listed").isNotNull(), with_calls).otherwise(plain).alias("json"),
+        "conv_id", "turn", "role", F.col("turn").alias("order_turn"), F.lit(0).alias("order_step"), F.greatest(
+            count(F.col("listed")), F.lit(0)
+        ).alias("n_calls"),
+        F.greatest(count(valid), F.lit(0)).alias("n_valid"), F.lit(None).cast("boolean").alias("linked"), F.when(
+            F.col("listed").isNotNull(), with_calls
+        ).otherwise(plain).alias("json"),
     )
     return others.unionByName(results)
 

@@ -105,11 +105,15 @@ def _windows(rarity, size: int):
         for rows, data, offsets in blocks(batches):
             words = Words(data, offsets)
             found = windows_of(words, rarity.value, size)
-            text, start, n, place, slot, print_ = map(np.concatenate, zip(*found, strict=True)) if found else [np.zeros(0, np.int64)] * 5 + [np.zeros(0, np.uint64)]
+            text, start, n, place, slot, print_ = map(
+                np.concatenate, zip(*found, strict=True)
+            ) if found else [np.zeros(0, np.int64)] * 5 + [np.zeros(0, np.uint64)]
             held = [words.text(s, k) for s, k in zip(start.tolist(), n.tolist(), strict=True)]
             item = rows.column("item_id").take(pa.array(text))
             kinds = [pa.array(x.astype(np.int32)) for x in (n, place, slot)]
-            yield pa.RecordBatch.from_arrays([item, *kinds, pa.array(signed(print_)), pa.array(held, pa.binary())], ["item_id", "length", "place", "slot", "print", "words"])
+            yield pa.RecordBatch.from_arrays(
+                [item, *kinds, pa.array(signed(print_)), pa.array(held, pa.binary())], ["item_id", "length", "place", "slot", "print", "words"]
+            )
 
     return run
 
@@ -156,7 +160,9 @@ def _filter(windows: DataFrame, n: int) -> Filter:
     """At most FILTER_BITS / 64 rows reach the driver."""
     out = Filter(max(64, min(FILTER_BITS, 1 << (n * FILTER_EACH).bit_length())))
     at = F.pmod("print", F.lit(out.bits))  # a power of two: the same for signed numbers
-    got = windows.select((at / 64).cast("int").alias("w"), F.expr("shiftleft(1L, cast(pmod(print, 64) as int))").alias("b")).groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
+    got = windows.select(
+        (at / 64).cast("int").alias("w"), F.expr("shiftleft(1L, cast(pmod(print, 64) as int))").alias("b")
+    ).groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
     out.words[got["w"].to_numpy()] = got["b"].to_numpy().view(np.uint64)
     return out
 
@@ -240,7 +246,9 @@ def _ask(shapes, filter_):
                     asked.setdefault(owner, []).append({"start": s - int(words.first[owner]), "length": n, "print": p, "words": words.text(s, n)})
             count = np.diff(words.first)
             kept, names = _rest(rows)
-            yield pa.RecordBatch.from_arrays([*kept, pa.array(count), pa.array([asked.get(i, []) for i in range(len(count))], kind)], [*names, "n_words", "asked"])
+            yield pa.RecordBatch.from_arrays(
+                [*kept, pa.array(count), pa.array([asked.get(i, []) for i in range(len(count))], kind)], [*names, "n_words", "asked"]
+            )
 
     return run
 
@@ -260,7 +268,10 @@ def _found(docs: DataFrame, windows: DataFrame, n: int, shapes, schema: str) ->
     rows = materialize(asked.withColumn("row", F.monotonically_increasing_id()), "decontamination-asked")
     each = rows.select("row", F.explode("asked").alias("a")).select("row", "a.start", "a.length", "a.print", "a.words")
     hits = each.join(windows.select("length", "print", "words", "item_id"), ["length", "print", "words"])
-    spans = hits.groupBy("row").agg(F.collect_set(F.struct("start", (F.col("start") + F.col("length")).alias("stop"))).alias("spans"), F.array_sort(F.collect_set("item_id")).alias("leaked"))
+    spans = hits.groupBy("row").agg(
+        F.collect_set(F.struct("start", (F.col("start") + F.col("length")).alias("stop"))).alias("spans"),
+        F.array_sort(F.collect_set("item_id")).alias("leaked")
+    )
     none = F.expr("cast(array() as array<string>)")
     joined = rows.drop("asked").join(spans, "row", "left").withColumn("items", F.coalesce("leaked", none)).drop("row", "leaked")
     return joined.mapInArrow(_merge, f"{schema}, n_words long, hits array<struct<start:long,stop:long>>, items array<string>")
@@ -311,6 +322,9 @@ def clean(docs: DataFrame, benchmark: DataFrame, size: int = 13) -> DataFrame:
     mark, length = fresh(docs, "mark"), fresh(docs, "length")
     key = {mark: F.xxhash64("text"), length: F.octet_length("text")}
     found = matched(docs.select("doc_id", *(c.alias(k) for k, c in key.items()), "text"), benchmark, size)
-    gone = materialize(found.where(F.size("hits") > 0).select(F.col("doc_id").alias("of"), F.col(mark).alias("m"), F.col(length).alias("n")).distinct(), "contaminated")
+    gone = materialize(
+        found.where(F.size("hits") > 0).select(F.col("doc_id").alias("of"), F.col(mark).alias("m"), F.col(length).alias("n")).distinct(),
+        "contaminated"
+    )
     same = F.col("doc_id").eqNullSafe(F.col("of")) & (F.col(mark) == F.col("m")) & (F.col(length) == F.col("n"))
     return docs.withColumns(key).join(small(gone), same, "left_anti").drop(*key)

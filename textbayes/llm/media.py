@@ -61,9 +61,15 @@ def store(payload: bytes) -> bytes:
     )
     url = full(b"url ", flags=1)
     minf = box(b"minf", full(b"smhd", bytes(4)), box(b"dinf", full(b"dref", struct.pack(">I", 1), url)), stbl)
-    mdia = box(b"mdia", full(b"mdhd", struct.pack(">QQIQHH", 0, 0, RATE, n * SAMPLE, 0x55C4, 0), version=1), full(b"hdlr", struct.pack(">I4s12x", 0, b"soun"), b"\0"), minf)
+    mdia = box(
+        b"mdia", full(b"mdhd", struct.pack(">QQIQHH", 0, 0, RATE, n * SAMPLE, 0x55C4, 0), version=1),
+        full(b"hdlr", struct.pack(">I4s12x", 0, b"soun"), b"\0"), minf
+    )
     tkhd = full(b"tkhd", struct.pack(">QQIIQ", 0, 0, 1, 0, n * SAMPLE), bytes(8), struct.pack(">hhhh", 0, 0, 0x100, 0), matrix, bytes(8), version=1, flags=3)
-    mvhd = full(b"mvhd", struct.pack(">QQIQ", 0, 0, RATE, n * SAMPLE), struct.pack(">IH10x", 0x10000, 0x100), matrix, bytes(24), struct.pack(">I", 2), version=1)
+    mvhd = full(
+        b"mvhd", struct.pack(">QQIQ", 0, 0, RATE, n * SAMPLE), struct.pack(">IH10x", 0x10000, 0x100), matrix, bytes(24), struct.pack(">I", 2),
+        version=1
+    )
     return b"".join((ftyp, box(b"mdat", payload), box(b"moov", mvhd, box(b"trak", tkhd, mdia))))
 
 
@@ -237,6 +243,12 @@ def digests(stored: DataFrame) -> DataFrame:
                 out.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), *file, feature))
             kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
             made = [pa.array([o[i] for o in out], k) for i, k in enumerate(kinds)]
-            yield pa.RecordBatch.from_arrays([rows.column("doc_id"), rows.column("n_bytes"), *made], ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
-
-    return stored.mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+            yield pa.RecordBatch.from_arrays(
+                [rows.column("doc_id"), rows.column("n_bytes"), *made],
+                ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
+            )
+
+    return stored.mapInArrow(
+        run,
+        "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+    )

@@ -40,13 +40,13 @@ from .common import BlockWords, blocks, discard, fresh, materialize, mixed, runs
 from .components import components
 
 #: Rows and shingles of a block that one task takes at once; larger blocks are dealt into parts.
-BLOCK_ROWS, BLOCK_SHINGLES = 512, 400_000
+BLOCK_ROWS, BLOCK_SHINGLES = 256, 400_000
 #: Parts of queries up to which a block is compared as a whole; beyond that the owners of each of its shingles are, where that is less.
 QUERY_PARTS = 4
 #: Rows of a tile, columns of the incidence matrix that are dense at once, and pairs of owners that are added up at once.
 TILE, COLUMNS, PAIRS = 256, 4096, 1 << 18
-#: Counted shingles in a bucket (16 bytes each).
-BUCKET = 2_000_000
+#: Counted shingles in a bucket (16 bytes each), which a task holds; a task takes several buckets, one after the other, where there are more than PARTITIONS.
+BUCKET, PARTITIONS = 500_000, 20_000
 
 # of bytes: only A-Z are lowered, and exactly \x20 and \x09-\x0D separate words
 _LOWER = np.array([0x20 if b == 0x20 or 9 <= b <= 13 else b + 32 if 0x41 <= b <= 0x5A else b for b in range(256)], np.uint8)
@@ -83,6 +83,27 @@ def unpacked(batches, column: str, kind: np.dtype) -> np.ndarray:
     return np.frombuffer(b"".join(x for b in batches for x in b.column(column).to_pylist() if x is not None), kind)
 
 
+def by_bucket(each):
+    """each, applied to the rows of one bucket after the other, of batches sorted by bucket."""
+
+    def run(batches):
+        now, held = None, []
+        for b in batches:
+            bucket = b.column("bucket").to_numpy(zero_copy_only=False)
+            cuts = [0, *(np.flatnonzero(np.diff(bucket)) + 1).tolist(), len(bucket)]
+            for lo, hi in zip(cuts, cuts[1:], strict=False):
+                if hi > lo:
+                    if held and bucket[lo] != now:
+                        yield from each(held)
+                        held = []
+                    now = bucket[lo]
+                    held.append(b.slice(lo, hi - lo))
+        if held:
+            yield from each(held)
+
+    return run
+
+
 def bucket_of(x: np.ndarray, buckets: int) -> np.ndarray:
     """The bucket of 64-bit numbers, the same as pmod of the signed numbers in SQL."""
     return np.ascontiguousarray(x).view(np.int64) % buckets
@@ -123,7 +144,10 @@ def _sketches(size: int):
     def row(ids, n, third, hi, lo, common=None):
         k = len(n)
         columns = [pa.array(n, pa.int64()), pa.array(third, pa.int64()), pa.array(signed(np.array(hi, np.uint64))), pa.array(signed(np.array(lo, np.uint64)))]
-        return pa.RecordBatch.from_arrays([ids, *columns, pa.nulls(k, pa.list_(pa.int64())) if common is None else pa.array([common], pa.list_(pa.int64()))], ["doc_id", "n_shingles", "n_third", "hi", "lo", "common"])
+        return pa.RecordBatch.from_arrays(
+            [ids, *columns, pa.nulls(k, pa.list_(pa.int64())) if common is None else pa.array([common], pa.list_(pa.int64()))],
+            ["doc_id", "n_shingles", "n_third", "hi", "lo", "common"]
+        )
 
     def run(batches):
         seen, held, n_held = set(), [], 0
@@ -197,7 +221,10 @@ def _third(size: int, buckets: int):
             where, what = packed(bucket_of(e["token"], buckets), e)
             k = len(where)
             at = int(bucket_of(lo[:1], buckets)[0]) if len(lo) else 0
-            yield pa.RecordBatch.from_arrays([pa.array([*where, at], pa.int32()), pa.array([*what, None], pa.binary()), pa.array([None] * k + [signed(lo).tolist()], pa.list_(pa.int64())), pa.array([None] * k + [n.tolist()], pa.list_(pa.int64()))], ["bucket", "entries", "lo", "n"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([*where, at], pa.int32()), pa.array([*what, None], pa.binary()), pa.array([None] * k + [signed(lo).tolist()], pa.list_(pa.int64())), pa.array([None] * k + [n.tolist()], pa.list_(pa.int64()))],
+                ["bucket", "entries", "lo", "n"]
+            )
 
     return run
 
@@ -241,7 +268,10 @@ def _postings(size: int, buckets: int, common):
             p["lo"], p["token"], p["df"] = e["lo"][known], e["token"][known], 0xFFFFFFFF
             e = e[~known]
             (a, x), (b, y) = packed(bucket_of(e["token"], buckets), e), packed(bucket_of(p["lo"], buckets), p)
-            yield pa.RecordBatch.from_arrays([pa.array(a + b, pa.int32()), pa.array(x + [None] * len(b), pa.binary()), pa.array([None] * len(a) + y, pa.binary())], ["bucket", "entries", "postings"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(a + b, pa.int32()), pa.array(x + [None] * len(b), pa.binary()), pa.array([None] * len(a) + y, pa.binary())],
+                ["bucket", "entries", "postings"]
+            )
 
     return run
 
@@ -312,7 +342,10 @@ def _first_stars(buckets: int):
             k, at = len(where), int(bucket_of(u[:1], buckets)[0]) if len(u) else 0
             long = pa.list_(pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [pa.array([*where, at], pa.int32()), pa.array([*what, None], pa.binary()), pa.array([None] * k + [signed(u).tolist()], long), pa.array([None] * k + [signed(v).tolist()], long)],
+                [
+                    pa.array([*where, at], pa.int32()), pa.array([*what, None], pa.binary()), pa.array([None] * k + [signed(u).tolist()], long),
+                    pa.array([None] * k + [signed(v).tolist()], long)
+                ],
                 ["bucket", "entries", "u", "v"],
             )
 
@@ -337,21 +370,32 @@ def candidates(docs: DataFrame, sketch: DataFrame, whole: DataFrame, size: int,
     """(u, v), links between fingerprints such that any two sets that can reach the threshold are connected, and the packed entries of first tokens."""
     spark = docs.sparkSession
     shingles = sketch.agg(F.sum("n_shingles")).first()[0] or 0
-    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-shingles // BUCKET))
-    third = docs.select("text").mapInArrow(_third(size, n), "bucket int, entries binary, lo array<long>, n array<long>").repartition(n, "bucket")
-    credits = third.mapInArrow(_credits(n), "bucket int, credits binary").repartition(n, "bucket").mapInArrow(_credited, "lo long, shared long")
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = max(tasks, -(-shingles // BUCKET))
+
+    def dealt(df: DataFrame) -> DataFrame:
+        return df.repartition(min(n, max(tasks, PARTITIONS)), "bucket").sortWithinPartitions("bucket")
+
+    third = dealt(docs.select("text").mapInArrow(_third(size, n), "bucket int, entries binary, lo array<long>, n array<long>"))
+    credits = dealt(third.mapInArrow(by_bucket(_credits(n)), "bucket int, credits binary")).mapInArrow(by_bucket(_credited), "lo long, shared long")
     least = F.col("n_third") - F.floor(F.col("n_shingles") * (100 - t) / 100)
     left = materialize(whole.join(credits, "lo", "left").where(F.coalesce("shared", F.lit(0)) >= least).select("lo", "node", "n_shingles"), "ngram-left")
-    common = sketch.where("common is not null").select(F.explode("common").alias("token")).groupBy("token").count().orderBy(F.desc("count"), "token").limit(KNOWN)
+    common = sketch.where("common is not null").select(F.explode("common").alias("token")).groupBy("token").count().orderBy(
+        F.desc("count"), "token"
+    ).limit(KNOWN)
     known = np.sort(np.array([r["token"] for r in common.toArrow().to_pylist()], np.int64).view(np.uint64))
     ids = small(left.select(F.col("node").alias("doc_id")).distinct())
-    posted = docs.join(ids, "doc_id", "left_semi").select("text").mapInArrow(_postings(size, n, spark.sparkContext.broadcast(known)), "bucket int, entries binary, postings binary")
-    counted = posted.repartition(n, "bucket").mapInArrow(_counted(n), "bucket int, postings binary")
+    posted = docs.join(ids, "doc_id", "left_semi").select("text").mapInArrow(
+        _postings(size, n, spark.sparkContext.broadcast(known)), "bucket int, entries binary, postings binary"
+    )
+    counted = dealt(posted).mapInArrow(by_bucket(_counted(n)), "bucket int, postings binary")
     bucket = F.pmod("lo", F.lit(n)).cast("int")
     sizes = left.select(bucket.alias("bucket"), F.lit(None).cast("binary").alias("postings"), "lo", F.col("n_shingles").alias("n"))
     both = counted.select("bucket", "postings", F.lit(None).cast("long").alias("lo"), F.lit(None).cast("long").alias("n")).union(sizes)
-    first = materialize(both.repartition(n, "bucket").mapInArrow(_prefixes(t, n), "bucket int, entries binary"), "ngram-first")
-    stars = first.mapInArrow(_first_stars(n), "bucket int, entries binary, u array<long>, v array<long>").repartition(n, "bucket").mapInArrow(_stars, "u long, v long")
+    first = materialize(dealt(both).mapInArrow(by_bucket(_prefixes(t, n)), "bucket int, entries binary"), "ngram-first")
+    stars = dealt(first.mapInArrow(_first_stars(n), "bucket int, entries binary, u array<long>, v array<long>")).mapInArrow(
+        by_bucket(_stars), "u long, v long"
+    )
     stars = materialize(stars, "ngram-stars")
     discard(left)
     return stars, first
@@ -362,7 +406,9 @@ def _sets(size: int):
         for rows, data, offsets in blocks(batches):
             sets = shingle_sets(data, offsets, size)
             hi = np.array([mixed(h).sum(dtype=np.uint64) for h in sets], np.uint64)
-            yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(signed(hi)), pa.array([h.tobytes() for h in sets], pa.binary())], ["doc_id", "hi", "shingles"])
+            yield pa.RecordBatch.from_arrays(
+                [rows.column("doc_id"), pa.array(signed(hi)), pa.array([h.tobytes() for h in sets], pa.binary())], ["doc_id", "hi", "shingles"]
+            )
 
     return run
 
@@ -502,7 +548,9 @@ def ngram_jaccard_join(docs: DataFrame, size: int = 3, percent: int = 90) -> Dat
     spark, docs = docs.sparkSession, docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sketch = materialize(docs.mapInArrow(_sketches(size), "doc_id long, n_shingles long, n_third long, hi long, lo long, common array<long>"), "ngram-sketch")
     rows_ = sketch.where("common is null").select("doc_id", "n_shingles", "n_third", "hi", "lo")
-    whole = rows_.where("n_shingles > 0 and doc_id is not null").groupBy("hi", "lo", "n_shingles", "n_third").agg(F.min("doc_id").alias("node"), F.count("*").alias("n_same"))
+    whole = rows_.where("n_shingles > 0 and doc_id is not null").groupBy("hi", "lo", "n_shingles", "n_third").agg(
+        F.min("doc_id").alias("node"), F.count("*").alias("n_same")
+    )
     stars, entries = candidates(docs.where("doc_id is not null"), sketch, whole, size, percent)
     block_of = components(stars).select(F.col("id").alias("lo"), F.col("component").alias("block"))
     members = materialize(whole.join(block_of, "lo").select("node", "hi", "lo", "n_shingles", "block"), "ngram-members")
@@ -524,8 +572,12 @@ def ngram_jaccard_join(docs: DataFrame, size: int = 3, percent: int = 90) -> Dat
     part = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
     # blocks of several parts are few: one for BLOCK_ROWS rows at most, or for BLOCK_SHINGLES shingles
     placed = members.join(small(sizes.where("parts > 1")), "block", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
-    first = rows(placed).withColumn("part", F.explode(F.when(F.col("node") == F.col("centre"), F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array(part))))
-    links = materialize(dealt(first.select("block", "part", "node", "shingles"), "block", "part").mapInArrow(_square(percent), "u long, v long"), "ngram-links")
+    first = rows(placed).withColumn(
+        "part", F.explode(F.when(F.col("node") == F.col("centre"), F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array(part)))
+    )
+    links = materialize(
+        dealt(first.select("block", "part", "node", "shingles"), "block", "part").mapInArrow(_square(percent), "u long, v long"), "ngram-links"
+    )
     found = components(links).withColumnRenamed("id", "node")
 
     divided = placed.where("parts > 1").select("block", "lo", "node", "hi", "n_shingles")
@@ -538,18 +590,25 @@ def ngram_jaccard_join(docs: DataFrame, size: int = 3, percent: int = 90) -> Dat
             sums = (F.sum(F.xxhash64("node", F.lit(k)).cast("decimal(38,0)")).alias(f"sum{k}") for k in (0, 1))
             counts = owners.groupBy("block", "class", *more).agg(F.count("*").alias("n"), F.sum("n_shingles").alias("s"), *sums)
             totals = (F.sum(c).alias(c) for c in ("n", "s", "sum0", "sum1"))
-            each = counts.groupBy("block", *more).agg(F.count("*").alias("of"), F.max_by(F.struct("class", "n", "s"), F.struct("n", "class")).alias("most"), *totals).where("of > 1")
+            each = counts.groupBy("block", *more).agg(
+                F.count("*").alias("of"), F.max_by(F.struct("class", "n", "s"), F.struct("n", "class")).alias("most"), *totals
+            ).where("of > 1")
             one = each.groupBy("sum0", "sum1", "n", *more).agg(F.min(F.struct("block", "most", "s")).alias("one")).select("one.*", "n", *more)
             others = F.col("s") - F.col("most.s")
             one = one.withColumns({"parts": in_parts(F.col("n"), F.col("s")), "qparts": in_parts(F.col("n") - F.col("most.n"), others)})
-            return one.select("block", F.col("most.class").alias("most"), "parts", "qparts", (F.col("s") * F.col("qparts") + others * F.col("parts")).alias("cost"), *more)
+            return one.select(
+                "block", F.col("most.class").alias("most"), "parts", "qparts", (F.col("s") * F.col("qparts") + others * F.col("parts")).alias("cost"),
+                *more
+            )
 
         as_wholes = materialize(open_(now), "ngram-wholes")
         wide = as_wholes.where(F.col("qparts") > QUERY_PARTS).select("block", F.col("cost").alias("whole_cost"))
         chained = now.join(small(wide), "block").withColumnRenamed("block", "whole")
         by_shingle = entries.mapInArrow(_unpacked_entries, "block long, lo long").join(chained, "lo")
         as_shingles = materialize(open_(by_shingle, "whole", "whole_cost"), "ngram-shingles")
-        apart_ = as_shingles.groupBy("whole", "whole_cost").agg(F.sum("cost").alias("cost")).where("cost < whole_cost").select("whole")  # where that sends less
+        apart_ = as_shingles.groupBy(
+            "whole", "whole_cost"
+        ).agg(F.sum("cost").alias("cost")).where("cost < whole_cost").select("whole")  # where that sends less
         columns = ["node", "hi", "block", "parts", "qparts", "class", (F.col("class") != F.col("most")).alias("query")]
         wholes = now.join(small(as_wholes.join(apart_.withColumnRenamed("whole", "block"), "block", "left_anti")), "block").select(columns)
         shingles = by_shingle.select("block", "node", "hi", "class").join(small(as_shingles.join(apart_, "whole", "left_semi")), "block").select(columns)
@@ -562,7 +621,10 @@ def ngram_jaccard_join(docs: DataFrame, size: int = 3, percent: int = 90) -> Dat
             data = held.withColumn("part", part).withColumn("qpart", F.explode(F.sequence(F.lit(0), F.col("qparts") - 1))).withColumn("query", F.lit(False))
             asked = held.where("query").withColumn("qpart", qpart).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
             columns = ["block", "qpart", "part", "query", "node", "class", "shingles"]
-            more = materialize(dealt(data.select(columns).union(asked.select(columns)), "block", "qpart", "part").mapInArrow(_against(percent), "u long, v long"), "ngram-more")
+            more = materialize(
+                dealt(data.select(columns).union(asked.select(columns)), "block", "qpart", "part").mapInArrow(_against(percent), "u long, v long"),
+                "ngram-more"
+            )
             again = components(links.union(more)).withColumnRenamed("id", "node")
             discard(more)
             found = again
@@ -572,7 +634,9 @@ def ngram_jaccard_join(docs: DataFrame, size: int = 3, percent: int = 90) -> Dat
 
     named = whole.join(found, "node", "left").select("hi", "lo", "n_shingles", F.coalesce("component", "node").alias("found"), "n_same")
     return rows_.select("doc_id", "n_shingles", "hi", "lo").join(named, ["hi", "lo", "n_shingles"], "left").select(
-        "doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("found", "doc_id")).alias("component_id"), F.when(F.col("doc_id").isNotNull(), F.coalesce("n_same", F.lit(1))).otherwise(1).cast("long").alias("n_same")
+        "doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("found", "doc_id")).alias("component_id"), F.when(
+            F.col("doc_id").isNotNull(), F.coalesce("n_same", F.lit(1))
+        ).otherwise(1).cast("long").alias("n_same")
     )
 
 

@@ -20,7 +20,10 @@ def op1_secret_scans(spark, sf_dir):
     found = secrets.secret_scan(_table(spark, sf_dir, "documents"))
     n = lambda kind: F.size(F.filter("strong", lambda p: p["rank"] == secrets.KINDS.index(kind))).cast("long").alias(f"n_{kind}")
     whole = F.array_sort(F.concat("strong", "extra"))
-    return found.select("doc_id", n("assign"), n("access"), n("hex"), F.sha2(secrets.rendered(F.col("strong")), 256).alias("base_sha256"), secrets.rendered(whole).alias("spans"))
+    return found.select(
+        "doc_id", n("assign"), n("access"), n("hex"), F.sha2(secrets.rendered(F.col("strong")), 256).alias("base_sha256"),
+        secrets.rendered(whole).alias("spans")
+    )
 
 
 def op2_sentencepiece(spark, sf_dir):
@@ -43,7 +46,10 @@ def op5_url_filters(spark, sf_dir):
 def op6_suffix_dedup(spark, sf_dir):
     found = suffix_dedup.suffix_dedup(_table(spark, sf_dir, "documents"))
     kept = F.octet_length("kept").cast("long")
-    return found.select("doc_id", "n_bytes", (F.col("n_bytes") - kept).alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+    return found.select(
+        "doc_id", "n_bytes", (F.col("n_bytes") - kept).alias("n_removed"), F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256")
+    )
 
 
 def op7_media_columns(spark, sf_dir):
@@ -53,12 +59,18 @@ def op7_media_columns(spark, sf_dir):
 def op8_token_counts(spark, sf_dir):
     counted = token_counts.token_counts(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
     n = F.size("token_ends").cast("long")
-    return counted.select("doc_id", "n_bytes", n.alias("n_tokens"), (n > LIMIT).alias("over_limit"), token_counts.cut_bytes(F.col("n_bytes"), F.col("token_ends"), LIMIT).alias("cut_bytes"))
+    return counted.select(
+        "doc_id", "n_bytes", n.alias("n_tokens"), (n > LIMIT).alias("over_limit"),
+        token_counts.cut_bytes(F.col("n_bytes"), F.col("token_ends"), LIMIT).alias("cut_bytes")
+    )
 
 
 def op9_decontamination(spark, sf_dir):
     found = decontaminate.decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
-    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
+    return found.select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        "contaminated"
+    )
 
 
 def op10_chat_format(spark, sf_dir):

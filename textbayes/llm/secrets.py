@@ -23,7 +23,10 @@ STRONG = {
     "hex": (r"([0-9a-f]+)", 1, 32, r"[0-9a-f]{32}"),
 }
 WEAK = {
-    "identifier": (r"""(\b(?i:access_?key_?id|client_?id|user_?name|user_?id|login|account)["']?\x20*[:=]\x20*["']?([A-Za-z0-9@._-]+))""", 2, 4, r"(?i:key_?id|client_?id|user_?name|user_?id|login|account)"),
+    "identifier": (
+        r"""(\b(?i:access_?key_?id|client_?id|user_?name|user_?id|login|account)["']?\x20*[:=]\x20*["']?([A-Za-z0-9@._-]+))""", 2, 4,
+        r"(?i:key_?id|client_?id|user_?name|user_?id|login|account)"
+    ),
     "random": (r"(?<![A-Za-z0-9+/_-])((?=[A-Za-z+/_-]*[0-9])(?=[0-9+/_-]*[A-Za-z])[A-Za-z0-9+/_-]{20,})", 1, 20, r"[A-Za-z0-9+/_-]{20}"),
     "endpoint": (r"""(\b(?:https?|ftp|sftp|ssh|jdbc|postgres|postgresql|mysql|mongodb|redis|amqp|s3)://[^\s"'<>|]+)""", 1, 8, "://"),
 }
@@ -49,7 +52,10 @@ def running(numbers: Column, width: int = 256) -> Column:
 
     def whole(a):
         pieces = F.transform(F.sequence(F.lit(0), ((F.size(a) - 1) / width).cast("int")), lambda k: F.slice(a, k * width + 1, F.lit(width)))
-        return let(pieces, lambda p: let(totals(F.transform(p, lambda x: F.aggregate(x, F.lit(0).cast("long"), lambda s, v: s + v)), F.lit(0).cast("long")), lambda ends: F.flatten(F.transform(p, lambda x, i: totals(x, F.when(i > 0, F.get(ends, i - 1)).otherwise(F.lit(0).cast("long")))))))
+        return let(
+            pieces,
+            lambda p: let(totals(F.transform(p, lambda x: F.aggregate(x, F.lit(0).cast("long"), lambda s, v: s + v)), F.lit(0).cast("long")), lambda ends: F.flatten(F.transform(p, lambda x, i: totals(x, F.when(i > 0, F.get(ends, i - 1)).otherwise(F.lit(0).cast("long"))))))
+        )
 
     return F.when(F.size(numbers) > 0, let(numbers, whole)).otherwise(F.expr("cast(array() as array<long>)"))
 
@@ -61,8 +67,14 @@ def spans(text: Column, kind: str) -> Column:
 
     def parts(lengths, matches, values):
         def located(stops):
-            all_ = F.transform(F.sequence(F.lit(0), F.size(stops) - 1), lambda i: F.struct((F.get(stops, i) - F.length(F.get(matches, i))).alias("start"), F.lit(KINDS.index(kind)).alias("rank"), F.get(stops, i).alias("stop"), F.length(F.get(values, i)).alias("size")))
-            return F.transform(F.filter(all_, lambda p: p["size"] >= least), lambda p: F.struct(p["start"].alias("start"), p["rank"].alias("rank"), p["stop"].alias("stop")))
+            all_ = F.transform(
+                F.sequence(F.lit(0), F.size(stops) - 1),
+                lambda i: F.struct((F.get(stops, i) - F.length(F.get(matches, i))).alias("start"), F.lit(KINDS.index(kind)).alias("rank"), F.get(stops, i).alias("stop"), F.length(F.get(values, i)).alias("size"))
+            )
+            return F.transform(
+                F.filter(all_, lambda p: p["size"] >= least),
+                lambda p: F.struct(p["start"].alias("start"), p["rank"].alias("rank"), p["stop"].alias("stop"))
+            )
 
         return F.when(F.size(lengths) > 0, let(running(lengths), located)).otherwise(F.expr(f"cast(array() as array<{PART}>)"))
 
@@ -96,7 +108,10 @@ def _linked(found: DataFrame) -> DataFrame:
     near = F.array_distinct(F.flatten(F.transform(touched, lambda s: F.array(s - 1, s, s + 1))))
     asked = rows.select("row", F.explode("weak").alias("p")).select("row", "p.*").withColumn("role", F.explode(asks)).withColumn("scope", F.explode(near))
     apart = ((F.col("q_start") >= F.col("stop")) & (F.col("q_start") <= F.col("stop") + SCOPE)) | ((F.col("q_stop") <= F.col("start")) & (F.col("q_stop") >= F.col("start") - SCOPE))
-    met = asked.alias("a").join(filed.alias("f"), (F.col("a.row") == F.col("f.row")) & (F.col("a.scope") == F.col("f.scope")) & (F.col("a.role") == F.col("f.role")) & apart, "left_semi")
+    met = asked.alias("a").join(
+        filed.alias("f"), (F.col("a.row") == F.col("f.row")) & (F.col("a.scope") == F.col("f.scope")) & (F.col("a.role") == F.col("f.role")) & apart,
+        "left_semi"
+    )
     return met.select("row", F.struct("start", "rank", "stop").alias("p")).groupBy("row").agg(F.collect_set("p").alias("extra"))
 
 
@@ -115,7 +130,9 @@ def secret_scan(docs: DataFrame) -> DataFrame:
 
 def rendered(parts: Column) -> Column:
     names = F.array(*map(F.lit, KINDS))
-    return F.array_join(F.transform(parts, lambda p: F.concat_ws(":", F.element_at(names, p["rank"] + 1), p["start"].cast("string"), p["stop"].cast("string"))), ",")
+    return F.array_join(
+        F.transform(parts, lambda p: F.concat_ws(":", F.element_at(names, p["rank"] + 1), p["start"].cast("string"), p["stop"].cast("string"))), ","
+    )
 
 
 def redact(docs: DataFrame, mark: str = "[REDACTED]") -> DataFrame:
@@ -127,7 +144,9 @@ def redact(docs: DataFrame, mark: str = "[REDACTED]") -> DataFrame:
     found = materialize(_candidates(docs.select("doc_id", "text")).where(F.size("strong") + F.size("weak") > 0), "secrets")
     none = F.expr(f"cast(array() as array<{PART}>)")
     key, row, spans_, new = (fresh(docs, n) for n in ("key", "of_row", "cut_spans", "new_text"))
-    marks = found.dropDuplicates(["row"]).join(_linked(found), "row", "left").select(F.col("row").alias(row), F.array_sort(F.concat("strong", F.coalesce("extra", none))).alias(spans_)).where(F.size(spans_) > 0)
+    marks = found.dropDuplicates(["row"]).join(_linked(found), "row", "left").select(
+        F.col("row").alias(row), F.array_sort(F.concat("strong", F.coalesce("extra", none))).alias(spans_)
+    ).where(F.size(spans_) > 0)
     marks = materialize(marks, "secret-spans")
     discard(found)
     long = lambda x: F.lit(x).cast("long")
@@ -138,7 +157,10 @@ def redact(docs: DataFrame, mark: str = "[REDACTED]") -> DataFrame:
         inside = p["stop"] <= acc["at"]
         return F.struct(F.when(inside, acc["out"]).otherwise(piece).alias("out"), F.greatest(p["stop"], acc["at"]).alias("at"))
 
-    done = F.aggregate(spans_, F.struct(F.lit("").alias("out"), long(0).alias("at")), cut, lambda acc: F.concat(acc["out"], F.substring(F.col("text"), (acc["at"] + 1).cast("int"), 2**31 - 1)))
+    done = F.aggregate(
+        spans_, F.struct(F.lit("").alias("out"), long(0).alias("at")), cut,
+        lambda acc: F.concat(acc["out"], F.substring(F.col("text"), (acc["at"] + 1).cast("int"), 2**31 - 1))
+    )
     marked = docs.withColumn(key, _row()).join(small(marks), F.col(key) == F.col(row), "left")
     marked = marked.withColumn(new, F.when(F.col(spans_).isNotNull(), done).otherwise(F.col("text")))
 

@@ -198,7 +198,10 @@ class Segmenter:
         self.chunk = re.compile(rb"\n| *[^ \n]+| +" if self.breaks else rb" *[^ ]+| +")
         self.kept: dict[bytes, bytes] = {}
         self.before: dict[bytes, bytes] = {}
-        self.text = [b"" if k in (CONTROL, UNKNOWN) else bytes([int(p[3:-1], 16)]) if k == BYTE else p.replace(MARK, b" ") for p, k in zip(pieces.piece, pieces.kind, strict=True)]
+        self.text = [
+            b"" if k in (CONTROL, UNKNOWN) else bytes([int(p[3:-1], 16)]) if k == BYTE else p.replace(MARK, b" ") for p,
+            k in zip(pieces.piece, pieces.kind, strict=True)
+        ]
         self.text[pieces.unknown] = " ⁇ ".encode()
 
     def chunks(self, text: bytes) -> list[bytes]:
@@ -331,7 +334,10 @@ def _encode(sent):
             fallback = np.concatenate(([0], np.cumsum(is_byte[flat])))
             same = [segmenter.decode(i.tolist()) == t for i, t in zip(ids, whole, strict=True)]
             yield pa.RecordBatch.from_arrays(
-                [rows.column("doc_id"), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)), pa.array(np.diff(ends).astype(np.int64)), pa.array(fallback[ends[1:]] - fallback[ends[:-1]], pa.int64()), pa.array(same, pa.bool_())],
+                [
+                    rows.column("doc_id"), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)), pa.array(np.diff(ends).astype(np.int64)),
+                    pa.array(fallback[ends[1:]] - fallback[ends[:-1]], pa.int64()), pa.array(same, pa.bool_())
+                ],
                 ["doc_id", "ids", "n_tokens", "n_bytes_fallback", "round_trip"],
             )
 
@@ -346,7 +352,9 @@ def sentencepiece_encode(docs: DataFrame, model_path: str) -> DataFrame:
     have no ids; long texts are encoded whole; repeated rows come back as often as they stand there; an empty table gives an empty result. Other columns are ignored. The model file is read by the driver and sent to the tasks.
     """
     sent = docs.sparkSession.sparkContext.broadcast(Segmenter(Pieces(model_path)))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_encode(sent), "doc_id long, ids array<int>, n_tokens long, n_bytes_fallback long, round_trip boolean")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
+        _encode(sent), "doc_id long, ids array<int>, n_tokens long, n_bytes_fallback long, round_trip boolean"
+    )
 
 
 def sentencepiece_decode(encoded: DataFrame, model_path: str) -> DataFrame:

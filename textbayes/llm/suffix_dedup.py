@@ -118,7 +118,9 @@ def _repeat_scan(batches):
 
     def out(gram, context, n, several):
         kept = several | (n > 1)
-        return pa.RecordBatch.from_arrays([pa.array(gram[kept]), pa.array(context[kept]), pa.array(n[kept]), pa.array(several[kept])], ["gram", "context", "n", "several"])
+        return pa.RecordBatch.from_arrays(
+            [pa.array(gram[kept]), pa.array(context[kept]), pa.array(n[kept]), pa.array(several[kept])], ["gram", "context", "n", "several"]
+        )
 
     for b in batches:
         if not b.num_rows:
@@ -166,7 +168,9 @@ class SuffixLevels:
 
     def matches(self, batch: DataFrame) -> DataFrame:
         """The same of the entries of a new batch and all levels: what add(batch) would make repeat, without adding it."""
-        return self._merged(_union([self.array(batch), *(df for _, df in self.levels)])).mapInArrow(_repeat_scan, "gram long, context long, n long, several boolean")
+        return self._merged(_union([self.array(batch), *(df for _, df in self.levels)])).mapInArrow(
+            _repeat_scan, "gram long, context long, n long, several boolean"
+        )
 
     def drop(self) -> None:
         for _, df in self.levels:
@@ -291,7 +295,10 @@ def _sides(length: int):
                     out.append((g, c, text[a - room : a], 0))
                 if k - 1 > a - room - 1 and a + GRAM + room <= len(text):
                     out.append((g, c, text[a + GRAM : a + GRAM + room], 1))
-            columns = [pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.int64()), pa.array([o[2] for o in out], pa.binary()), pa.array([o[3] for o in out], pa.int32())]
+            columns = [
+                pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.int64()), pa.array([o[2] for o in out], pa.binary()),
+                pa.array([o[3] for o in out], pa.int32())
+            ]
             yield pa.RecordBatch.from_arrays(columns, ["gram", "context", "beside", "side"])
 
     return run
@@ -305,7 +312,10 @@ def _windows(length: int):
             for lo in range(0, b.num_rows, 1000):
                 gram, context, n, data = (b.column(k).slice(lo, 1000).to_pylist() for k in ("gram", "context", "windows", "bytes"))
                 owner, at, print_ = _prints(length, np.array(n, np.int64), data)
-                yield pa.RecordBatch.from_arrays([pa.array(np.array(gram, np.int64)[owner]), pa.array(np.array(context, np.int64)[owner]), pa.array(at), pa.array(signed(print_))], ["gram", "context", "at", "print"])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.array(gram, np.int64)[owner]), pa.array(np.array(context, np.int64)[owner]), pa.array(at), pa.array(signed(print_))],
+                    ["gram", "context", "at", "print"]
+                )
 
     return run
 
@@ -327,11 +337,18 @@ def _runs(length: int):
 def _counted(held: DataFrame, length: int) -> DataFrame:
     """Verdicts on contexts of grams that have too many for one task: neighbourhoods and then windows as rows, counted by tasks that add up first."""
     one = materialize(held.groupBy("gram", "context").agg(*(F.first(c).alias(c) for c in ("windows", "anchor", "bytes"))), "suffix-contexts")
-    beside = one.mapInArrow(_sides(length), "gram long, context long, beside binary, side int").select("gram", "context", "side", F.xxhash64("beside").alias("beside"))
+    beside = one.mapInArrow(
+        _sides(length), "gram long, context long, beside binary, side int"
+    ).select("gram", "context", "side", F.xxhash64("beside").alias("beside"))
     beside = materialize(beside, "suffix-beside")
-    shared = materialize(beside.groupBy("gram", "side", "beside").agg(F.count("*").alias("n")).where("n > 1").select("gram", "side", "beside"), "suffix-shared")
+    shared = materialize(
+        beside.groupBy("gram", "side", "beside").agg(F.count("*").alias("n")).where("n > 1").select("gram", "side", "beside"), "suffix-shared"
+    )
     near = beside.join(small(shared), ["gram", "side", "beside"]).select("gram", "context").distinct()
-    each = materialize(one.join(near, ["gram", "context"], "left_semi").mapInArrow(_windows(length), "gram long, context long, at long, print long"), "suffix-windows")
+    each = materialize(
+        one.join(near, ["gram", "context"], "left_semi").mapInArrow(_windows(length), "gram long, context long, at long, print long"),
+        "suffix-windows"
+    )
     for df in (one, beside, shared):
         discard(df)
     twice = materialize(each.groupBy("gram", "print").agg(F.count("*").alias("n")).where("n > 1").select("gram", "print"), "suffix-twice")
@@ -359,7 +376,9 @@ def _cut(batches):
         offsets32 = np.zeros(len(counts) + 1, np.int32)
         np.cumsum(counts, out=offsets32[1:])
         spans = pa.ListArray.from_arrays(pa.array(offsets32), pa.StructArray.from_arrays([pa.array(ends[:, 0]), pa.array(ends[:, 1])], ["start", "stop"]))
-        yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(sizes, pa.int64()), spans, pa.array(kept, pa.binary())], ["doc_id", "n_bytes", "spans", "kept"])
+        yield pa.RecordBatch.from_arrays(
+            [rows.column("doc_id"), pa.array(sizes, pa.int64()), spans, pa.array(kept, pa.binary())], ["doc_id", "n_bytes", "spans", "kept"]
+        )
 
 
 def suffix_dedup(docs: DataFrame, length: int = 200, batches: int = 4) -> DataFrame:
@@ -380,7 +399,10 @@ def suffix_dedup(docs: DataFrame, length: int = 200, batches: int = 4) -> DataFr
     repeats = materialize(levels.repeats(), "suffix-repeats")
     levels.drop()
     bits = [spark.sparkContext.broadcast(bitmap(x)) for x in (repeats.select("gram").distinct(), repeats.where("several").select("gram").distinct())]
-    places = materialize(docs.mapInArrow(_places(length, *bits), "doc_id long, mark long, start long, windows long, anchor long, gram long, context long, bytes binary"), "suffix-places")
+    places = materialize(
+        docs.mapInArrow(_places(length, *bits), "doc_id long, mark long, start long, windows long, anchor long, gram long, context long, bytes binary"),
+        "suffix-places"
+    )
 
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     held = places.where("bytes is not null").select("gram", "context", "windows", "anchor", "bytes")
@@ -395,7 +417,10 @@ def suffix_dedup(docs: DataFrame, length: int = 200, batches: int = 4) -> DataFr
     discard(repeats)
     stop = F.when(F.col("hi") < 0, F.col("windows") + length - 1).otherwise(F.col("hi"))
     spans = places.select("doc_id", "mark", "start", "windows", "gram", "context").join(verdicts, ["gram", "context"])
-    spans = spans.select(F.coalesce("doc_id", F.lit(-1)).alias("id"), F.col("doc_id").isNull().alias("no_id"), "mark", F.struct((F.col("start") + F.col("lo")).alias("a"), (F.col("start") + stop).alias("b")).alias("s"))
+    spans = spans.select(
+        F.coalesce("doc_id", F.lit(-1)).alias("id"), F.col("doc_id").isNull().alias("no_id"), "mark",
+        F.struct((F.col("start") + F.col("lo")).alias("a"), (F.col("start") + stop).alias("b")).alias("s")
+    )
     found = spans.groupBy("id", "no_id", "mark").agg(F.collect_set("s").alias("found"))
     keyed = docs.select("doc_id", "text", "mark", F.coalesce("doc_id", F.lit(-1)).alias("id"), F.col("doc_id").isNull().alias("no_id"))
     whole = keyed.join(found, ["id", "no_id", "mark"], "left").select("doc_id", "text", "found")

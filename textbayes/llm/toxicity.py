@@ -55,7 +55,10 @@ class Weights(dict):
 
 _YOU = frozenset(w.encode() for w in SECOND_PERSON)
 _IS = np.zeros((7, 256), bool)
-for _k, _test in enumerate((lambda b: 65 <= b <= 90, lambda b: 97 <= b <= 122, lambda b: b in b".,;:'\"()-!?", lambda b: b in b"*#$%&@^~_|<>+=\\/{}[]", lambda b: 48 <= b <= 57, lambda b: b >= 128, lambda b: b <= 32)):
+for _k, _test in enumerate((
+    lambda b: 65 <= b <= 90, lambda b: 97 <= b <= 122, lambda b: b in b".,;:'\"()-!?", lambda b: b in b"*#$%&@^~_|<>+=\\/{}[]",
+    lambda b: 48 <= b <= 57, lambda b: b >= 128, lambda b: b <= 32
+)):
     _IS[_k] = [_test(b) for b in range(256)]
 
 
@@ -109,7 +112,10 @@ def _term_counts(only: frozenset | None):
 
     def _rows(counts):
         t, f, y = zip(*counts, strict=True) if counts else ((), (), ())
-        return pa.RecordBatch.from_arrays([pa.array(t, pa.binary()), pa.array(f, pa.int32()), pa.array(y, pa.int32()), pa.array(counts.values(), pa.int64())], ["term", "fold", "toxic", "n"])
+        return pa.RecordBatch.from_arrays(
+            [pa.array(t, pa.binary()), pa.array(f, pa.int32()), pa.array(y, pa.int32()), pa.array(counts.values(), pa.int64())],
+            ["term", "fold", "toxic", "n"]
+        )
 
     return run
 
@@ -122,7 +128,10 @@ def _features(lexicons: list[dict]):
         weights = [Weights(x) for x in lexicons]
         for rows, data, offsets in blocks(batches):
             x = [features(t, weights[f]) for t, f in zip(texts(data, offsets), rows.column("fold").to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([rows.column("doc_id"), rows.column("fold"), rows.column("toxic"), pa.array(x, pa.list_(pa.float64()))], ["doc_id", "fold", "toxic", "x"])
+            yield pa.RecordBatch.from_arrays(
+                [rows.column("doc_id"), rows.column("fold"), rows.column("toxic"), pa.array(x, pa.list_(pa.float64()))],
+                ["doc_id", "fold", "toxic", "x"]
+            )
 
     return run
 
@@ -146,8 +155,12 @@ def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
     Rows with a null id or label are left out; a doc_id that repeats in labels has the larger label, one that repeats in docs gives a row each.
     """
     rest = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5
-    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).dropna().where(rest != 0).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    chosen = known.join(docs.select(F.col("doc_id").cast("long").alias("doc_id")).distinct(), "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
+    known = labels.select(
+        F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")
+    ).dropna().where(rest != 0).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    chosen = known.join(
+        docs.select(F.col("doc_id").cast("long").alias("doc_id")).distinct(), "doc_id", "left_semi"
+    ).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id")  # SAMPLE bounds its size
     return rows.select("doc_id", "text", "toxic", (rest - 1).cast("int").alias("fold"))
 
@@ -174,7 +187,9 @@ def fit(docs: DataFrame, labels: DataFrame) -> ToxicityModel:
         rows[r.fold, min(r.toxic, 1)] += r["count"]
     if not rows.sum(0).all():
         return ToxicityModel(rate=float(rows[:, 1].sum() / max(1, rows.sum())))
-    toxic = sample.where("toxic > 0").mapInArrow(_term_counts(None), _COUNTS).groupBy("term").agg(F.sum("n").alias("n")).where(F.col("n") >= max(3, int(0.003 * rows[:, 1].sum())))
+    toxic = sample.where("toxic > 0").mapInArrow(
+        _term_counts(None), _COUNTS
+    ).groupBy("term").agg(F.sum("n").alias("n")).where(F.col("n") >= max(3, int(0.003 * rows[:, 1].sum())))
     names = frozenset(bytes(r["term"]) for r in toxic.toArrow().to_pylist())  # the words of the sample's toxic texts bound their number
     counted = sample.mapInArrow(_term_counts(names), _COUNTS).groupBy("term", "fold", "toxic").agg(F.sum("n").alias("n"))
     counts: dict[bytes, np.ndarray] = {}

@@ -130,7 +130,10 @@ def _judge(index: dict[str | None, list], default: str):
                 names.append(best.name if best else None)
                 verdicts.append(best.verdict if best else other.verdict if other else default)
                 tried.append(len(candidates))
-            yield pa.RecordBatch.from_arrays([batch.column("page_id"), pa.array(hosts, pa.string()), pa.array(paths, pa.string()), pa.array(names, pa.string()), pa.array(verdicts, pa.string()), pa.array(tried, pa.int64())], ["page_id", "host", "path", "rule", "verdict", "rules_tried"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("page_id"), pa.array(hosts, pa.string()), pa.array(paths, pa.string()), pa.array(names, pa.string()), pa.array(verdicts, pa.string()), pa.array(tried, pa.int64())],
+                ["page_id", "host", "path", "rule", "verdict", "rules_tried"]
+            )
 
     return run
 
