@@ -39,7 +39,7 @@ def active_pairs(pairs: DataFrame, corrections: DataFrame, config: Config) -> Da
 def scores(docs: DataFrame, counts: DataFrame, pairs: DataFrame, params: DataFrame, classes: DataFrame, corrections: DataFrame, config: Config) -> DataFrame:
     """(doc_id, label, score_<model>_0/1 ...): log scores of all models, wide; documents without known grams have the prior.
 
-    The six sums of the weighted models come from one aggregation of counts with the broadcast parameters.
+    The six sums of the weighted models come from one aggregation of counts with the broadcast parameters; a feature may have several rows of counts.
     """
     known = counts.select("doc_id", "idx", "tf").join(bounded(params.select("idx", "w_fwnb", "w_dfwnb", "logp0", "logp1"), config.max_features), "idx")
     sums = {}

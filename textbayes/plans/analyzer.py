@@ -52,8 +52,11 @@ class Model:
 
     def score(self, docs: DataFrame) -> DataFrame:
         """docs(doc_id, model_text[, label]) -> wide log scores. Texts must be normalized; an empty table gives an empty result."""
-        docs = prepared(docs)
-        return bayes.scores(docs, self.counts(docs), self.pairs(docs), self.params, self.classes, self.corrections, self.config)
+        return self._scored(prepared(docs))
+
+    def _scored(self, docs: DataFrame) -> DataFrame:
+        occurrences = features.counts(features.tokens(docs, self.config), self.params, self.config)
+        return bayes.scores(docs, occurrences, self.pairs(docs), self.params, self.classes, self.corrections, self.config)
 
     def predict(self, docs: DataFrame, models: list[str] | None = None) -> DataFrame:
         return bayes.predictions(self.score(docs), models)
@@ -70,8 +73,7 @@ class Model:
         evidence = explain.feature_evidence(counts, self.params, self.config, model)
         corrections = self.corrections if model == "SDFWNB" else self.corrections.limit(0)
         effects = explain.dependency_effects(pairs, corrections, self.params, self.config)
-        scored = bayes.scores(docs, counts, pairs, self.params, self.classes, self.corrections, self.config)
-        return explain.explanations(bayes.predictions(scored, [model]), evidence, effects, self.classes, top_n)
+        return explain.explanations(bayes.predictions(self._scored(docs), [model]), evidence, effects, self.classes, top_n)
 
     def release(self) -> None:
         """Deletes the tables that the fit wrote; the model can't be used after that."""
