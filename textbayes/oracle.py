@@ -314,6 +314,9 @@ def oracle_sql() -> dict[str, str]:
     return {
         "normalize_text": _with("SELECT doc_id, m AS model_text FROM norm", "norm"),
         "dup_key": r"SELECT doc_id, trim(regexp_replace(lower(coalesce(text, '')), '\s+', ' ', 'g')) AS dup_key FROM documents",
+        # NFKC makes of full-width texts what they were
+        "normalize_wide": _with("SELECT doc_id, m AS model_text FROM norm", "norm"),
+        "dup_key_wide": r"SELECT doc_id, trim(regexp_replace(lower(coalesce(text, '')), '\s+', ' ', 'g')) AS dup_key FROM documents",
         "char_ngrams": _with(
                 f"SELECT doc_id, gram, count(*) AS tf FROM (SELECT doc_id, unnest({_bigrams('m')}) AS gram FROM norm) WHERE NOT "
                 f"regexp_full_match(gram, '[，。！？；：、]+') GROUP BY ALL",

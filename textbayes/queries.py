@@ -78,6 +78,20 @@ def dup_key(spark, sf_dir):
     return _documents(spark, sf_dir).select("doc_id", T.duplicate_key(F.col("text")).alias("dup_key"))
 
 
+def _wide(text):
+    """A text with its visible ASCII in full-width form, which NFKC undoes."""
+    codes = range(0x21, 0x7F)
+    return F.translate(text, "".join(map(chr, codes)), "".join(chr(c + 0xFEE0) for c in codes))
+
+
+def normalize_wide(spark, sf_dir):
+    return _documents(spark, sf_dir).select("doc_id", T.normalize(_wide(F.col("text"))).alias("model_text"))
+
+
+def dup_key_wide(spark, sf_dir):
+    return _documents(spark, sf_dir).select("doc_id", T.duplicate_key(_wide(F.col("text"))).alias("dup_key"))
+
+
 def char_ngrams(spark, sf_dir):
     docs = normalize_text(spark, sf_dir).withColumn("label", F.lit(0))
     return features.doc_grams(docs, CONFIG).select("doc_id", "gram", "tf")
@@ -419,7 +433,7 @@ def result_sinks(spark, sf_dir):
 
 
 NAMES = [
-    "normalize_text", "dup_key", "char_ngrams", "unigram_bigram", "gram_predicates", "vocab_df_tf", "vocab_topk", "vocab_unlimited", "doc_term_counts", "clean_pipeline", "clean_ready", "clean_summary", "class_df",
+    "normalize_text", "dup_key", "normalize_wide", "dup_key_wide", "char_ngrams", "unigram_bigram", "gram_predicates", "vocab_df_tf", "vocab_topk", "vocab_unlimited", "doc_term_counts", "clean_pipeline", "clean_ready", "clean_summary", "class_df",
     "feature_information", "redundancy_candidates", "pair_cooccurrence", "redundancy_relations", "dfwnb_weights", "doc_pairs", "dependency_table", "dependency_selection", "nb_params", "class_params", "score_all", "predict_all",
     "metrics_all", "macro_f1_all", "mcnemar_all", "bootstrap_cells", "bootstrap_all", "top_features", "top_features_positive", "top_features_negative", "top_redundant", "top_dependencies", "explain_features",
     "explain_dependencies", "explain_documents", "model_roundtrip", "final_test_metrics", "final_test_confusion", "final_test_mcnemar", "final_test_predictions", "final_test_bootstrap", "tsv_split", "tsv_gb18030", "tsv_odd_labels",
