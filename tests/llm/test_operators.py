@@ -1,10 +1,13 @@
 import hashlib
 import random
+import tracemalloc
 import zlib
 from collections import Counter
+from types import SimpleNamespace
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from textbayes.llm import decontaminate, media, queries, secrets, sentencepieces, suffix_dedup, url_filter
@@ -120,6 +123,29 @@ def test_suffix_levels(spark):
     assert sorted(range(40), key=lambda i: (k1[i], k2[i], i)) == sorted(range(40), key=lambda i: (raw[i : i + 16], i))
 
 
+def test_suffix_levels_write_once_and_hold_little(spark, monkeypatch):
+    """A batch that merges at once isn't written before; both scans run in one worker; a worker's arrays are small, whatever a batch of rows holds."""
+    written_, write = [], suffix_dedup.materialize
+    monkeypatch.setattr(suffix_dedup, "materialize", lambda df, name: written_.append(name) or write(df, name))
+    levels = suffix_dedup.SuffixLevels(200)
+    for k in range(4):
+        levels.add(spark.createDataFrame([(f"{k} " * 300,)], "text string"))
+    assert written_ == ["suffix-level"] * 4 and [size for size, _ in levels.levels] == [4]
+    assert levels.repeats()._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    rnd = random.Random(2)
+    batch = pa.RecordBatch.from_pydict({"text": ["".join(rnd.choices("abcdefgh ", k=4000)) for _ in range(500)]})
+    tracemalloc.start()
+    try:
+        assert sum(b.num_rows for b in suffix_dedup._entries(200)([batch])) > 20_000
+        assert tracemalloc.get_traced_memory()[1] < 30_000_000
+    finally:
+        tracemalloc.stop()
+    copies = pa.RecordBatch.from_pydict({"doc_id": range(800), "mark": range(800), "text": batch["text"][:10].to_pylist() * 80})
+    every = SimpleNamespace(value=np.full(1, 2**64 - 1, np.uint64))
+    places = pa.Table.from_batches(suffix_dedup._places(200, every, every)([copies]))
+    assert len(places) - places["bytes"].null_count == len(set(places["context"].to_pylist())) and len(places) > 30_000
+
+
 def test_suffix_dedup_whole_table(spark):
     sf = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{sf}/documents.parquet").collect()

@@ -7,8 +7,9 @@ nothing is lost by leaving out the other suffixes. An entry is (k1, k2, gram, co
 like the bytes, a hash of its first GRAM bytes, a hash of all bytes of the windows that chose this anchor, and how often that was seen.
 
 `SuffixLevels` is the logarithmic family. An array is sharded by gram; each shard stands in suffix order. A new batch becomes an array; where a level of
-its size exists, the two are merged by one scan of their common order into one twice as large, and so on, so an entry is rewritten a logarithmic
-number of times. `matches` scans a new batch against the levels, `repeats` all levels together. Matches follow from neighbours in the merged order:
+its size exists, the two are merged by one scan of their common order into one twice as large, and so on (all at once, so only the largest is written),
+and an entry is rewritten a logarithmic number of times. `matches` scans a new batch against the levels, `repeats` all levels together. Matches
+follow from neighbours in the merged order:
 
 * a context seen twice: all its windows repeat;
 * a gram with several contexts: its windows are compared one by one, by hashes of their whole `length` bytes, inside the gram's group. Groups of more
@@ -26,14 +27,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLOCK_BYTES, Hashes, blocks, discard, materialize, mixed, signed, small, texts
+from .common import Hashes, blocks, discard, materialize, mixed, signed, small, texts
 
 GRAM = 48
+#: Text bytes whose anchors are found at once: a worker holds ten arrays of eight bytes for each, and these fit the processor's cache.
+BLOCK_BYTES = 1 << 17
 #: Bits of a bitmap of repeated grams: so many for each gram, and at most 64 MB.
 BITS_EACH, BITMAP = 16, 1 << 29
 #: Distinct contexts of one gram that a task compares.
 GROUP = 1_000
+#: Contexts that a worker remembers to have sent with their bytes; beyond it forgets them and sends some again.
+SENT = 50_000
 ENTRY = "k1 long, k2 long, gram long, context long, n long"
+REPEAT = "gram long, context long, n long, several boolean"
+
 
 def sliding_least(a: np.ndarray, width: int) -> np.ndarray:
     out, done = a, 1
@@ -78,7 +85,7 @@ def in_suffix_order(data: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np
 
 def _entries(length: int):
     def run(batches):
-        for _, data, offsets in blocks(batches):
+        for _, data, offsets in blocks(batches, limit=BLOCK_BYTES):
             row, s1, _, at, gram, context = anchors(data, offsets, length)
             k1, k2 = in_suffix_order(data, offsets[row] + s1 + at)
             order = np.lexsort((context, gram))
@@ -135,42 +142,50 @@ def _repeat_scan(batches):
     yield out(*held[:3], np.array([held[3]])) if held is not None else out(empty, empty, empty, np.zeros(0, bool))
 
 
+def _merge_and_repeat_scan(batches):
+    """Both scans in one worker."""
+    return _repeat_scan(_merge_scan(batches))
+
+
 class SuffixLevels:
     """Sparse suffix arrays of batches; levels of equal size are merged as they come."""
 
     def __init__(self, length: int):
         self.length, self.levels = length, []
 
+    def entries(self, batch: DataFrame) -> DataFrame:
+        """batch(text, ...) -> its entries, in no order."""
+        return batch.select("text").mapInArrow(_entries(self.length), ENTRY)
+
     def array(self, batch: DataFrame) -> DataFrame:
         """batch(text, ...) -> its entries, sharded by gram, each shard in suffix order."""
-        return self._merged(batch.select("text").mapInArrow(_entries(self.length), ENTRY))
+        return self._merged([self.entries(batch)])
 
-    def _merged(self, df: DataFrame) -> DataFrame:
+    def _in_order(self, dfs: list[DataFrame]) -> DataFrame:
+        df = _union(dfs)
         n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        return df.repartition(n, "gram").sortWithinPartitions("k1", "k2", "gram", "context").mapInArrow(_merge_scan, ENTRY)
+        return df.repartition(n, "gram").sortWithinPartitions("k1", "k2", "gram", "context")
+
+    def _merged(self, dfs: list[DataFrame]) -> DataFrame:
+        return self._in_order(dfs).mapInArrow(_merge_scan, ENTRY)
 
     def add(self, batch: DataFrame) -> None:
-        """The batch's array joins the family; equal levels merge until sizes differ."""
-        size, new, old = 1, materialize(self.array(batch), "suffix-level"), []
+        """The batch's entries join the family; equal levels merge until sizes differ. A batch that merges at once is not written by itself before."""
+        size, old = 1, []
         while self.levels and self.levels[-1][0] == size:
             old.append(self.levels.pop()[1])
             size *= 2
-        if old:
-            merged = materialize(self._merged(_union([new, *old])), "suffix-level")
-            for df in (new, *old):
-                discard(df)
-            new = merged
-        self.levels.append((size, new))
+        self.levels.append((size, materialize(self._merged([self.entries(batch), *old]), "suffix-level")))
+        for df in old:
+            discard(df)
 
     def repeats(self) -> DataFrame:
         """(gram, context, n, several) of entries of all levels whose gram has several contexts or that were seen twice."""
-        return self._merged(_union([df for _, df in self.levels])).mapInArrow(_repeat_scan, "gram long, context long, n long, several boolean")
+        return self._in_order([df for _, df in self.levels]).mapInArrow(_merge_and_repeat_scan, REPEAT)
 
     def matches(self, batch: DataFrame) -> DataFrame:
         """The same of the entries of a new batch and all levels: what add(batch) would make repeat, without adding it."""
-        return self._merged(_union([self.array(batch), *(df for _, df in self.levels)])).mapInArrow(
-            _repeat_scan, "gram long, context long, n long, several boolean"
-        )
+        return self._in_order([self.entries(batch), *(df for _, df in self.levels)]).mapInArrow(_merge_and_repeat_scan, REPEAT)
 
     def drop(self) -> None:
         for _, df in self.levels:
@@ -202,10 +217,11 @@ def has(bits: np.ndarray, gram: np.ndarray) -> np.ndarray:
 
 
 def _places(length: int, repeated, several):
-    """Texts -> places of anchors whose gram repeats; the first of each context in a block also carries its bytes if the gram has several contexts."""
+    """Texts -> places of anchors whose gram repeats; the first of each context in a task also carries its bytes if the gram has several contexts."""
 
     def run(batches):
-        for rows, data, offsets in blocks(batches):
+        sent: set[int] = set()
+        for rows, data, offsets in blocks(batches, limit=BLOCK_BYTES):
             row, s1, n, at, gram, context = anchors(data, offsets, length)
             kept = has(repeated.value, gram)
             row, s1, n, at, gram, context = (x[kept] for x in (row, s1, n, at, gram, context))
@@ -213,6 +229,12 @@ def _places(length: int, repeated, several):
             first = np.zeros(len(gram), bool)
             first[np.unique(context, return_index=True)[1]] = True
             carries &= first
+            at_first = np.flatnonzero(carries)
+            carried = context[at_first].tolist()
+            carries[at_first[[c in sent for c in carried]]] = False
+            sent.update(carried)
+            if len(sent) > SENT:
+                sent.clear()
             begin = offsets[row] + s1
             held = [data[b : b + k + length - 1].tobytes() if c else None for b, k, c in zip(begin.tolist(), n.tolist(), carries.tolist(), strict=True)]
             doc, mark = (rows.column(c).take(pa.array(row)) for c in ("doc_id", "mark"))
