@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 from pathlib import Path
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from textbayes.functions import blocks
 from textbayes.storage import in_order
 
 #: Column names that count as label and text, in order of preference.
@@ -17,14 +19,19 @@ LABELS = ("label", "labels", "sentiment", "y")
 TEXTS = ("text_a", "text", "review", "content")
 
 
-@F.pandas_udf(StringType())
-def _decoded(text: pd.Series) -> pd.Series:
-    return text.map(lambda t: t.encode("latin-1").decode("gb18030"), na_action="ignore")
+def _recoded(column: pa.Array, change: Callable[[str], str]) -> pa.Array:
+    """A block's strings at a time, so that a worker holds a batch as Arrow and little else. A text that can't be changed raises."""
+    return blocks.mapped(column, lambda part: pa.array([None if t is None else change(t) for t in part.to_pylist()], pa.string()))
 
 
-@F.pandas_udf(StringType())
-def _encoded(text: pd.Series) -> pd.Series:
-    return text.map(lambda t: t.encode("gb18030").decode("latin-1"), na_action="ignore")
+@F.arrow_udf(StringType())
+def _decoded(column: pa.Array) -> pa.Array:
+    return _recoded(column, lambda t: t.encode("latin-1").decode("gb18030"))
+
+
+@F.arrow_udf(StringType())
+def _encoded(column: pa.Array) -> pa.Array:
+    return _recoded(column, lambda t: t.encode("gb18030").decode("latin-1"))
 
 
 def _files(spark: SparkSession, path: str) -> dict[bool, list[str]]:
